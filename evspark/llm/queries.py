@@ -6,16 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from . import bpe, packing
 from . import exact_dedup as ed
-from .common import table
+from .common import sha256_hex, table
+
+#: File names of the public tokenizers in use; ``public_tokenizers.path`` gives their place.
+TOKENIZER_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_FILE), token_pattern())
+    return packing.with_checksums(pieces)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer_path(RANK_FILE), token_pattern()
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
+    return bpe.decode_documents(encoded, path, pattern).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256_hex(F.array_join("ids", " ")).alias("ids_sha256"),
+        sha256_hex(F.col("text")).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe": op5_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
