@@ -38,7 +38,7 @@ class _State:
 class BpeTransducer:
     """Encodes bytes left to right with the ranks' merges."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.openings = {token[:n] for token in ranks for n in range(1, len(token))}

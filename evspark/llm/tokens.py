@@ -27,7 +27,7 @@ class PieceEncoder:
     The memo is emptied when it would outgrow ``memo_pieces``; results never depend on it.
     """
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[list[int]]], memo_pieces: int = 400_000):
+    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[list[int]]], memo_pieces: int = 600_000):
         self.find = regex.compile(pattern).findall
         self.encode_pieces, self.memo_pieces = encode_pieces, memo_pieces
         self.memo: dict[str, tuple[int, ...]] = {}
