@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality, simhash
+from . import bpe, chat, language_id, packing, quality, simhash, spotsigs
 from . import exact_dedup as ed
 from .common import sha256_hex, table
 
@@ -55,6 +55,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.samples(spark))
+    return chat.read_back(chat.render(chat.turns_as_log(turns)))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.fit_language_model(docs, language_id.learnable())
@@ -66,13 +71,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
+    "op6_chat_format": op6_chat_format,
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLE_SQL: dict[str, str] = {
