@@ -24,6 +24,9 @@ from .common import Emitter, arrow_schema, text_rows
 from .tokens import PieceEncoder, load_ranks
 
 
+_BYTES = [bytes((b,)) for b in range(256)]
+
+
 class _State:
     """``anchor`` is the last token emitted; each tail is (bytes read since a position where a token may still begin,
     tokens from the anchor to that position). The last tail ends where reading stands."""
@@ -51,8 +54,8 @@ class BpeTransducer:
         self.start = self._state(None, ((b"", ()),))
 
     def _state(self, anchor: int | None, tails: tuple) -> _State:
-        if all(chain for _, chain in tails):
-            anchor = None  # no token can follow it directly any more
+        if tails[0][1]:
+            anchor = None  # the earliest tail has left it, so no token can follow it directly any more
         state = self.states.get((anchor, tails))
         if state is None:
             state = self.states[anchor, tails] = _State(anchor, tails)
@@ -102,29 +105,30 @@ class BpeTransducer:
                 undone, from_right, right = right, True, inner_right[0]
 
     def _advance(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        read = bytes((byte,))
+        read = _BYTES[byte]
+        rank, openings = self.ranks.get, self.openings
         tails: list[tuple[bytes, tuple[int, ...]]] = []
         ending: tuple[int, ...] | None = None
         for suffix, chain in state.tails:
             suffix += read
             if ending is None:
-                token = self.ranks.get(suffix)
+                token = rank(suffix)
                 if token is not None and self.fits(chain[-1] if chain else state.anchor, token):
                     ending = (*chain, token)
-            if suffix in self.openings:
+            if suffix in openings:
                 tails.append((suffix, chain))
         tails.append((b"", ending))
+        anchor, emitted = state.anchor, ()
         first = tails[0][1]
-        shared = len(first)
-        for _, chain in tails:
-            while first[:shared] != chain[:shared]:
-                shared -= 1
-        emitted = first[:shared]
-        if shared:
-            following = self._state(first[shared - 1], tuple((suffix, chain[shared:]) for suffix, chain in tails))
-        else:
-            following = self._state(state.anchor, tuple(tails))
-        result = state.next[byte] = (following, emitted)
+        if first:
+            shared = len(first)
+            for _, chain in tails[1:]:
+                while first[:shared] != chain[:shared]:
+                    shared -= 1
+            if shared:
+                emitted, anchor = first[:shared], first[shared - 1]
+                tails = [(suffix, chain[shared:]) for suffix, chain in tails]
+        result = state.next[byte] = (self._state(anchor, tuple(tails)), emitted)
         return result
 
     def encode(self, data: bytes) -> list[int]:
@@ -137,12 +141,14 @@ class BpeTransducer:
         state = self.start
         for byte in data:
             step = state.next.get(byte)
-            state, emitted = step if step is not None else self._advance(state, byte)
+            if step is None:
+                if len(self.states) > 2 * self.max_states:  # within one very long piece: keep only where we are
+                    self._reset()
+                step = self._advance(state, byte)
+            state, emitted = step
             if emitted:
-                out.extend(emitted)
-            if len(self.states) > 4 * self.max_states:  # within one very long piece: keep only where we are
-                self._reset()
-        out.extend(state.tails[-1][1])
+                out += emitted
+        out += state.tails[-1][1]
         return out
 
 
@@ -234,27 +240,41 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, ddl)
 
 
+def decode_ids(ids: list[int], tokens: dict[int, bytes], step: int = 4096) -> str:
+    """The text of an id sequence; the machine carries characters over the steps' ends."""
+    machine = Utf8Machine()
+    token = tokens.__getitem__
+    parts = [machine.push(b"".join(map(token, ids[at : at + step]))) for at in range(0, len(ids), step)]
+    parts.append(machine.finish())
+    return "".join(parts)
+
+
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Adds ``text``, decoded from ``ids`` in order through the UTF-8 machine."""
+    return _kernel_frame(encoded.select("doc_id", "ids"), ranks_path, pattern, decode_only=True)
+
+
+def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and the text decoded from them, in one pass over the documents."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _kernel_frame(rows, ranks_path, pattern, decode_only=False)
+
+
+def _kernel_frame(rows: DataFrame, ranks_path: str, pattern: str, decode_only: bool) -> DataFrame:
     ddl = "doc_id long, ids array<int>, text string"
     schema = arrow_schema(ddl)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, transducer = rank_encoder(ranks_path, pattern)
-        token = transducer.tokens.__getitem__
-        step = 4096
+        encoder, transducer = rank_encoder(ranks_path, pattern)
+        out = Emitter(schema)
         for batch in batches:
-            out = Emitter(schema)
-            docs, lists = batch.column(0), batch.column(1)
+            docs, values = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                value = lists[i].values
-                ids = value.to_numpy().tolist() if value is not None else []
-                machine = Utf8Machine()
-                parts = [machine.push(b"".join(map(token, ids[at : at + step]))) for at in range(0, len(ids), step)]
-                parts.append(machine.finish())
-                out.add(docs[i].as_py(), value, "".join(parts), weight=8 * len(ids))
+                value = values[i].as_py()
+                ids = (value or []) if decode_only else encoder.encode(value or "")
+                out.add(docs[i].as_py(), pa.array(ids, pa.int32()), decode_ids(ids, transducer.tokens), weight=8 * len(ids))
                 if out.full:
                     yield out.take()
-            yield from out.rest()
+        yield from out.rest()
 
-    return encoded.select("doc_id", "ids").mapInArrow(kernel, ddl)
+    return rows.mapInArrow(kernel, ddl)

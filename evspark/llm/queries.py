@@ -46,8 +46,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_path(RANK_FILE), token_pattern()
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode_documents(encoded, path, pattern).select(
+    return bpe.round_trip_documents(table(spark, sf_dir, "documents"), path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256_hex(F.array_join("ids", " ")).alias("ids_sha256"),
