@@ -13,6 +13,7 @@ vocabulary are an error when decoding.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, text_rows
+from .common import arrow_schema, text_rows
 from .tokens import PieceEncoder, load_ranks
 
 
@@ -228,18 +229,48 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = rank_encoder(ranks_path, pattern)
-        out = Emitter(schema)
+        out = IdBatches(schema)
         for batch in batches:
             for doc, text in text_rows(batch):
-                ids = encoder.encode(text or "")
-                out.add(doc, pa.array(ids, pa.int32()), weight=4 * len(ids))
+                out.add(doc, encoder.encode(text or ""))
                 if out.full:
                     yield out.take()
-        yield from out.rest()
+        if out.docs:
+            yield out.take()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, ddl)
 
 
+class IdBatches:
+    """Rows of (doc_id, ids[, text]); ids are kept end to end."""
+
+    def __init__(self, schema: pa.Schema, max_ids: int = 2_000_000, max_rows: int = 20_000):
+        self.schema, self.max_ids, self.max_rows = schema, max_ids, max_rows
+        self._clear()
+
+    def _clear(self) -> None:
+        self.docs: list = []
+        self.texts: list[str] = []
+        self.flat, self.offsets = array("i"), [0]
+
+    def add(self, doc: int | None, ids: list[int], text: str | None = None) -> None:
+        self.docs.append(doc)
+        self.texts.append(text)
+        self.flat.extend(ids)
+        self.offsets.append(len(self.flat))
+
+    @property
+    def full(self) -> bool:
+        return len(self.flat) >= self.max_ids or len(self.docs) >= self.max_rows
+
+    def take(self) -> pa.RecordBatch:
+        values = pa.Array.from_buffers(pa.int32(), len(self.flat), [None, pa.py_buffer(self.flat.tobytes())])
+        ids = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), values)
+        columns = [pa.array(self.docs, pa.int64()), ids, pa.array(self.texts, pa.string())][: len(self.schema)]
+        self._clear()
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, self.schema)], schema=self.schema)
+
+
 def decode_ids(ids: list[int], tokens: dict[int, bytes], step: int = 4096) -> str:
     """The text of an id sequence; the machine carries characters over the steps' ends."""
     machine = Utf8Machine()
@@ -266,15 +297,16 @@ def _kernel_frame(rows: DataFrame, ranks_path: str, pattern: str, decode_only: b
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, transducer = rank_encoder(ranks_path, pattern)
-        out = Emitter(schema)
+        out = IdBatches(schema)
         for batch in batches:
             docs, values = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 value = values[i].as_py()
                 ids = (value or []) if decode_only else encoder.encode(value or "")
-                out.add(docs[i].as_py(), pa.array(ids, pa.int32()), decode_ids(ids, transducer.tokens), weight=8 * len(ids))
+                out.add(docs[i].as_py(), ids, decode_ids(ids, transducer.tokens))
                 if out.full:
                     yield out.take()
-        yield from out.rest()
+        if out.docs:
+            yield out.take()
 
     return rows.mapInArrow(kernel, ddl)

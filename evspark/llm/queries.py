@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, packing, quality, simhash, spotsigs
+from . import bpe, chat, language_id, packing, quality, simhash, spotsigs, substring_dedup
 from . import exact_dedup as ed
 from .common import sha256_hex, table
 
@@ -59,6 +59,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.turns_as_log(turns)))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.fit_language_model(docs, language_id.learnable())
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_chat_format": op6_chat_format,
+    "op7_suffix_array": op7_suffix_array,
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_spotsigs": op10_spotsigs,
