@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from .anchors import WINDOW, anchors
 from .common import Emitter, arrow_schema, materialise
@@ -387,3 +387,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = orders.filter(F.col("kind") == ASKED)
     found = sort_shards(send_bytes(keyed, asked, shards), shards, buckets)
     return apply_orders(keyed, orders.filter(F.col("kind") == SETTLED).unionByName(found))
+
+
+def kept_text(found: DataFrame) -> DataFrame:
+    """Replaces ``kept`` by ``text``: a removed run may cut a character of several bytes, whose other bytes go too."""
+    fields = [f for f in found.schema.fields if f.name != "kept"]
+    at = found.columns.index("kept")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            whole = batch.column(at)
+            text = pa.array([whole[i].as_py().decode(errors="ignore") for i in range(batch.num_rows)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, text], names=[*(f.name for f in fields), "text"])
+
+    return found.mapInArrow(kernel, StructType(list(fields)).add("text", StringType()))
