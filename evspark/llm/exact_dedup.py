@@ -53,11 +53,8 @@ def flag_possible_repeats(digests: DataFrame, column: str, rows: int, max_litera
     bits = _bits_for(rows)
     positions = repeated_positions(digests, column, bits)
     if bits <= max_literal_bits:
-        filter_row = materialise(_as_array(positions, bits), "bloom")
-        flagged = digests.withColumn("_bits", filter_row.scalar())
-        seeds = [f"pmod(xxhash64({seed}, `{column}`), {bits}L)" for seed in range(HASHES)]
-        condition = " and ".join(f"(shiftright(_bits[cast({p} div 64 as int)], cast({p} % 64 as int)) & 1L) = 1L" for p in seeds)
-        return flagged.withColumn("maybe", F.expr(condition)).drop("_bits")
+        filter_bits = materialise(_as_array(positions, bits), "bloom").scalar()
+        return digests.withColumn("maybe", _all_set(filter_bits, F.col(column), bits))
     positions = materialise(positions, "bloom")
     flagged = digests
     for i, position in enumerate(_positions(F.col(column), bits)):
@@ -69,6 +66,24 @@ def flag_possible_repeats(digests: DataFrame, column: str, rows: int, max_litera
     return flagged.withColumn("maybe", maybe).drop(*[f"_p{i}" for i in range(HASHES)], *[f"_hit{i}" for i in range(HASHES)])
 
 
+def bloom_test(wanted: DataFrame, column: str, rows_of: int, max_literal_bits: int = MAX_LITERAL_BITS) -> Column:
+    """A condition on ``column`` (long) that holds for every value in ``wanted`` and for few others; always true where
+    the filter would outgrow its bound."""
+    bits = _bits_for(rows_of)
+    if bits > max_literal_bits:
+        return F.lit(True)
+    positions = wanted.select(F.explode(F.array(*_positions(F.col(column), bits))).alias("position")).distinct()
+    return _all_set(materialise(_as_array(positions, bits), "bloom").scalar(), F.col(column), bits)
+
+
+def _all_set(filter_bits: Column, value: Column, bits: int) -> Column:
+    found = F.lit(True)
+    for position in _positions(value, bits):
+        word = F.get(filter_bits, F.floor(position / 64).cast("int"))
+        found = found & (F.call_function("shiftright", word, (position % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return found
+
+
 def _decisions(docs: DataFrame, id_col: str, text_col: str, max_literal_bits: int) -> DataFrame:
     digests = materialise(docs.select(F.col(id_col).alias("doc_id"), sha256_hex(normalised(text_col)).alias("text_sha256")), "digests")
     flagged = flag_possible_repeats(digests, "text_sha256", digests.count(), max_literal_bits)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, packing, quality, simhash, spotsigs, substring_dedup
+from . import bpe, chat, language_id, line_dedup, packing, quality, simhash, spotsigs, substring_dedup
 from . import exact_dedup as ed
 from .common import sha256_hex, table
 
@@ -28,6 +28,10 @@ def token_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_FILE), token_pattern())
     return packing.with_checksums(pieces)
@@ -80,6 +84,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
-from .anchors import WINDOW, anchors
+from .anchors import WINDOW, anchors, mix
 from .common import Emitter, arrow_schema, materialise
 from .suffix_array import permuted_lcp, suffix_array
 
@@ -75,6 +75,11 @@ def bucket_column(ids: str, buckets: int) -> Column:
     return F.pmod(F.col(ids), F.lit(buckets)).cast("int")
 
 
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each anchor. Anchors have small hashes, being least ones, so they are mixed once more."""
+    return ((mix(grams) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
 def _groups(keys: np.ndarray) -> np.ndarray:
     """Starts of runs of equal keys."""
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -120,7 +125,7 @@ def name_anchors(docs: DataFrame, shards: int) -> DataFrame:
                 fresh = again & np.r_[True, (context[1:] != context[:-1]) | (doc[1:] != doc[:-1])]
                 out.add(int(doc[0]) % shards, SETTLED, pack_ids(doc[fresh]), b"", planes(context[fresh]))
             doc, gram, context = doc[first], gram[first], context[first]
-            shard = ((gram >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+            shard = shard_of(gram, shards)
             order = np.lexsort((doc, shard))
             doc, gram, context, shard = doc[order], gram[order], context[order], shard[order]
             edges = np.r_[_groups(shard), len(shard)]
@@ -149,17 +154,13 @@ def name_anchors(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows grouped by their first column, which is sorted."""
-    current, rows = None, []
+    """A partition's rows by their first column; a partition holds one shard or a few."""
+    shards: dict[int, list[tuple]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != current:
-                if rows:
-                    yield current, rows
-                current, rows = row[0], []
-            rows.append(row[1:])
-    if rows:
-        yield current, rows
+            shards.setdefault(row[0], []).append(row[1:])
+    for shard in sorted(shards):
+        yield shard, shards.pop(shard)
 
 
 def settle(entries: DataFrame, shards: int, buckets: int) -> DataFrame:
@@ -198,7 +199,7 @@ def settle(entries: DataFrame, shards: int, buckets: int) -> DataFrame:
                 yield out.take()
         yield from out.rest()
 
-    return entries.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(kernel, ORDERS)
+    return entries.repartition(shards, "shard").mapInArrow(kernel, ORDERS)
 
 
 def _orders_by_doc(orders: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,7 +242,7 @@ def send_bytes(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
         out = Emitter(schema, max_rows=1 << 60, max_bytes=1 << 60)
         if found:
             gram = np.array([f[0] for f in found], np.uint64)
-            shard = ((gram >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+            shard = shard_of(gram, shards)
             order = np.lexsort((gram, shard))
             edges = np.r_[_groups(shard[order]), len(order)]
             for a, b in zip(edges[:-1], edges[1:]):
@@ -322,7 +323,7 @@ def sort_shards(sent: DataFrame, shards: int, buckets: int) -> DataFrame:
                     yield out.take()
         yield from out.rest()
 
-    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(kernel, ORDERS)
+    return sent.repartition(shards, "shard").mapInArrow(kernel, ORDERS)
 
 
 def removed_spans(data: np.ndarray, contexts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
