@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, text_rows
+from .common import arrow_schema, bound_batches, text_rows
 from .tokens import PieceEncoder, load_ranks
 
 
@@ -238,7 +238,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         if out.docs:
             yield out.take()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, ddl)
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, ddl)
 
 
 class IdBatches:
@@ -309,4 +309,4 @@ def _kernel_frame(rows: DataFrame, ranks_path: str, pattern: str, decode_only: b
         if out.docs:
             yield out.take()
 
-    return rows.mapInArrow(kernel, ddl)
+    return bound_batches(rows).mapInArrow(kernel, ddl)

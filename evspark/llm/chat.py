@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema
+from .common import Emitter, arrow_schema, bound_batches
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that steer some chat template; inside a text each gets a backslash after its first character.
@@ -94,7 +94,7 @@ def render(log: DataFrame, trained_role: str = "assistant") -> DataFrame:
             close()
         yield from out.rest()
 
-    folded = surviving(log.select("conv_id", "seq", "event", "turn", "role", "text"))
+    folded = surviving(bound_batches(log).select("conv_id", "seq", "event", "turn", "role", "text"))
     ordered = folded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "event", "text")
     return ordered.select(F.col("conv_id").cast("long"), "turn", "role", F.when(F.col("event") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text")).mapInArrow(kernel, SEGMENTS)
 

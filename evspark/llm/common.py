@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +33,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch between the JVM and Python: texts are long, and both sides hold a few batches.
+ARROW_ROWS = 500
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Keeps the session's Arrow batches small; to be called by every operator that sends texts to Python."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ASCII strings take the fast built-in; the rest go through ``translate``."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
@@ -80,11 +92,6 @@ def text_rows(batch: pa.RecordBatch, id_at: int = 0, text_at: int = 1) -> Iterat
         yield ids[i].as_py(), texts[i].as_py()
 
 
-def small_batches(df: DataFrame, kernel: Callable, ddl: str) -> DataFrame:
-    """``mapInArrow`` with the output schema given as DDL."""
-    return df.mapInArrow(kernel, ddl)
-
-
 def sha256_hex(column: Column) -> Column:
     return F.sha2(column, 256)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, crc_mod, text_rows
+from .common import Emitter, arrow_schema, bound_batches, crc_mod, text_rows
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -159,7 +159,7 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                     out.add(batch.column(2)[i].as_py(), found[k].tobytes())
             yield from out.rest()
 
-    sample = picked.mapInArrow(cut, ddl).limit(2 * sample_docs * windows_per_doc).collect()
+    sample = bound_batches(picked).mapInArrow(cut, ddl).limit(2 * sample_docs * windows_per_doc).collect()
     sample.sort(key=lambda r: (r["lang"], r["bytes"]))
     languages = sorted({r["lang"] for r in sample})
     index = {name: i for i, name in enumerate(languages)}
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -
                 added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return source.mapInArrow(kernel, out_type)
+    return bound_batches(source).mapInArrow(kernel, out_type)
 
 
 def learnable(id_col: str = "doc_id") -> Column:

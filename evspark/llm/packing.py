@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, text_rows
+from .common import Emitter, arrow_schema, bound_batches, text_rows
 from .tokens import vocabulary_encoder
 
 PIECES = "doc_id long, start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long"
@@ -157,7 +157,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
                 yield out.take()
         yield from out.rest()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, PIECES)
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, PIECES)
 
 
 def with_checksums(pieces: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, crc_mod, text_rows
+from .common import Emitter, arrow_schema, bound_batches, crc_mod, text_rows
 
 SAMPLE_DOCS = 8000
 THRESHOLD = 0.7
@@ -185,7 +185,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
                 out.add(doc, pa.array(features(text)))
         yield from out.rest()
 
-    rows = sample.mapInArrow(kernel, ddl).join(known, "doc_id", "left").limit(2 * sample_docs).toArrow()
+    rows = bound_batches(sample).mapInArrow(kernel, ddl).join(known, "doc_id", "left").limit(2 * sample_docs).toArrow()
     if not rows.num_rows:
         return None
     order = np.lexsort((rows["doc_id"].to_numpy(zero_copy_only=False),))
@@ -213,4 +213,4 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
                     out.add(part.column(0)[i].as_py(), float(score))
             yield from out.rest()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, ddl)
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, ddl)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, materialise, text_rows
+from .common import Emitter, arrow_schema, bound_batches, materialise, text_rows
 from .components import connected_components
 
 BITS = 64
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield out.take()
         yield from out.rest()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, ddl)
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, ddl)
 
 
 def pair_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:

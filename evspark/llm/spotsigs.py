@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, materialise
+from .common import Emitter, arrow_schema, bound_batches, materialise
 
 CHAIN = 2
 #: Common words of English, French, German and Spanish that serve as anchors.
@@ -126,7 +126,8 @@ def with_following(docs: DataFrame, buckets: int, id_col: str, text_col: str) ->
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses (see RESULT)."""
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(bound_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 4 * parts
     schema = arrow_schema(RESULT)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield out.take()
         yield from out.rest()
 
-    ordered = with_following(docs, buckets, id_col, text_col).repartition(buckets, "bucket").sortWithinPartitions("bucket", "ghost", "doc_id", "text")
+    ordered = with_following(docs, buckets, id_col, text_col).repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", "doc_id", "text")
     return ordered.select("bucket", "ghost", "doc_id", "text").mapInArrow(kernel, RESULT)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from .anchors import WINDOW, anchors, mix
-from .common import Emitter, arrow_schema, materialise
+from .common import Emitter, arrow_schema, bound_batches, materialise
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Text that a scan task gathers before it sends hashes on, and symbols that one suffix array spans unless one anchor has more.
@@ -379,7 +379,7 @@ def apply_orders(docs: DataFrame, orders: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Every row with its ``columns`` (default: the id), n_bytes, n_removed, n_spans and kept (bytes)."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(bound_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shards, buckets = 2 * parts, 4 * parts + 1
     carried = [id_col] if columns is None else columns
     keyed = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
@@ -402,4 +402,4 @@ def kept_text(found: DataFrame) -> DataFrame:
             text = pa.array([whole[i].as_py().decode(errors="ignore") for i in range(batch.num_rows)], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, text], names=[*(f.name for f in fields), "text"])
 
-    return found.mapInArrow(kernel, StructType(list(fields)).add("text", StringType()))
+    return bound_batches(found).mapInArrow(kernel, StructType(list(fields)).add("text", StringType()))
