@@ -380,7 +380,7 @@ def apply_orders(docs: DataFrame, orders: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Every row with its ``columns`` (default: the id), n_bytes, n_removed, n_spans and kept (bytes)."""
     parts = max(1, int(bound_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shards, buckets = 2 * parts, 4 * parts + 1
+    shards, buckets = 2 * parts, parts | 1
     carried = [id_col] if columns is None else columns
     keyed = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
     keyed = keyed.withColumn("bucket", bucket_column("_id", buckets))
