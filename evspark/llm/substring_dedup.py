@@ -346,13 +346,13 @@ def removed_spans(data: np.ndarray, contexts: np.ndarray, starts: np.ndarray, en
     return np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
 
 
-def apply_orders(docs: DataFrame, orders: DataFrame) -> DataFrame:
-    """Step 5: every row of ``docs`` with n_bytes, n_removed, n_spans and kept (its remaining bytes)."""
+def apply_orders(docs: DataFrame, orders: DataFrame, as_text: bool) -> DataFrame:
+    """Step 5: every row of ``docs`` with n_bytes, n_removed, n_spans and kept (its remaining bytes, or their text)."""
     fields = [f for f in docs.schema.fields if f.name not in ("_id", "_text", "bucket")]
     out_type = StructType(list(fields))
     for name in ("n_bytes", "n_removed", "n_spans"):
         out_type = out_type.add(name, LongType())
-    out_type = out_type.add("kept", BinaryType())
+    out_type = out_type.add("kept", StringType() if as_text else BinaryType())
     names = [f.name for f in fields]
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -370,15 +370,20 @@ def apply_orders(docs: DataFrame, orders: DataFrame) -> DataFrame:
             removed.append(int((last - first).sum()))
             spans.append(len(first))
             kept.append(b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
-        added = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+        last_column = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        added = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), last_column]
         columns = [left.column(n).combine_chunks() for n in names] + added
         return pa.table(columns, names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return docs.groupBy("bucket").cogroup(orders.groupBy("bucket")).applyInArrow(kernel, out_type)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """Every row with its ``columns`` (default: the id), n_bytes, n_removed, n_spans and kept (bytes)."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """Every row with its ``columns`` (default: the id), n_bytes, n_removed, n_spans and kept.
+
+    ``kept`` has the remaining bytes, or with ``as_text`` the text they spell; where a removed run cuts a character of
+    several bytes, the rest of that character goes too.
+    """
     parts = max(1, int(bound_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shards, buckets = 2 * parts, parts | 1
     carried = [id_col] if columns is None else columns
@@ -387,19 +392,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     orders = materialise(settle(name_anchors(keyed, shards), shards, buckets), "orders")
     asked = orders.filter(F.col("kind") == ASKED)
     found = sort_shards(send_bytes(keyed, asked, shards), shards, buckets)
-    return apply_orders(keyed, orders.filter(F.col("kind") == SETTLED).unionByName(found))
-
-
-def kept_text(found: DataFrame) -> DataFrame:
-    """Replaces ``kept`` by ``text``: a removed run may cut a character of several bytes, whose other bytes go too."""
-    fields = [f for f in found.schema.fields if f.name != "kept"]
-    at = found.columns.index("kept")
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            whole = batch.column(at)
-            text = pa.array([whole[i].as_py().decode(errors="ignore") for i in range(batch.num_rows)], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, text], names=[*(f.name for f in fields), "text"])
+    return apply_orders(keyed, orders.filter(F.col("kind") == SETTLED).unionByName(found), as_text)
 
-    return bound_batches(found).mapInArrow(kernel, StructType(list(fields)).add("text", StringType()))
