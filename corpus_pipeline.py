@@ -33,9 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those left empty go, and n_chars is counted anew."""
     columns = docs.columns
-    kept = substring_dedup.substring_dedup(docs, columns=[c for c in columns if c not in ("text", "n_chars")])
-    text = substring_dedup.kept_text(kept).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
-    return text.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    kept = substring_dedup.substring_dedup(docs, columns=[c for c in columns if c not in ("text", "n_chars")], as_text=True)
+    left = kept.filter((F.col("n_removed") == 0) | (F.length("kept") > 0)).withColumnRenamed("kept", "text")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
