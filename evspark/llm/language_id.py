@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, bound_batches, crc_mod, text_rows
+from .common import Emitter, arrow_schema, bound_batches, crc_mod, release_memory, text_rows
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -228,6 +228,7 @@ def identify(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -
                 found = list(predictions(net, [t for _, t in text_rows(batch, at, at)]))
                 added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score"])
+        release_memory()
 
     return bound_batches(source).mapInArrow(kernel, out_type)
 

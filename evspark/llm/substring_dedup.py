@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from .anchors import WINDOW, anchors, mix
-from .common import Emitter, arrow_schema, bound_batches, materialise
+from .common import Emitter, arrow_schema, bound_batches, materialise, release_memory
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Text that a scan task gathers before it sends hashes on, and symbols that one suffix array spans unless one anchor has more.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 ARRAY_SYMBOLS = 2_000_000
 LAST_ID = (1 << 63) - 1
 NAMES, SETTLED, ASKED = 0, 1, 2
@@ -255,7 +255,10 @@ def send_bytes(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
                     bytes(len(p[3]) for p in part),
                     b"".join(p[3] for p in part),
                 )
-        return pa.Table.from_batches([out.take()], schema)
+        table = pa.Table.from_batches([out.take()], schema)
+        del found, out
+        release_memory()
+        return table
 
     return docs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(kernel, BYTES)
 
@@ -372,7 +375,9 @@ def apply_orders(docs: DataFrame, orders: DataFrame, as_text: bool) -> DataFrame
             kept.append(b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
         last_column = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         added = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), last_column]
+        del kept, ids, texts
         columns = [left.column(n).combine_chunks() for n in names] + added
+        release_memory()
         return pa.table(columns, names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return docs.groupBy("bucket").cogroup(orders.groupBy("bucket")).applyInArrow(kernel, out_type)
