@@ -3,6 +3,8 @@
 A stretch of 50 bytes is removed if it also starts in a document with a smaller id. Every such stretch holds an anchor
 chosen by its content (see ``anchors``), so equal stretches are found through equal anchors:
 
+0. Strings of GRAM bytes that stand in very many documents are counted; they are anchors only of stretches that hold
+   nothing else, so that the documents around a common line do not all meet at that line.
 1. Every document names its anchors and their contexts by hashes. A scan task keeps, of each context, the smallest
    document, and settles the others at once: all of the context is in a smaller document. Hashes travel packed.
 2. By shard of the anchor's hash: all but the smallest document of a context are settled likewise. Where documents
@@ -29,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
-from .anchors import WINDOW, anchors, mix
-from .common import Emitter, arrow_schema, bound_batches, materialise, release_memory
+from .anchors import NONE, WINDOW, CommonGrams, anchors, mix
+from .common import Emitter, arrow_schema, bound_batches, materialise, release_memory, text_rows
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Text that a scan task gathers before it sends hashes on, and symbols that one suffix array spans unless one anchor has more.
@@ -38,6 +40,9 @@ FLUSH_BYTES = 8 << 20
 ARRAY_SYMBOLS = 2_000_000
 LAST_ID = (1 << 63) - 1
 NAMES, SETTLED, ASKED = 0, 1, 2
+#: A string in this many documents is common. A gathering of text counts those that stand in at least LOCAL_DOCS of its
+#: documents; at most MOST_COMMON, the most frequent, are told to the tasks. No result depends on which are common.
+COMMON_DOCS, LOCAL_DOCS, MOST_COMMON = 50_000, 8, 1 << 18
 WHOLE = 255
 
 ENTRIES = "shard int, kind int, docs binary, grams binary, contexts binary"
@@ -97,7 +102,41 @@ def _emit_orders(out: Emitter, buckets: int, kind: int, docs: np.ndarray, contex
         out.add(int(bucket[a]), kind, pack_ids(docs[a:b]), planes(contexts[a:b]), *spans, weight=16 * (b - a))
 
 
-def name_anchors(docs: DataFrame, shards: int) -> DataFrame:
+def common_grams(docs: DataFrame, least: int = COMMON_DOCS, local: int = LOCAL_DOCS, most: int = MOST_COMMON) -> CommonGrams:
+    """Step 0: anchors' strings by the documents they stand in, counted over all documents. At most ``most`` hashes come to the driver."""
+    ddl = "gram long, n long"
+    schema = arrow_schema(ddl)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Emitter(schema)
+        grams: list[np.ndarray] = []
+        size = 0
+
+        def count() -> None:
+            found, n = np.unique(np.concatenate(grams), return_counts=True)
+            for gram, times in zip(found[n >= local].view(np.int64).tolist(), n[n >= local].tolist()):
+                out.add(gram, times)
+
+        for batch in batches:
+            for _, text in text_rows(batch):
+                data = np.frombuffer(text.encode() if text else b"", np.uint8)
+                grams.append(np.unique(anchors(data)[1]))
+                size += len(data)
+                if size >= FLUSH_BYTES:
+                    count()
+                    grams, size = [], 0
+            if out.full:
+                yield out.take()
+        if grams:
+            count()
+        yield from out.rest()
+
+    counted = docs.select("_id", "_text").mapInArrow(kernel, ddl).groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = counted.orderBy(F.desc("n"), "gram").limit(most).select("gram").collect()
+    return CommonGrams(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
+
+
+def name_anchors(docs: DataFrame, shards: int, common: CommonGrams = NONE) -> DataFrame:
     """Step 1: packed (document, anchor, context) hashes by shard, and contexts settled within the task."""
     schema = arrow_schema(ENTRIES)
 
@@ -139,7 +178,7 @@ def name_anchors(docs: DataFrame, shards: int) -> DataFrame:
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
                 data = np.frombuffer(text.encode() if text else b"", np.uint8)
-                _, gram, context, _ = anchors(data)
+                _, gram, context, _, _ = anchors(data, common)
                 if len(gram):
                     ids.append(docs_[i].as_py())
                     grams.append(gram)
@@ -218,7 +257,7 @@ def _orders_by_doc(orders: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc[order], *(np.concatenate(x)[order] for x in (contexts, starts, ends))
 
 
-def send_bytes(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+def send_bytes(docs: DataFrame, asked: DataFrame, shards: int, common: CommonGrams = NONE) -> DataFrame:
     """Step 3: the bytes of the contexts asked for, by shard of their anchor."""
     schema = arrow_schema(BYTES)
 
@@ -233,11 +272,10 @@ def send_bytes(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
                 continue
             done.add(doc)
             data = np.frombuffer((texts[i].as_py() or "").encode(), np.uint8)
-            place, gram, context, start = anchors(data)
+            _, gram, context, start, end = anchors(data, common)
             at = np.flatnonzero(np.isin(context, wanted[low:high]))
             at = at[np.unique(context[at], return_index=True)[1]]
-            end = np.minimum(place[at] + WINDOW, len(data))
-            for k, s, e in zip(at.tolist(), start[at].tolist(), end.tolist()):
+            for k, s, e in zip(at.tolist(), start[at].tolist(), end[at].tolist()):
                 found.append((int(gram[k]), int(context[k]), doc, data[s:e].tobytes()))
         out = Emitter(schema, max_rows=1 << 60, max_bytes=1 << 60)
         if found:
@@ -329,10 +367,9 @@ def sort_shards(sent: DataFrame, shards: int, buckets: int) -> DataFrame:
     return sent.repartition(shards, "shard").mapInArrow(kernel, ORDERS)
 
 
-def removed_spans(data: np.ndarray, contexts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def removed_spans(data: np.ndarray, contexts: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: CommonGrams = NONE) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of a document's bytes that the orders cover."""
-    place, _, context, begin = anchors(data)
-    reach = np.minimum(place + WINDOW, len(data))
+    _, _, context, begin, reach = anchors(data, common)
     order = np.argsort(contexts, kind="stable")
     contexts, starts, ends = contexts[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
     low, high = np.searchsorted(contexts, context, "left"), np.searchsorted(contexts, context, "right")
@@ -349,7 +386,7 @@ def removed_spans(data: np.ndarray, contexts: np.ndarray, starts: np.ndarray, en
     return np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
 
 
-def apply_orders(docs: DataFrame, orders: DataFrame, as_text: bool) -> DataFrame:
+def apply_orders(docs: DataFrame, orders: DataFrame, as_text: bool, common: CommonGrams = NONE) -> DataFrame:
     """Step 5: every row of ``docs`` with n_bytes, n_removed, n_spans and kept (its remaining bytes, or their text)."""
     fields = [f for f in docs.schema.fields if f.name not in ("_id", "_text", "bucket")]
     out_type = StructType(list(fields))
@@ -367,7 +404,7 @@ def apply_orders(docs: DataFrame, orders: DataFrame, as_text: bool) -> DataFrame
             low, high = np.searchsorted(order_docs, doc, "left"), np.searchsorted(order_docs, doc, "right")
             first = last = np.zeros(0, np.int64)
             if low < high:
-                first, last = removed_spans(np.frombuffer(raw, np.uint8), contexts[low:high], starts[low:high], ends[low:high])
+                first, last = removed_spans(np.frombuffer(raw, np.uint8), contexts[low:high], starts[low:high], ends[low:high], common)
             bounds = [0, *np.column_stack([first, last]).ravel().tolist(), len(raw)]
             sizes.append(len(raw))
             removed.append(int((last - first).sum()))
@@ -383,7 +420,7 @@ def apply_orders(docs: DataFrame, orders: DataFrame, as_text: bool) -> DataFrame
     return docs.groupBy("bucket").cogroup(orders.groupBy("bucket")).applyInArrow(kernel, out_type)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, as_text: bool = False, common_docs: int = COMMON_DOCS, local_docs: int = LOCAL_DOCS) -> DataFrame:
     """Every row with its ``columns`` (default: the id), n_bytes, n_removed, n_spans and kept.
 
     ``kept`` has the remaining bytes, or with ``as_text`` the text they spell; where a removed run cuts a character of
@@ -394,8 +431,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     carried = [id_col] if columns is None else columns
     keyed = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
     keyed = keyed.withColumn("bucket", bucket_column("_id", buckets))
-    orders = materialise(settle(name_anchors(keyed, shards), shards, buckets), "orders")
+    common = common_grams(keyed, common_docs, local_docs)
+    orders = materialise(settle(name_anchors(keyed, shards, common), shards, buckets), "orders")
     asked = orders.filter(F.col("kind") == ASKED)
-    found = sort_shards(send_bytes(keyed, asked, shards), shards, buckets)
-    return apply_orders(keyed, orders.filter(F.col("kind") == SETTLED).unionByName(found), as_text)
-
+    found = sort_shards(send_bytes(keyed, asked, shards, common), shards, buckets)
+    return apply_orders(keyed, orders.filter(F.col("kind") == SETTLED).unionByName(found), as_text, common)

@@ -427,6 +427,25 @@ def test_every_stretch_has_an_anchor(monkeypatch):
         assert (a == b).all()
 
 
+def test_anchors_and_their_stretches():
+    rng = random.Random(1)
+    for trial in range(150):
+        data = np.array([rng.randrange(rng.choice([1, 2, 3, 200])) for _ in range(rng.randint(0, 300))], np.uint8)
+        if trial % 3 == 0:
+            data = np.tile(data[:37], 8)
+        grams = anchors.gram_hashes(data) if len(data) >= anchors.WINDOW else np.zeros(0, np.uint64)
+        common = anchors.CommonGrams(np.array(rng.sample(list(grams), len(grams) // 3), np.uint64)) if trial % 2 else anchors.NONE
+        known, span, expected = set(common.hashes.tolist()), anchors.WINDOW - anchors.GRAM + 1, {}
+        order = [(int(g) in known, int(g) >> 1 if known else int(g)) for g in grams]
+        for j in range(len(data) - anchors.WINDOW + 1):
+            least = min(order[j : j + span])
+            for q in range(j, j + span):
+                if order[q] == least:
+                    expected.setdefault(q, []).append(j)
+        place, _, _, start, end = anchors.anchors(data, common)
+        assert {p: (s, e) for p, s, e in zip(place.tolist(), start.tolist(), end.tolist())} == {q: (min(js), max(js) + anchors.WINDOW) for q, js in expected.items()}
+
+
 def plain_removal(rows):
     out, seen = [], {}
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
@@ -456,6 +475,8 @@ def test_substring_removal_against_all_windows(spark, docs, empty, real):
     for rows in (passages(), [(r[0], r[1]) for r in EDGES], [(r["doc_id"], r["text"]) for r in real.collect()]):
         got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
         assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=str) == plain_removal(rows)
+        few = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), common_docs=5, local_docs=2).collect()
+        assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in few), key=str) == plain_removal(rows)
     assert substring_dedup.substring_dedup(empty).count() == 0
     text = substring_dedup.substring_dedup(docs, columns=["doc_id", "lang"], as_text=True)
     assert text.columns == ["doc_id", "lang", "n_bytes", "n_removed", "n_spans", "kept"]
