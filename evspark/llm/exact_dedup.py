@@ -90,6 +90,7 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, max_literal_bits: in
     alone = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     several = flagged.filter("maybe").drop("maybe")
     groups = several.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(groups, "groups")  # so that the join reads two plain shuffles, of which a hot group's can be split
     return alone.unionByName(several.join(groups, "text_sha256"))
 
 
