@@ -28,11 +28,11 @@ def corpus_statistics(paged: DataFrame) -> DataFrame:
 def term_idf(paged: DataFrame) -> DataFrame:
     """term, df and idf; a negative idf becomes a quarter of the mean of all."""
     df = paged.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    counted = df.crossJoin(F.broadcast(corpus_statistics(paged)))  # one row
+    counted = df.withColumn("n", corpus_statistics(paged).select("n").scalar())
     raw = counted.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    mean = raw.agg(F.avg("raw").alias("mean_idf")).scalar()
     idf = F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+    return raw.withColumn("mean_idf", mean).select("term", "df", idf.alias("idf"))
 
 
 def bm25_scores(paged: DataFrame, questions: DataFrame, key: str, qkey: str, question: Column, scope: str | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def bm25_scores(paged: DataFrame, questions: DataFrame, key: str, qkey: str, que
     wanted = asked.select("term").distinct()
     kept = [key] + ([scope] if scope else [])
     seen = paged.select(*kept, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = seen.groupBy(*kept, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).crossJoin(F.broadcast(corpus_statistics(paged).select("avgdl")))
+    tf = seen.groupBy(*kept, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("avgdl", corpus_statistics(paged).select("avgdl").scalar())
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = tf.select(*kept, "term", share.alias("share")).join(weights, "term")
     return hits.groupBy(qkey, *kept).agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("score"))

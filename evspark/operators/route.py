@@ -36,7 +36,7 @@ def alias_matches(questions: DataFrame, aliases: DataFrame, qid: str = "qid") ->
     """
     sized = aliases.select("company_slug", F.lower("alias").alias("alias")).withColumn("n_words", F.size(F.split("alias", " ")))
     lengths = sized.select("n_words").distinct().agg(F.collect_set("n_words").alias("lengths"))
-    words = questions.select(qid, F.split(F.trim(F.regexp_replace("ql", " +", " ")), " ").alias("w")).crossJoin(F.broadcast(lengths))  # one row
+    words = questions.select(qid, F.split(F.trim(F.regexp_replace("ql", " +", " ")), " ").alias("w")).withColumn("lengths", lengths.scalar())
     spans = words.select(qid, "w", F.explode("lengths").alias("n_words")).filter(F.size("w") >= F.col("n_words"))
     grams = spans.select(qid, "n_words", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n_words") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n_words")), " "))).alias("alias"))
     return grams.join(sized, ["n_words", "alias"]).select(qid, "company_slug").distinct()

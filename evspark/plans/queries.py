@@ -215,9 +215,9 @@ def carry_parent(spark, d):
 @query("SELECT user_id, event_id, greatest(coalesce(lead(event_id) OVER w - 1, (SELECT max(event_id) FROM events)), event_id) AS span_end FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def span_close(spark, d):
     events = table(spark, d, "events").select("user_id", "event_id")
-    last = events.agg(F.max("event_id").alias("last"))
+    last = events.agg(F.max("event_id").alias("last")).scalar()
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return events.crossJoin(F.broadcast(last)).select("user_id", "event_id", F.greatest(F.coalesce(F.lead("event_id").over(w) - 1, "last"), "event_id").alias("span_end"))
+    return events.withColumn("last", last).select("user_id", "event_id", F.greatest(F.coalesce(F.lead("event_id").over(w) - 1, "last"), "event_id").alias("span_end"))
 
 
 @query("""
@@ -540,7 +540,7 @@ def anchor_pages(spark, d):
     """Structural retrieval over the written filings."""
     pages = html.page_table(html.parse_documents(fixtures.filings(spark), "doc_id", "html", 40))
     asked = spark.createDataFrame([("q1", "What were capital expenditures and cash flow?"), ("q2", "Why did organic growth slow, and what drove it?")], "qid string, question string")
-    scope = asked.select("qid").crossJoin(pages.select("doc_id").distinct()).withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))  # two written questions
+    scope = spark.createDataFrame([(q, "ACME_2022_10K", 1) for q in ("q1", "q2")], "qid string, doc_id string, position int")
     return anchors.anchor_search(asked, scope, pages, sections.build_tree(pages))
 
 
