@@ -45,6 +45,40 @@ FILING = f"""<html><head><title>Report</title></head><body><div><h1>PART I</h1><
 <div><p>Volumes were driven by new shops, and organic sales rose in the last months.</p></div><div style="break-after: page"><p>PART II</p><p>Item 8. Financial Statements</p><p>See the pages that follow for them all.</p></div>
 {_STATEMENT}<hr/>{_TAGGED}<p>Notes close the report, as every year before it. 12</p></body></html>"""
 
+# What the filing above holds, read off by hand.
+#: row_idx, col_idx, row_label, col_label, raw_text, numeric_value, sign
+CELLS = (
+    (1, 2, "Purchases of equipment", "2022", "(1,577)", -1577, -1),
+    (1, 4, "Purchases of equipment", "2021", "(1,373)", -1373, -1),
+    (2, 2, "Dividends paid", "2022", "300", 300, 1),
+    (2, 4, "Dividends paid", "2021", "280", 280, 1),
+    (3, 2, "Depreciation", "2022", "1,200", 1200, 1),
+    (3, 4, "Depreciation", "2021", "1,100", 1100, 1),
+)
+#: fact number, qname, value, sign, scale, period_start, period_end, is_instant, row_label, dimensions
+FACTS = (
+    (0, "us-gaap:PaymentsToAcquirePropertyPlantAndEquipment", -1577000000, -1, 6, "2022-01-01", "2022-12-31", False, "Capital spending", "{}"),
+    (1, "us-gaap:Assets", 2500000, 1, 3, "2022-12-31", "2022-12-31", True, "Assets", '{"us-gaap:StatementBusinessSegmentsAxis":"acme:Tools"}'),
+)
+#: ordinal, raw_title, kind, page_start, page_end, parent ordinal
+SECTIONS = (
+    (0, "PART I", "part", 1, 1, None),
+    (1, "Item 1. Business", "item", 1, 1, 0),
+    (2, "Item 7. Management's Discussion and Analysis of Financial Condition and Results of Operations.", "mdna", 2, 2, 1),
+    (3, "PART II", "part", 3, 3, None),
+    (4, "Item 8. Financial Statements", "item", 3, 3, 3),
+    (5, "CONSOLIDATED STATEMENTS OF CASH FLOWS", "statement", 4, 5, 4),
+)
+
+
+def sql_rows(rows: tuple) -> str:
+    """Rows as SQL VALUES."""
+
+    def cell(v) -> str:
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
 
 def filings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("ACME_2022_10K", FILING), ("EMPTY_2022_10K", ""), ("PLAIN_2022_10K", "<p>Only a few words, on one page, without any break.</p>")], "doc_id string, html string")

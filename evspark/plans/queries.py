@@ -514,25 +514,28 @@ def html_blocks(spark, d):
     return html.block_table(parsed_pages(spark, d))
 
 
-@query()
+@query(f"WITH v(ordinal, raw_title, kind, page_start, page_end, parent) AS (VALUES {fixtures.sql_rows(fixtures.SECTIONS)}) SELECT 'ACME_2022_10K' AS doc_id, ordinal, raw_title, kind, page_start, page_end, 'ACME_2022_10K#s' || parent AS parent_id FROM v")
 def heading_tree(spark, d):
     """Sections of the written filings."""
-    return sections.build_tree(html.page_table(html.parse_documents(fixtures.filings(spark), "doc_id", "html", 40)))
+    tree = sections.build_tree(html.page_table(html.parse_documents(fixtures.filings(spark), "doc_id", "html", 40)))
+    return tree.select("doc_id", "ordinal", "raw_title", "kind", "page_start", "page_end", "parent_id")
 
 
-@query()
+@query(f"WITH v(row_idx, col_idx, row_label, col_label, raw_text, numeric_value, sign) AS (VALUES {fixtures.sql_rows(fixtures.CELLS)}) SELECT 'ACME_2022_10K' AS doc_id, row_idx, col_idx, row_label, col_label, raw_text, CAST(numeric_value AS DOUBLE) AS numeric_value, sign, 'millions' AS scale FROM v")
 def table_cells(spark, d):
     """Typed cells of the written filings' tables."""
     parsed = html.parse_documents(fixtures.filings(spark), "doc_id", "html", 40)
-    grids = parsed.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.col("p.page_seq").alias("page_seq"), F.posexplode("p.tables").alias("table_at", "grid"))
-    return tables.typed_cells(tables.analyse(grids), ["doc_id", "page_seq", "table_at"])
+    grids = parsed.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.posexplode("p.tables").alias("table_at", "grid"))
+    cells = tables.typed_cells(tables.analyse(grids), ["doc_id", "table_at"])
+    return cells.select("doc_id", "row_idx", "col_idx", "row_label", "col_label", "raw_text", F.col("numeric_value").cast("double").alias("numeric_value"), "sign", "scale")
 
 
-@query()
+@query(f"WITH v(n, qname, value, sign, scale, period_start, period_end, is_instant, row_label, dimensions) AS (VALUES {fixtures.sql_rows(fixtures.FACTS)}) SELECT 'ACME_2022_10K' AS doc_id, 'ACME_2022_10K#f' || n AS fact_id, qname, CAST(value AS DOUBLE) AS value, 'USD' AS unit, scale, sign, period_start, period_end, is_instant, dimensions, row_label FROM v")
 def xbrl_facts(spark, d):
     """Facts of the written filings."""
     found = xbrl.facts(xbrl.read_tagged(fixtures.filings(spark), "doc_id", "html"))
-    return found.withColumn("dimensions", F.to_json("dimensions"))
+    shown = {"dimensions": F.to_json("dimensions"), "value": F.col("value").cast("double"), "period_start": F.col("period_start").cast("string"), "period_end": F.col("period_end").cast("string")}
+    return found.withColumns(shown)
 
 
 @query()

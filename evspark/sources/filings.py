@@ -65,16 +65,16 @@ def read_aliases(spark: SparkSession, table: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "company_slug string, alias string")
 
 
-GOLD = "financebench_id string, question string, answer string, justification string, doc_name string, company string, question_type string, evidence array<struct<evidence_text:string,evidence_text_full_page:string>>"
+GOLD = "question string, answer string, justification string, doc_name string, company string, question_type string, evidence array<struct<evidence_text:string,evidence_text_full_page:string>>"
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Questions from JSON lines, evidence split in two lists, the answer's shape derived."""
+def read_gold(spark: SparkSession, path: str, id_field: str = "id") -> DataFrame:
+    """Questions from JSON lines, evidence split in two lists, the answer's shape derived; ``id_field`` holds the question's id."""
     from evspark.functions.text import answer_shape
 
-    raw = spark.read.schema(GOLD).json(path)
+    raw = spark.read.schema(f"`{id_field}` string, {GOLD}").json(path)
     pick = lambda f: F.filter(F.transform("evidence", lambda e: e[f]), lambda t: t.isNotNull())
-    return raw.select(F.col("financebench_id").alias("qid"), "question", "answer", "doc_name", "company", answer_shape(F.col("answer")).alias("shape"), pick("evidence_text").alias("evidence_texts"), pick("evidence_text_full_page").alias("evidence_pages"))
+    return raw.select(F.col(f"`{id_field}`").alias("qid"), "question", "answer", "doc_name", "company", answer_shape(F.col("answer")).alias("shape"), pick("evidence_text").alias("evidence_texts"), pick("evidence_text_full_page").alias("evidence_pages"))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

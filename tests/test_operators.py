@@ -230,8 +230,8 @@ def test_negatives_and_grid(spark):
 
 
 def test_gold_reader(spark, tmp_path):
-    (tmp_path / "g.jsonl").write_text('{"financebench_id":"q","question":"?","answer":"$5","doc_name":"D","company":"C","evidence":[{"evidence_text":"t","evidence_text_full_page":"p"}]}\n')
-    row = filings.read_gold(spark, str(tmp_path / "g.jsonl")).first()
+    (tmp_path / "g.jsonl").write_text('{"q_id":"q","question":"?","answer":"$5","doc_name":"D","company":"C","evidence":[{"evidence_text":"t","evidence_text_full_page":"p"}]}\n')
+    row = filings.read_gold(spark, str(tmp_path / "g.jsonl"), "q_id").first()
     assert row["shape"] == "numeric" and row["evidence_texts"] == ["t"] and row["evidence_pages"] == ["p"]
 
 
