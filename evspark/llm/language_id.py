@@ -13,7 +13,7 @@ is ``und``; null languages are not learned from; an empty table gives an empty r
 
 from __future__ import annotations
 
-import re
+import regex
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +33,7 @@ SAMPLE_DOCS = 3000
 WINDOWS_PER_DOC = 4
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 5, 0
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 SPAN = max(WIDTHS)
 
 
