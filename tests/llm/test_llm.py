@@ -90,7 +90,9 @@ def plain_lines(rows):
     keys = list(first)
 
     def print_of(words):
-        used = {w for w in words if len(w) > line_dedup.SHORT_WORD} or set(words)
+        used = [w for w in words if len(w) > line_dedup.SHORT_WORD]
+        if not used:
+            return xxhash.xxh64_intdigest(" ".join(words).encode(), 1)  # alike only if equal
         counts = [0] * 64
         for w in used:
             h = xxhash.xxh64_intdigest(w.encode(), 42)
