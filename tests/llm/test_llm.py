@@ -646,3 +646,9 @@ def test_pipeline_against_plain_stages(spark):
         assert got == rows, name
     total = sum(r["length"] for r in corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect())
     assert total == sum(r["length"] for r in corpus_pipeline.run(spark, SF).collect()) > 0
+
+
+def test_short_words_count_in_prints(spark):
+    rows = [(1, "some longer words of it"), (2, "some longer words"), (3, "some longer words of it of it")]
+    prints = {r["doc_id"]: r["fp"] for r in line_dedup.simhash_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert prints[1] != prints[2] and prints[1] == prints[3]
