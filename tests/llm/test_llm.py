@@ -652,3 +652,51 @@ def test_short_words_count_in_prints(spark):
     rows = [(1, "some longer words of it"), (2, "some longer words"), (3, "some longer words of it of it")]
     prints = {r["doc_id"]: r["fp"] for r in line_dedup.simhash_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert prints[1] != prints[2] and prints[1] == prints[3]
+
+
+def plain_similar(a, b):
+    """Whether the edit distance of two lines is at most a fifth of the longer one."""
+    most = int(0.2 * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row2 = [i]
+        for j, y in enumerate(b, 1):
+            row2.append(min(row[j] + 1, row2[-1] + 1, row[j - 1] + (x != y)))
+        row = row2
+        if min(row) > most:
+            return False
+    return row[-1] <= most
+
+
+def test_line_dedup_by_edit_similarity_alone(spark):
+    """Every pair has a vocabulary of its own, so that links over third lines can't stand in for its own."""
+    rng = random.Random(7)
+    rows, planned = [], 0
+    for k in range(240):
+        size = (2, 6, 15, 27, 60)[k % 5]
+        alphabet = "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(60)) if k % 4 == 3 else "abcdefghijklmnopqrstuvwxyz"
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9))) for _ in range(size)]
+        line = ("" if k % 4 == 3 else " ").join(words)
+        at = rng.randrange(len(line))
+        if k % 3 == 0 and k % 4 != 3:
+            i = rng.randrange(size)
+            words[i] = "".join(rng.choice(alphabet) for _ in words[i])
+            other = " ".join(words)
+        else:
+            other = line[:at] + "é" + line[at + 1 :] if line[at] != " " else line + "\r"
+        rows += [(2 * k, line), (2 * k + 1, other)]
+        planned += plain_similar(line, other)
+    going = {r["doc_id"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    expected = {2 * k + 1 for k in range(240) if rows[2 * k][1] == rows[2 * k + 1][1] or plain_similar(rows[2 * k][1], rows[2 * k + 1][1])}
+    assert planned > 150 and going <= expected
+    assert len(going) >= 0.98 * len(expected), (len(going), len(expected))
+
+
+def test_line_dedup_against_all_pairs_by_edit_similarity(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RADIUS", 64)  # for the brute force: prints leave no pair out
+    rows = near_lines(11)
+    going = plain_lines(rows)
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["removed_lines"]) for r in got if r["n_removed"]} == going
