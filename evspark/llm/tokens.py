@@ -73,15 +73,29 @@ def _byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def vocabulary_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
-    """Ids of a byte-level tokenizer file whose merges stand in id order; special tokens' strings are ordinary text.
+    """Ids of a byte-level tokenizer file whose merges stand in id order.
 
-    The ``tokenizers`` library gives the same ids from the same file (tests compare them) at four times the CPU time.
+    Texts are cut at the file's added tokens first, as the ``tokenizers`` library does by default; it gives the same ids
+    from the same file (tests compare them) at four times the CPU time.
     """
     import tiktoken
 
     alphabet = _byte_alphabet()
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
-    special = {t["content"] for t in content.get("added_tokens", ())}
-    ranks = {bytes(alphabet[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(name="vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = {t["content"]: t["id"] for t in content.get("added_tokens", ())}
+    if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in content.get("added_tokens", ())):
+        raise ValueError(f"{path}: added tokens that take in or depend on what is around them are not supported")
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in added}
+    ordinary = tiktoken.Encoding(name="vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return ordinary
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+
+    def encode(text: str) -> list[int]:
+        parts = cut(text)
+        if len(parts) == 1:
+            return ordinary(text)
+        return list(chain.from_iterable([added[part]] if i % 2 else ordinary(part) for i, part in enumerate(parts)))
+
+    return encode

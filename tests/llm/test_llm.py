@@ -700,3 +700,16 @@ def test_line_dedup_against_all_pairs_by_edit_similarity(spark, monkeypatch):
     going = plain_lines(rows)
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: list(r["removed_lines"]) for r in got if r["n_removed"]} == going
+
+
+def test_packing_ids_at_the_library_default(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path(TOKENIZER_FILE))
+    encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    ours = tokens.vocabulary_encoder(tokenizer_path(TOKENIZER_FILE), token_pattern())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a  <|endoftext|>\n", "<|endoftext", ""):
+        assert ours(text) == encode(text)
+    df = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    pieces = packing.with_checksums(packing.pack_documents(df, tokenizer_path(TOKENIZER_FILE), token_pattern())).collect()
+    assert check_pieces(pieces, {r["doc_id"]: r["text"] for r in df.collect()}, encode) == 0
