@@ -35,6 +35,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without_rows(docs: DataFrame, id_col: str, key: Column, going: DataFrame) -> DataFrame:
+    """``docs`` without the rows that have an id and key of ``going`` (columns _id, _key, kept), null ids included.
+
+    Where ``kept`` is true, several rows share id and key, and the least of them by all columns stays.
+    """
+    keyed = docs.withColumn("_row_key", key)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
+    left = keyed.join(going.select("_id", "_key"), same, "left_anti").select(*docs.columns)
+    tied = going.filter("kept").select("_id", "_key")
+    if tied.isEmpty():
+        return left
+    one = keyed.join(tied, same, "left_semi").groupBy(F.col(id_col).alias("_by"), "_row_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return left.unionByName(one.select("_row.*"))
+
+
 #: Rows in an Arrow batch between the JVM and Python: texts are long, and both sides hold a few batches.
 ARROW_ROWS = 500
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, sha256_hex
+from .common import ascii_lower, materialise, sha256_hex, without_rows
 
 #: Up to this many bits the filter travels as one array to every task (8 MB); a larger filter stays a table and is joined.
 MAX_LITERAL_BITS = 1 << 26
@@ -101,6 +101,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_literal_bits: int = MAX_LITERAL_BITS) -> DataFrame:
-    """The documents that stay, all columns as they came. Only rows whose id may be among the dropped are shuffled."""
-    dropped = materialise(exact_dedup(docs, id_col, text_col, max_literal_bits).filter("not kept").select("doc_id"), "dropped")
-    return docs.join(dropped, docs[id_col] == dropped["doc_id"], "left_anti")
+    """The documents that stay, one of each group of equal texts, all columns as they came.
+
+    Decided by id and digest: an id may have several texts. Rows that share both, or have null ids only, keep one.
+    """
+    found = exact_dedup(docs, id_col, text_col, max_literal_bits).filter("group_size > 1")
+    rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    going = materialise(rows.filter("not kept or n > 1").drop("n"), "dropped")
+    return without_rows(docs, id_col, sha256_hex(normalised(text_col)), going)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, bound_batches, materialise, text_rows
+from .common import Emitter, arrow_schema, bound_batches, materialise, text_rows, without_rows
 from .components import connected_components
 
 BITS = 64
@@ -360,6 +360,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The first document of each component, all columns as they came."""
-    dropped = materialise(near_duplicates(docs, id_col, text_col, radius).filter("doc_id != component_id").select(F.col("doc_id").alias("_dropped")), "dropped")
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    """The first document of each component, all columns as they came.
+
+    Decided by row (id and hash of the text), and components are of fingerprints: an id may have several texts. Null
+    ids come last, and of rows that share id and text one stays.
+    """
+    key = F.xxhash64(F.col(text_col))
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), key.alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "rows")
+    prints = materialise(fingerprints(docs.select(key.alias("key"), text_col), "key", text_col).groupBy("doc_id").agg(F.first("fp").alias("fp")).withColumnRenamed("doc_id", "key"), "fingerprints")
+    links = near_links(materialise(prints.select("fp").distinct(), "distinct"), radius)
+    roots = materialise(connected_components(links).select(F.col("node").alias("fp"), "root"), "roots")
+    placed = rows.join(prints, "key").join(roots, "fp", "left")
+    placed = materialise(placed.select("doc_id", "key", "n", F.coalesce("root", "fp").alias("root")), "placed")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    keep = materialise(placed.groupBy("root").agg(F.min(place).alias("keep"), F.sum("n").alias("members")).filter("members > 1"), "keep")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("key") == F.col("keep.key"))
+    going = placed.join(keep, "root").withColumn("kept", kept).filter("not kept or n > 1")
+    going = materialise(going.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "kept"), "dropped")
+    return without_rows(docs, id_col, key, going)

@@ -713,3 +713,17 @@ def test_packing_ids_at_the_library_default(spark, docs):
     df = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     pieces = packing.with_checksums(packing.pack_documents(df, tokenizer_path(TOKENIZER_FILE), token_pattern())).collect()
     assert check_pieces(pieces, {r["doc_id"]: r["text"] for r in df.collect()}, encode) == 0
+
+
+def test_copies_are_dropped_by_row(spark, docs):
+    kept = exact_dedup.drop_exact_copies(docs).collect()
+    same = [r for r in kept if r["text"] and r["text"].endswith("thirteen.")]
+    assert [r["doc_id"] for r in same] == [5]
+    a, b = "first words of one text that goes on for a while", "quite another story told by somebody else at sea"
+    frame = spark.createDataFrame([(5, a, 1), (7, a, 2), (5, b, 3), (None, "alone", 4), (None, "alone", 5), (None, b.upper(), 6)], "doc_id long, text string, n int")
+    for drop, first in ((exact_dedup.drop_exact_copies, 2), (simhash.drop_near_duplicates, 1)):
+        left = drop(frame).collect()
+        expected = [(None, "alone", 4), (5, b, 3), (7, a, 2) if first == 2 else (5, a, 1)]
+        got = [tuple(r) for r in left if r["n"] != 6]
+        assert sorted(got, key=str) == sorted(expected, key=str)
+    assert sum(r["n"] == 6 for r in exact_dedup.drop_exact_copies(frame).collect()) == 0
