@@ -28,26 +28,47 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def reader(like: DataFrame, path: str) -> DataFrame:
+    return like.sparkSession.read.schema(like.schema).parquet(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def materialise(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a reader of it: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = new_path(df.sparkSession, label)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return reader(df, path)
 
 
 def without_rows(docs: DataFrame, id_col: str, key: Column, going: DataFrame) -> DataFrame:
     """``docs`` without the rows that have an id and key of ``going`` (columns _id, _key, kept), null ids included.
 
-    Where ``kept`` is true, several rows share id and key, and the least of them by all columns stays.
+    Where ``kept`` is true, several rows share id and key, and the least of them by all columns stays. Rows that a
+    filter of ``going`` tells apart pass straight through; the others are joined. Columns of any name stay as they are.
     """
-    keyed = docs.withColumn("_row_key", key)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
-    left = keyed.join(going.select("_id", "_key"), same, "left_anti").select(*docs.columns)
+    from .exact_dedup import split_by_members
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col(id_col).alias("id"), key.alias("key"))
+    probe = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "key")
+    going = going.select("_id", "_key", "kept", F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), "_key").alias("_probe"))
+    rest, passing = split_by_members(keyed, probe, going, "_probe", going.count())
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    left = rest.join(going, same, "left_anti")
+    left = (left if passing is None else left.unionByName(passing)).select("row.*")
     tied = going.filter("kept").select("_id", "_key")
     if tied.isEmpty():
         return left
-    one = keyed.join(tied, same, "left_semi").groupBy(F.col(id_col).alias("_by"), "_row_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return left.unionByName(one.select("_row.*"))
+    one = rest.join(tied, same, "left_semi").groupBy("id", "key").agg(F.min("row").alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 #: Rows in an Arrow batch between the JVM and Python: texts are long, and both sides hold a few batches.

@@ -1,11 +1,16 @@
 """Exact deduplication by two passes over a Bloom filter, with DataFrame functions only.
 
-Pass one hashes every normalised text to a few positions of a bit table and keeps the positions hit more than once.
-Pass two tests each row: one whose positions were not all hit again has a text of its own and passes straight through;
+The filter is blocked: a digest's signature names one 64-bit word and two bits in it. Pass one counts signatures, one
+long per row and combined before the shuffle, and sets the bits of those that occur more than once. Pass two tests each
+row: one whose bits are not all set has a text of its own and passes straight through, whatever the size of the table;
 only the others are shuffled and grouped by digest. False positives cost a little shuffle and never change a result.
 
+A task holds one segment of the filter. Where the filter has several, digests are written by segment, without a
+shuffle, and each segment's rows meet only its own words.
+
 Edge cases: a null text counts as empty; rows repeating an id and a text share one decision; null ids lose to any
-other id, and a group of null ids alone has a null ``keep_id``; an empty table gives an empty result.
+other id, and a group of null ids alone has a null ``keep_id``; an empty table gives an empty result; other columns are
+never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,80 +18,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, sha256_hex, without_rows
+from .common import append, ascii_lower, materialise, new_path, reader, sha256_hex, without_rows
 
-#: Up to this many bits the filter travels as one array to every task (8 MB); a larger filter stays a table and is joined.
-MAX_LITERAL_BITS = 1 << 26
-HASHES = 2
+#: Bits of the filter that a task holds at most (8 MB).
+SEGMENT_BITS = 1 << 26
 BITS_PER_ROW = 16
+_PATTERNS = 64 * 64
 
 
 def normalised(text: str = "text") -> Column:
     return ascii_lower(F.coalesce(F.col(text), F.lit("")))
 
 
-def _positions(digest: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(seed), digest), F.lit(bits)) for seed in range(HASHES)]
+def filter_words(rows: int, segment_bits: int = SEGMENT_BITS) -> tuple[int, int]:
+    """Words of a filter for so many rows, and into how many segments they fall."""
+    words = 1 << max(4, (rows * BITS_PER_ROW // 64).bit_length())
+    return words, max(1, words * 64 // max(64, segment_bits))
+
+
+def signature(value: Column, words: int) -> Column:
+    """Word and two bits (six binary digits each) in one long."""
+    return F.pmod(F.xxhash64(value), F.lit(words * _PATTERNS))
+
 
+def mask_of(signature_: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({signature_} & 63 as int)) | shiftleft(1L, cast(shiftright({signature_}, 6) & 63 as int))")
 
-def _bits_for(rows: int) -> int:
-    return 1 << max(10, (rows * BITS_PER_ROW - 1).bit_length())
 
+def set_words(signatures: DataFrame) -> DataFrame:
+    """word and mask of a filter that holds all ``signatures`` (column sig)."""
+    return signatures.groupBy(F.expr(f"sig div {_PATTERNS}").alias("word")).agg(F.bit_or(mask_of("sig")).alias("mask"))
 
-def repeated_positions(digests: DataFrame, column: str, bits: int) -> DataFrame:
-    """Pass one: filter positions that more than one row hit. Counts are combined before the shuffle."""
-    hits = digests.select(F.explode(F.array(*_positions(F.col(column), bits))).alias("position"))
-    return hits.groupBy("position").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1").select("position")
 
+def repeated_words(signatures: DataFrame) -> DataFrame:
+    """Pass one: a filter of the signatures that more than one row has."""
+    return set_words(signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1"))
 
-def _as_array(positions: DataFrame, bits: int) -> DataFrame:
-    """One row: the filter as a dense array of 64-bit words."""
-    spark = positions.sparkSession
-    words = positions.groupBy(F.expr("position div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(position % 64 as int))")).alias("mask"))
-    dense = spark.range(bits // 64).withColumnRenamed("id", "word").join(words, "word", "left")
-    pairs = dense.select("word", F.coalesce("mask", F.lit(0)).alias("mask"))
+
+def _as_array(words: DataFrame, first: int, count: int) -> DataFrame:
+    """One row: ``count`` words of the filter, from ``first`` on, as a dense array."""
+    dense = words.sparkSession.range(first, first + count).withColumnRenamed("id", "word")
+    pairs = dense.join(words.filter(F.col("word").between(first, first + count - 1)), "word", "left").select("word", F.coalesce("mask", F.lit(0)).alias("mask"))
     return pairs.agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("pairs")).select(F.col("pairs.mask").alias("bits"))
 
 
-def flag_possible_repeats(digests: DataFrame, column: str, rows: int, max_literal_bits: int = MAX_LITERAL_BITS) -> DataFrame:
-    """Pass two: adds boolean ``maybe``, false only for rows whose digest certainly occurs once."""
-    bits = _bits_for(rows)
-    positions = repeated_positions(digests, column, bits)
-    if bits <= max_literal_bits:
-        filter_bits = materialise(_as_array(positions, bits), "bloom").scalar()
-        return digests.withColumn("maybe", _all_set(filter_bits, F.col(column), bits))
-    positions = materialise(positions, "bloom")
-    flagged = digests
-    for i, position in enumerate(_positions(F.col(column), bits)):
-        side = positions.select(F.col("position").alias(f"_p{i}"), F.lit(True).alias(f"_hit{i}"))
-        flagged = flagged.withColumn(f"_p{i}", position).join(side, f"_p{i}", "left")
-    maybe = F.lit(True)
-    for i in range(HASHES):
-        maybe = maybe & F.col(f"_hit{i}").isNotNull()
-    return flagged.withColumn("maybe", maybe).drop(*[f"_p{i}" for i in range(HASHES)], *[f"_hit{i}" for i in range(HASHES)])
-
-
-def bloom_test(wanted: DataFrame, column: str, rows_of: int, max_literal_bits: int = MAX_LITERAL_BITS) -> Column:
-    """A condition on ``column`` (long) that holds for every value in ``wanted`` and for few others; always true where
-    the filter would outgrow its bound."""
-    bits = _bits_for(rows_of)
-    if bits > max_literal_bits:
-        return F.lit(True)
-    positions = wanted.select(F.explode(F.array(*_positions(F.col(column), bits))).alias("position")).distinct()
-    return _all_set(materialise(_as_array(positions, bits), "bloom").scalar(), F.col(column), bits)
-
-
-def _all_set(filter_bits: Column, value: Column, bits: int) -> Column:
-    found = F.lit(True)
-    for position in _positions(value, bits):
-        word = F.get(filter_bits, F.floor(position / 64).cast("int"))
-        found = found & (F.call_function("shiftright", word, (position % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return found
-
-
-def _decisions(docs: DataFrame, id_col: str, text_col: str, max_literal_bits: int) -> DataFrame:
-    digests = materialise(docs.select(F.col(id_col).alias("doc_id"), sha256_hex(normalised(text_col)).alias("text_sha256")), "digests")
-    flagged = flag_possible_repeats(digests, "text_sha256", digests.count(), max_literal_bits)
+def _holds(words: DataFrame, first: int, count: int, sig: str = "sig") -> Column:
+    """Whether the filter may hold column ``sig``, for signatures of the segment that starts at word ``first``."""
+    bits = materialise(_as_array(words, first, count), "bloom").scalar()
+    mask = mask_of(sig)
+    return F.get(bits, F.expr(f"cast({sig} div {_PATTERNS} - {first} as int)")).bitwiseAND(mask) == mask
+
+
+def flag_possible_repeats(digests: DataFrame, words: int, segments: int) -> DataFrame:
+    """Pass two: adds boolean ``maybe``, false only for rows whose digest certainly occurs once.
+
+    ``digests`` has a column sig, and with several segments a column segment by which it is stored.
+    """
+    found = materialise(repeated_words(digests.select("sig")), "bloom-words")
+    if segments == 1:
+        return digests.withColumn("maybe", _holds(found, 0, words))
+    path, each = new_path(digests.sparkSession, "flagged"), words // segments
+    for k in range(segments):
+        part = digests.filter(F.col("segment") == k).drop("segment").withColumn("maybe", _holds(found, k * each, each))
+        append(part, path)
+    return reader(part, path)
+
+
+def split_by_members(rows: DataFrame, value: Column, members: DataFrame, column: str, count: int, segment_bits: int = SEGMENT_BITS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose ``value`` may be in ``members[column]`` (``count`` rows), and those whose value certainly is not.
+
+    Where the filter outgrows a segment, all rows may be and the second is None.
+    """
+    words, segments = filter_words(count, segment_bits)
+    if segments > 1:
+        return rows, None
+    found = set_words(members.select(signature(F.col(column), words).alias("sig")))
+    probed, test = rows.withColumn("_sig", signature(value, words)), _holds(found, 0, words, "_sig")
+    return probed.filter(test).drop("_sig"), probed.filter(~test).drop("_sig")
+
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str, segment_bits: int) -> DataFrame:
+    words, segments = filter_words(docs.count(), segment_bits)
+    digests = docs.select(F.col(id_col).alias("doc_id"), sha256_hex(normalised(text_col)).alias("text_sha256"))
+    digests = digests.withColumn("sig", signature(F.col("text_sha256"), words))
+    if segments > 1:
+        digests = digests.withColumn("segment", F.expr(f"cast(sig div {_PATTERNS * (words // segments)} as int)"))
+    digests = materialise(digests, "digests", by=("segment",) if segments > 1 else ())
+    flagged = flag_possible_repeats(digests, words, segments).drop("sig")
     alone = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     several = flagged.filter("maybe").drop("maybe")
     groups = several.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -94,18 +112,18 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, max_literal_bits: in
     return alone.unionByName(several.join(groups, "text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_literal_bits: int = MAX_LITERAL_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id (the largest id of its group), group_size, kept, text_sha256."""
-    found = _decisions(docs, id_col, text_col, max_literal_bits)
+    found = _decisions(docs, id_col, text_col, segment_bits)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_literal_bits: int = MAX_LITERAL_BITS) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """The documents that stay, one of each group of equal texts, all columns as they came.
 
     Decided by id and digest: an id may have several texts. Rows that share both, or have null ids only, keep one.
     """
-    found = exact_dedup(docs, id_col, text_col, max_literal_bits).filter("group_size > 1")
+    found = exact_dedup(docs, id_col, text_col, segment_bits).filter("group_size > 1")
     rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     going = materialise(rows.filter("not kept or n > 1").drop("n"), "dropped")
     return without_rows(docs, id_col, sha256_hex(normalised(text_col)), going)
