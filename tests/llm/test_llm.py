@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -79,43 +80,17 @@ def test_queries(spark, name):
 # 1 line deduplication
 
 
-def plain_lines(rows):
+def plain_lines(rows, least=0.8):
+    """All pairs of lines by edit similarity alone."""
     occurrences, first = [], {}
     for doc, text in rows:
         for k, line in enumerate((text or "").split("\n")):
-            words = tuple(w for w in line.lower().split(" ") if w)
+            words = " ".join(w for w in line.lower().split(" ") if w)
             if words:
                 occurrences.append(((doc is None, doc, k), words))
                 first.setdefault(words, len(first))
     keys = list(first)
-
-    def print_of(words):
-        used = {w for w in words if len(w) > line_dedup.SHORT_WORD} or set(words)
-        counts = [0] * 64
-        for w in used:
-            h = xxhash.xxh64_intdigest(w.encode(), 42)
-            for b in range(64):
-                counts[b] += h >> b & 1
-        return sum(1 << b for b in range(64) if counts[b] * 2 > len(used))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row2 = [i]
-            for j, y in enumerate(b, 1):
-                row2.append(min(row[j] + 1, row2[-1] + 1, row[j - 1] + (x != y)))
-            row = row2
-        return row[-1]
-
-    prints = [print_of(w) for w in keys]
-    links = []
-    for i, j in combinations(range(len(keys)), 2):
-        if bin(prints[i] ^ prints[j]).count("1") <= line_dedup.RADIUS:
-            a, b = " ".join(keys[i]), " ".join(keys[j])
-            if max(len(a), len(b)) > line_dedup.LONG_LINE:
-                a, b = keys[i], keys[j]
-            if distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
-                links.append((i, j))
+    links = [(i, j) for i, j in combinations(range(len(keys)), 2) if plain_similar(keys[i], keys[j], least)]
     find = union_find(len(keys), links)
     keep = {}
     for place, words in occurrences:
@@ -128,6 +103,30 @@ def plain_lines(rows):
     return going
 
 
+def plain_similar(a, b, least=0.8):
+    """Whether the edit distance of two lines is at most a fifth of the longer one; bit-parallel, one column a step."""
+    a, b = sorted((a, b), key=len)
+    most = int((1 - least) * len(b) + 1e-9)
+    if len(b) - len(a) > most:
+        return False
+    left, right = Counter(a), Counter(b)
+    if max((left - right).total(), (right - left).total()) > most:
+        return False
+    at, full, top = {}, (1 << len(a)) - 1, 1 << len(a) - 1
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    plus, minus, distance = full, 0, len(a)
+    for c in b:
+        equal = at.get(c, 0)
+        vertical = equal | minus
+        across = (((equal & plus) + plus) ^ plus) | equal
+        up, down = minus | ~(across | plus) & full, plus & across
+        distance += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        plus, minus = down | ~(vertical | up) & full, up & vertical
+    return distance <= most
+
+
 def near_lines(seed=3):
     rng = random.Random(seed)
     vocabulary = ["word%d" % i for i in range(300)] + ["a", "of", "|"]
@@ -144,11 +143,55 @@ def near_lines(seed=3):
     return rows
 
 
-def test_line_dedup_against_all_pairs(spark):
-    rows = near_lines()
-    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: list(r["removed_lines"]) for r in got if r["n_removed"]} == plain_lines(rows)
-    assert {r["doc_id"]: r["n_lines"] for r in got} == {i: len(t.split("\n")) for i, t in rows}
+def share_found(got, going):
+    """Of the lines that all pairs remove, the share that was; none but those may be."""
+    wanted = {(d, n) for d, lines in going.items() for n in lines}
+    found = {(r["doc_id"], n) for r in got for n in r["removed_lines"]}
+    assert found <= wanted and len(wanted) > 50
+    return len(found) / len(wanted)
+
+
+def test_line_dedup_against_all_pairs(spark, real):
+    for rows in (near_lines(), near_lines(11), [(r["doc_id"], r["text"]) for r in real.select("doc_id", "text").collect()]):
+        got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["n_lines"] for r in got} == {i: len((t or "").split("\n")) for i, t in rows}
+        assert share_found(got, plain_lines(rows)) >= 0.9
+
+
+def test_pairs_of_lines_are_found(spark, real):
+    """Recall of pairs, which groups can't help."""
+    lines = sorted({" ".join(w for w in x.lower().split(" ") if w) for r in real.collect() for x in (r["text"] or "").split("\n")})
+    near = [(a, b) for a, b in combinations([x for x in lines if x], 2) if plain_similar(a, b)]
+    rows = [(2 * k + side, line) for k, pair in enumerate(near) for side, line in enumerate(pair)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = line_dedup.materialise(line_dedup.distinct_lines(line_dedup.simhash_lines(frame)), "lines")
+    names = {t: r[0] for t, r in zip([t for _, t in rows], spark.createDataFrame(rows, "doc_id long, text string").selectExpr("xxhash64(split(text, ' '))").collect())}
+    found = {(r["a"], r["b"]) for r in line_dedup.candidates(nodes).collect()}
+    pairs = [tuple(sorted((names[a], names[b]))) for a, b in near]
+    assert len(pairs) > 20 and sum(p in found for p in pairs) >= 0.85 * len(pairs)
+
+
+def plain_print(features):
+    counts = [0] * 128
+    for f in features:
+        low = xxhash.xxh64_intdigest(f.encode(), 42)
+        h = low | xxhash.xxh64_intdigest(low.to_bytes(8, "little"), 42) << 64
+        for b in range(128):
+            counts[b] += h >> b & 1
+    return sum(1 << b for b in range(128) if counts[b] * 2 > len(features))
+
+
+def test_line_prints(spark):
+    rng = random.Random(4)
+    lines = [" ".join("w%d" % rng.randrange(900) for _ in range(n)) for n in (1, 2, 3, 9, 126, 127, 128, 254, 255, 600, 1500)] + ["a b", "漢字" * 30, "x" * 16, "x" * 17 + " of it"]
+    got = {(r["doc_id"], r["kind"]): (r["f0"] & (1 << 64) - 1) | (r["f1"] & (1 << 64) - 1) << 64 for r in line_dedup.simhash_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    expected = {}
+    for i, line in enumerate(lines):
+        pieces = [[w[k : k + 4] for k in range(len(w) - 3)] if len(w) > 16 else [w] for w in line.split(" ")]
+        expected[i, 0] = plain_print({f for p in pieces for f in p})
+        for kind in [1] * (22 <= len(line) < 80) + [2] * (5 <= len(line) < 28):
+            expected[i, kind] = plain_print({line[k : k + 2] for k in range(len(line) - 1)})
+    assert got == expected
 
 
 def test_line_dedup_edges(spark, docs, empty):
@@ -198,7 +241,6 @@ def test_packing_covers_every_id(spark, real, docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path(TOKENIZER_FILE))
-    tokenizer.encode_special_tokens = True
     encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
     for df in (real, docs.filter("doc_id is not null").dropDuplicates(["doc_id"])):
         pieces = packing.with_checksums(packing.pack_documents(df, tokenizer_path(TOKENIZER_FILE), token_pattern())).collect()
@@ -269,20 +311,37 @@ def plain_groups(rows):
     return {norm: (max((d for d in ids if d is not None), default=None), len(ids)) for norm, ids in groups.items()}
 
 
-@pytest.mark.parametrize("limit", [exact_dedup.MAX_LITERAL_BITS, 0])
-def test_exact_dedup(spark, docs, empty, limit):
-    got = exact_dedup.exact_dedup(docs, max_literal_bits=limit).collect()
+@pytest.mark.parametrize("bits", [exact_dedup.SEGMENT_BITS, 256])
+def test_exact_dedup(spark, docs, empty, bits):
+    assert exact_dedup.filter_words(len(EDGES), 256)[1] > 1
+    got = exact_dedup.exact_dedup(docs, segment_bits=bits).collect()
     expected = plain_groups([(r[0], r[1]) for r in EDGES])
     assert len(got) == len(EDGES)
     by_sha = {hashlib.sha256(n.encode()).hexdigest(): v for n, v in expected.items()}
     for r in got:
         assert (r["keep_id"], r["group_size"]) == by_sha[r["text_sha256"]] and r["kept"] == (r["doc_id"] == r["keep_id"])
-    assert exact_dedup.exact_dedup(empty, max_literal_bits=limit).count() == 0
-    kept = exact_dedup.drop_exact_copies(docs, max_literal_bits=limit)
+    assert exact_dedup.exact_dedup(empty, segment_bits=bits).count() == 0
+    kept = exact_dedup.drop_exact_copies(docs, segment_bits=bits)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == {2, 4, 5, 6, 7, 8, 9, 10}
 
 
+@pytest.mark.parametrize("bits", [exact_dedup.SEGMENT_BITS, 64 * 64])
+def test_few_unique_rows_are_flagged(spark, bits):
+    """All rows that repeat and few others go on, with one segment and with several."""
+    texts = spark.range(3000).select(F.concat(F.lit("text "), F.when(F.col("id") < 300, F.col("id") % 100).otherwise(F.col("id"))).alias("text_sha256"))
+    words, segments = exact_dedup.filter_words(3000, bits)
+    digests = texts.withColumn("sig", exact_dedup.signature(F.col("text_sha256"), words))
+    if segments > 1:
+        digests = digests.withColumn("segment", F.expr(f"cast(sig div {4096 * (words // segments)} as int)"))
+    flagged = exact_dedup.flag_possible_repeats(digests, words, segments)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0] and "Join" not in plan.split("Subquery")[0]
+    rows = [(r["text_sha256"], r["maybe"]) for r in flagged.collect()]
+    assert len(rows) == 3000
+    assert sum(m for t, m in rows if int(t.split()[1]) < 100) == 300 and sum(m for _, m in rows) < 330
+
+
 def test_exact_dedup_has_no_python(spark, docs):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -648,28 +707,6 @@ def test_pipeline_against_plain_stages(spark):
     assert total == sum(r["length"] for r in corpus_pipeline.run(spark, SF).collect()) > 0
 
 
-def test_short_words_count_in_prints(spark):
-    rows = [(1, "some longer words of it"), (2, "some longer words"), (3, "some longer words of it of it")]
-    prints = {r["doc_id"]: r["fp"] for r in line_dedup.simhash_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert prints[1] != prints[2] and prints[1] == prints[3]
-
-
-def plain_similar(a, b):
-    """Whether the edit distance of two lines is at most a fifth of the longer one."""
-    most = int(0.2 * max(len(a), len(b)) + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row2 = [i]
-        for j, y in enumerate(b, 1):
-            row2.append(min(row[j] + 1, row2[-1] + 1, row[j - 1] + (x != y)))
-        row = row2
-        if min(row) > most:
-            return False
-    return row[-1] <= most
-
-
 def test_line_dedup_by_edit_similarity_alone(spark):
     """Every pair has a vocabulary of its own, so that links over third lines can't stand in for its own."""
     rng = random.Random(7)
@@ -694,14 +731,6 @@ def test_line_dedup_by_edit_similarity_alone(spark):
     assert len(going) >= 0.98 * len(expected), (len(going), len(expected))
 
 
-def test_line_dedup_against_all_pairs_by_edit_similarity(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "RADIUS", 64)  # for the brute force: prints leave no pair out
-    rows = near_lines(11)
-    going = plain_lines(rows)
-    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: list(r["removed_lines"]) for r in got if r["n_removed"]} == going
-
-
 def test_packing_ids_at_the_library_default(spark, docs):
     from tokenizers import Tokenizer
 
