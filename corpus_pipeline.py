@@ -7,7 +7,6 @@ and reads it again as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from evspark.llm import exact_dedup, language_id, packing, simhash, substring_dedup
 from evspark.llm.common import materialise, table
@@ -17,7 +16,7 @@ from evspark.llm.queries import TOKENIZER_FILE, token_pattern, tokenizer_path
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; only texts without any letter are rejected."""
     net = language_id.fit_language_model(docs, language_id.learnable())
-    return language_id.identify(docs, net).filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.keep_known(docs, net)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those left empty go, and n_chars is counted anew."""
-    columns = docs.columns
-    kept = substring_dedup.substring_dedup(docs, columns=[c for c in columns if c not in ("text", "n_chars")], as_text=True)
-    left = kept.filter((F.col("n_removed") == 0) | (F.length("kept") > 0)).withColumnRenamed("kept", "text")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return substring_dedup.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import Emitter, arrow_schema, bound_batches, crc_mod, release_memory, text_rows
 
@@ -212,26 +213,39 @@ def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
     return train(windows, labels, languages) if len(labels) else None
 
 
-def identify(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row; other columns stay as they are."""
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    at = [f.name for f in kept].index(text_col)
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    out_type = StructType(kept).add("lang_pred", StringType()).add("score", DoubleType())
+def predicted_rows(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -> DataFrame:
+    """_row (a struct of all columns, whatever their names), lang_pred and score."""
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    out_type = StructType([source.schema["_row"]]).add("lang_pred", StringType()).add("score", DoubleType())
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                found = list(predictions(net, [t for _, t in text_rows(batch, at, at)]))
+                found = list(predictions(net, [t for _, t in text_rows(batch, 1, 1)]))
                 added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *added], names=["_row", "lang_pred", "score"])
         release_memory()
 
     return bound_batches(source).mapInArrow(kernel, out_type)
 
 
+def identify(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -> DataFrame:
+    """Adds lang_pred and score to every row, in place of columns of these names; all others stay as they are."""
+    found = predicted_rows(docs, net, text_col)
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return found.select(*kept, "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -> DataFrame:
+    """The rows in a language that the model predicts, all columns as they came; without a model none is rejected.
+
+    Texts without any letter (null and empty ones among them) are in no language.
+    """
+    if net is None:
+        return docs
+    return predicted_rows(docs, net, text_col).filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
+
+
 def learnable(id_col: str = "doc_id") -> Column:
     return crc_mod(id_col, HELD_OUT_MODULUS) != HELD_OUT_REMAINDER

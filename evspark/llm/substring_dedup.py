@@ -15,7 +15,7 @@ chosen by its content (see ``anchors``), so equal stretches are found through eq
 5. Documents remove what was settled in 2 and 4, wherever their contexts occur.
 
 Steps 3 and 5 read documents by bucket of their id and share one shuffle of them. The number of shards and buckets
-follows ``spark.sql.shuffle.partitions``.
+grows with the text, and is no less than ``spark.sql.shuffle.partitions``.
 
 Edge cases: a null text counts as empty; rows repeating an id are never evidence against each other; null ids count as
 larger than all others; documents shorter than 50 bytes stay whole; an empty table gives an empty result.
@@ -39,6 +39,8 @@ from .suffix_array import permuted_lcp, suffix_array
 FLUSH_BYTES = 8 << 20
 ARRAY_SYMBOLS = 2_000_000
 LAST_ID = (1 << 63) - 1
+#: Text that a bucket of documents has on the average, at most.
+PART_BYTES = 64 << 20
 NAMES, SETTLED, ASKED = 0, 1, 2
 #: A string in this many documents is common. A gathering of text counts those that stand in at least LOCAL_DOCS of its
 #: documents; at most MOST_COMMON, the most frequent, are told to the tasks. No result depends on which are common.
@@ -264,17 +266,19 @@ def send_bytes(docs: DataFrame, asked: DataFrame, shards: int, common: CommonGra
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted_docs, wanted, _, _ = _orders_by_doc(right)
         found: list[tuple] = []
-        done = set()
+        sent: dict[int, np.ndarray] = {}  # contexts sent already, of ids that several rows have
         ids, texts = left.column("_id").to_pylist(), left.column("_text")
         for i, doc in enumerate(ids):
             low, high = np.searchsorted(wanted_docs, doc, "left"), np.searchsorted(wanted_docs, doc, "right")
-            if low == high or doc in done:
+            if low == high:
                 continue
-            done.add(doc)
             data = np.frombuffer((texts[i].as_py() or "").encode(), np.uint8)
             _, gram, context, start, end = anchors(data, common)
             at = np.flatnonzero(np.isin(context, wanted[low:high]))
+            if doc in sent:
+                at = at[~np.isin(context[at], sent[doc])]
             at = at[np.unique(context[at], return_index=True)[1]]
+            sent[doc] = np.r_[sent[doc], context[at]] if doc in sent else context[at]
             for k, s, e in zip(at.tolist(), start[at].tolist(), end[at].tolist()):
                 found.append((int(gram[k]), int(context[k]), doc, data[s:e].tobytes()))
         out = Emitter(schema, max_rows=1 << 60, max_bytes=1 << 60)
@@ -387,13 +391,11 @@ def removed_spans(data: np.ndarray, contexts: np.ndarray, starts: np.ndarray, en
 
 
 def apply_orders(docs: DataFrame, orders: DataFrame, as_text: bool, common: CommonGrams = NONE) -> DataFrame:
-    """Step 5: every row of ``docs`` with n_bytes, n_removed, n_spans and kept (its remaining bytes, or their text)."""
-    fields = [f for f in docs.schema.fields if f.name not in ("_id", "_text", "bucket")]
-    out_type = StructType(list(fields))
+    """Step 5: the rows of ``docs`` (column _row) with n_bytes, n_removed, n_spans and kept (remaining bytes, or their text)."""
+    out_type = StructType([docs.schema["_row"]])
     for name in ("n_bytes", "n_removed", "n_spans"):
         out_type = out_type.add(name, LongType())
     out_type = out_type.add("kept", StringType() if as_text else BinaryType())
-    names = [f.name for f in fields]
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         order_docs, contexts, starts, ends = _orders_by_doc(right)
@@ -413,26 +415,44 @@ def apply_orders(docs: DataFrame, orders: DataFrame, as_text: bool, common: Comm
         last_column = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         added = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), last_column]
         del kept, ids, texts
-        columns = [left.column(n).combine_chunks() for n in names] + added
+        columns = [left.column("_row").combine_chunks(), *added]
         release_memory()
-        return pa.table(columns, names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table(columns, names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return docs.groupBy("bucket").cogroup(orders.groupBy("bucket")).applyInArrow(kernel, out_type)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, as_text: bool = False, common_docs: int = COMMON_DOCS, local_docs: int = LOCAL_DOCS) -> DataFrame:
-    """Every row with its ``columns`` (default: the id), n_bytes, n_removed, n_spans and kept.
+def rows_with_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, as_text: bool = False, common_docs: int = COMMON_DOCS, local_docs: int = LOCAL_DOCS) -> DataFrame:
+    """_row (a struct of ``columns``, whatever their names), n_bytes, n_removed, n_spans and kept.
 
     ``kept`` has the remaining bytes, or with ``as_text`` the text they spell; where a removed run cuts a character of
-    several bytes, the rest of that character goes too.
+    several bytes, the rest of that character goes too. Shards and buckets are as many as PART_BYTES of text asks for.
     """
-    parts = max(1, int(bound_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    parts = max(1, int(bound_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     shards, buckets = 2 * parts, parts | 1
-    carried = [id_col] if columns is None else columns
-    keyed = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)])
+    keyed = docs.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(text_col).alias("_text"))
     keyed = keyed.withColumn("bucket", bucket_column("_id", buckets))
     common = common_grams(keyed, common_docs, local_docs)
     orders = materialise(settle(name_anchors(keyed, shards, common), shards, buckets), "orders")
     asked = orders.filter(F.col("kind") == ASKED)
     found = sort_shards(send_bytes(keyed, asked, shards, common), shards, buckets)
     return apply_orders(keyed, orders.filter(F.col("kind") == SETTLED).unionByName(found), as_text, common)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common_docs: int = COMMON_DOCS, local_docs: int = LOCAL_DOCS) -> DataFrame:
+    """The id of every row, with n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
+    found = rows_with_removals(docs, id_col, text_col, [id_col], common_docs=common_docs, local_docs=local_docs)
+    return found.select(F.col("_row").getField(id_col).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The documents with repeated stretches taken out of their texts, and ``length_col``, if there is one, counted anew.
+
+    Documents left empty by that go. All other columns stay as they are, whatever their names.
+    """
+    found = rows_with_removals(docs, id_col, text_col, [c for c in docs.columns if c not in (text_col, length_col)], as_text=True)
+    left = found.filter((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    made = {text_col: F.col("kept"), length_col: F.length("kept").cast(docs.schema[length_col].dataType if length_col in docs.columns else "long")}
+    return left.select(*[(made[c] if c in made else F.col("_row").getField(c)).alias(c) for c in docs.columns])

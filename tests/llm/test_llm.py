@@ -539,8 +539,30 @@ def test_substring_removal_against_all_windows(spark, docs, empty, real):
         few = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), common_docs=5, local_docs=2).collect()
         assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in few), key=str) == plain_removal(rows)
     assert substring_dedup.substring_dedup(empty).count() == 0
-    text = substring_dedup.substring_dedup(docs, columns=["doc_id", "lang"], as_text=True)
-    assert text.columns == ["doc_id", "lang", "n_bytes", "n_removed", "n_spans", "kept"]
+    passage = "a passage of well over fifty bytes that two documents have in common, word by word."
+    again = [(9, passage), (5, "short"), (5, "before " + passage + " after"), (3, passage[:60] + "x")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame([*again, (12, passage)], "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got), key=str) == plain_removal([*again, (12, passage)])
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, empty):
+    """Every stage's rows on edge cases, with columns named as those that operators make."""
+    import corpus_pipeline
+
+    clash = ["kept", "bucket", "_id", "_text", "_row", "n_removed", "score", "lang_pred", "row", "id", "key", "sig", "maybe", "_dropped"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns and [f.dataType for f in got.schema] == [f.dataType for f in wide.schema], name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in clash), name
+        assert stage(spark, wide.limit(0), SF).count() == 0, name
+    ids = lambda name: sorted(str(r["doc_id"]) for r in dict(corpus_pipeline.STAGES)[name](spark, docs, SF).collect())
+    assert ids("language_id") == sorted(["3", "4", "5", "5", "6", "7", "10", "None"])
+    assert ids("exact_dedup") == sorted(["2", "4", "5", "6", "7", "8", "9", "10"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, wide, SF).collect()
+    assert {r["doc_id"] for r in packed} == {r[0] for r in EDGES}
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), SF).count() == 0
 
 
 # 8 language
