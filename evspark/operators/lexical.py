@@ -25,9 +25,14 @@ def corpus_statistics(paged: DataFrame) -> DataFrame:
     return paged.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_idf(paged: DataFrame) -> DataFrame:
-    """term, df and idf; a negative idf becomes a quarter of the mean of all."""
-    df = paged.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_counts(paged: DataFrame) -> DataFrame:
+    """term and df, combined before the shuffle."""
+    return paged.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def term_idf(paged: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """term, df and idf; a negative idf becomes a quarter of the mean of all. ``counts``: a stored table of ``term_counts``."""
+    df = term_counts(paged) if counts is None else counts
     counted = df.withColumn("n", corpus_statistics(paged).select("n").scalar())
     raw = counted.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf")).scalar()
@@ -35,10 +40,13 @@ def term_idf(paged: DataFrame) -> DataFrame:
     return raw.withColumn("mean_idf", mean).select("term", "df", idf.alias("idf"))
 
 
-def bm25_scores(paged: DataFrame, questions: DataFrame, key: str, qkey: str, question: Column, scope: str | None = None) -> DataFrame:
-    """qkey, key[, scope] and score of every page that shares a token with a question. Repeated query tokens count again."""
+def bm25_scores(paged: DataFrame, questions: DataFrame, key: str, qkey: str, question: Column, scope: str | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """qkey, key[, scope] and score of every page that shares a token with a question. Repeated query tokens count again.
+
+    ``paged`` is read several times, so it and ``counts`` are best stored tables: then no text is cut again.
+    """
     asked = questions.select(qkey, F.explode(tokens(question)).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = asked.join(term_idf(paged), "term").select(qkey, "term", (F.col("times") * F.col("idf")).alias("weight"))
+    weights = asked.join(term_idf(paged, counts), "term").select(qkey, "term", (F.col("times") * F.col("idf")).alias("weight"))
     wanted = asked.select("term").distinct()
     kept = [key] + ([scope] if scope else [])
     seen = paged.select(*kept, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")

@@ -220,15 +220,33 @@ def resolve_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
     return best.groupBy(*keys).pivot("operand", sorted(OPERANDS)).agg(F.first("value"))
 
 
+# Fixed value: how a slot's name or period shows a year.
+SLOT_YEAR = r"(?i)(?:fy)?\s*(?:19|20)\d{2}"
+
+
+def canonical_name(name: Column) -> Column:
+    """The name without years, in lower case, words apart by single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), SLOT_YEAR, " "), "[^a-z0-9]+", " "))
+
+
 def align_operands(slots: DataFrame, required: DataFrame, qid: str = "qid") -> DataFrame:
-    """For each required name of a question, a slot (name, period, value): an exact name first, else one that contains it or
-    is contained; latest periods first, and no slot twice."""
-    name = lambda c: F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]+", "_")
-    s = slots.withColumn("slot", F.row_number().over(Window.partitionBy(qid).orderBy("name", F.desc("period")))).withColumn("canonical", name("name"))
-    pairs = required.withColumn("wanted", name("required")).join(s, qid)
-    kind = F.when(F.col("canonical") == F.col("wanted"), 0).when(F.col("canonical").contains(F.col("wanted")) | F.col("wanted").contains(F.col("canonical")), 1)
-    scored = pairs.withColumn("kind", kind).filter("kind is not null")
-    by_name = Window.partitionBy(qid, "required").orderBy("kind", F.desc("period"), "slot")
-    by_slot = Window.partitionBy(qid, "slot").orderBy("kind", "required")
-    claimed = scored.withColumn("_s", F.row_number().over(by_slot)).filter("_s = 1").withColumn("_n", F.row_number().over(by_name)).filter("_n = 1")
+    """For each required name of a question, a slot (name, period, value), or none.
+
+    Slots are grouped by canonical name, latest period first, those without a year last. ``x`` takes the first slot of
+    its group and ``x__prev`` the second. A name without a group takes the first group that contains it or is contained
+    in it. No slot serves two names; the current period's go first.
+    """
+    s = slots.withColumn("slot", F.row_number().over(Window.partitionBy(qid).orderBy("name", F.desc("period"), "value"))).withColumn("group", canonical_name(F.col("name")))
+    year = F.regexp_extract(F.col("period").cast("string"), r"((?:19|20)\d{2})", 1).try_cast("int")
+    by_period = Window.partitionBy(qid, "group").orderBy(F.desc_nulls_last(year), "slot")
+    ranked = s.withColumn("place", F.row_number().over(by_period) - 1)
+    groups = ranked.groupBy(qid, "group").agg(F.min("slot").alias("first"))
+    asked = required.select(qid, "required").distinct()
+    asked = asked.withColumn("wanted", canonical_name(F.split("required", "__")[0])).withColumn("place", F.col("required").contains("__").cast("int"))
+    loose = (F.col("wanted") != "") & (F.col("group").contains(F.col("wanted")) | F.col("wanted").contains(F.col("group")))
+    kind = F.when(F.col("group") == F.col("wanted"), 0).when(loose, 1)
+    options = asked.join(groups, qid).withColumn("kind", kind).filter("kind is not null")
+    best = options.groupBy(qid, "required", "place").agg(F.min_by("group", F.struct("kind", "first")).alias("group"))
+    found = best.join(ranked, [qid, "group", "place"])
+    claimed = found.withColumn("turn", F.row_number().over(Window.partitionBy(qid, "slot").orderBy("place", "required"))).filter("turn = 1")
     return required.join(claimed.select(qid, "required", "name", "period", "value"), [qid, "required"], "left")

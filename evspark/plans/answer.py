@@ -32,13 +32,20 @@ TIERS = (Tier(20, 1), Tier(40, 2))
 BUDGET = 42_000
 
 
+def lexical_index(paged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages' tokens and their document frequencies as stored tables, so that texts are cut once."""
+    stored = written(paged, "page-tokens")
+    return stored, written(lexical.term_counts(stored), "term-counts")
+
+
 def retrieve(questions: DataFrame, scope: DataFrame, pages: DataFrame, sections: DataFrame, tier: Tier) -> list[tuple[str, DataFrame, float]]:
     """Structural and lexical rankings (qid, page_id, rank) within each question's documents. Lexical statistics stay those of all pages."""
     asked = questions.select("qid", "question")
     keyed = pages.select("page_id", "doc_id", "page_seq")
     structural = anchors.anchor_search(asked, scope, pages, sections).join(keyed, ["doc_id", "page_seq"]).select("qid", "page_id", "rank")
     paged = lexical.page_tokens(pages, "page_id", F.coalesce(F.nullif("lexical_text", F.lit("")), "raw_text") if "lexical_text" in pages.columns else F.col("raw_text"), "doc_id")
-    scores = lexical.bm25_scores(paged, asked, "page_id", "qid", F.col("question"), "doc_id").join(scope.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+    paged, counts = lexical_index(paged)
+    scores = lexical.bm25_scores(paged, asked, "page_id", "qid", F.col("question"), "doc_id", counts).join(scope.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
     words = lexical.top_pages(scores, "qid", "page_id", tier.k, "doc_id").select("qid", "page_id", "rank")
     return [("anchors", written(structural, "anchors"), 1.0), ("bm25", written(words, "bm25"), 1.0)]
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evspark.functions import text as T
-from evspark.operators import anchors, dense, evaluate, fusion, gates, lexical, metrics, route, sections, tables
+from evspark.operators import anchors, composite, dense, evaluate, fusion, gates, lexical, metrics, route, sections, tables
 from evspark.sources import filings, html, sinks, xbrl
 from evspark.streaming import ingest
 
-from . import fixtures
+from . import answer, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,7 +100,8 @@ def token_stats(spark, d):
     SELECT item_id, source, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM best WHERE r <= 3""")
 def bm25_scoped_topk(spark, d):
     """Top 3 of each source for each passage, then ranked over all."""
-    scores = lexical.bm25_scores(corpus(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id", F.col("text"), "source")
+    paged, counts = answer.lexical_index(corpus(spark, d))
+    scores = lexical.bm25_scores(paged, table(spark, d, "benchmark"), "doc_id", "item_id", F.col("text"), "source", counts)
     return lexical.top_pages(scores, "item_id", "doc_id", 3, "source").select("item_id", "source", "doc_id", "score", "rank")
 
 
@@ -108,7 +109,8 @@ _GLOBAL = "ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITIO
 
 
 def global_ranking(spark, d, k: int = 10) -> DataFrame:
-    scores = lexical.bm25_scores(corpus(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id", F.col("text"))
+    paged, counts = answer.lexical_index(corpus(spark, d))
+    scores = lexical.bm25_scores(paged, table(spark, d, "benchmark"), "doc_id", "item_id", F.col("text"), counts=counts)
     return lexical.top_pages(scores, "item_id", "doc_id", k)
 
 
@@ -236,23 +238,23 @@ def span_expand_assign(spark, d):
 
 
 @query("""
-    WITH cat AS (SELECT DISTINCT o_custkey AS slug, year(o_orderdate) AS fy FROM orders WHERE o_custkey % 10 = 0),
+    WITH cat AS (SELECT DISTINCT o_custkey AS slug, year(o_orderdate) AS fy FROM orders),
     mx AS (SELECT *, max(fy) OVER (PARTITION BY slug) AS max_year FROM cat),
-    q AS (SELECT c_custkey AS qid, c_custkey AS slug, 1996 + c_custkey % 4 AS y FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 30 <> 0 UNION ALL SELECT c_custkey, c_custkey, NULL FROM customer WHERE c_custkey % 30 = 0),
+    q AS (SELECT c_custkey AS qid, c_custkey AS slug, CASE WHEN c_custkey % 3 <> 0 THEN 1996 + c_custkey % 4 END AS y FROM customer),
     s AS (SELECT qid, 'c' || q.slug || '-' || fy AS doc_id, fy, 10 + CASE WHEN y IS NULL THEN CASE WHEN fy = max_year THEN 6 ELSE -3 END WHEN fy = y THEN 25 WHEN y BETWEEN fy - 2 AND fy THEN 4 ELSE -15 END + 4 AS score FROM q JOIN mx USING (slug)),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fy DESC, doc_id) AS rank FROM s)
     SELECT q.qid, r.doc_id, r.score, r.rank, r.doc_id IS NULL AS needs_clarification FROM q LEFT JOIN (SELECT * FROM r WHERE rank <= 4) r USING (qid)""")
 def route_score_topk(spark, d):
     """Customers stand in for companies and their order years for annual reports; every third question names no year."""
-    orders = table(spark, d, "orders").filter("o_custkey % 10 = 0").select("o_custkey", F.year("o_orderdate").alias("y")).distinct()
+    orders = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y")).distinct()
     # Two-digit years before 2000 are outside a question's years, so the stand-in moves by a century.
     year = F.col("y") + 100
     catalog = orders.select(
         F.concat(F.lit("c"), "o_custkey", F.lit("-"), "y").alias("doc_id"), F.concat(F.lit("C"), "o_custkey").alias("company_slug"), F.lit("10-K").alias("form_type"), year.alias("fiscal_year"),
         F.lit(None).cast("int").alias("fiscal_quarter"), F.lit(None).cast("date").alias("filing_date"), F.sequence(year - 2, year).alias("coverage_years"),
     )
-    c = table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey")
-    asked = F.when(F.col("c_custkey") % 30 != 0, F.concat(F.lit(" in FY"), (2096 + F.col("c_custkey") % 4).cast("string"))).otherwise("")
+    c = table(spark, d, "customer").select("c_custkey")
+    asked = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit(" in FY"), (2096 + F.col("c_custkey") % 4).cast("string"))).otherwise("")
     questions = c.select(F.col("c_custkey").alias("qid"), F.concat(F.lit("What was the revenue of c"), "c_custkey", asked, F.lit("?")).alias("question"))
     aliases = c.select(F.concat(F.lit("C"), "c_custkey").alias("company_slug"), F.concat(F.lit("c"), "c_custkey").alias("alias"))
     return route.route(questions, catalog, aliases)
@@ -261,12 +263,26 @@ def route_score_topk(spark, d):
 _QUESTION_VALUES = ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in fixtures.QUESTIONS)
 
 
-@query(f"WITH v(qid, question, answer, intent, shape, declined) AS (VALUES {_QUESTION_VALUES}) SELECT qid, intent, shape, declined = 'yes' AS declined FROM v UNION ALL SELECT 'doc' || doc_id, 'historical', CASE WHEN contains(trim(text), chr(10)) THEN 'multi_sentence' ELSE 'other' END, FALSE FROM documents WHERE NOT regexp_matches(lower(text), '(forecast|guidance|outlook|project|expect|anticipat|going|next|coming|upcoming|following|future)') AND contains(trim(text), chr(10)) AND doc_id >= 0")
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+# RE2 has no look-around: figures' points go in two turns, and sentence ends keep what follows them.
+_SHAPES = f"""a AS (SELECT 'doc' || doc_id AS qid, coalesce(text, '') AS raw, trim(coalesce(text, '')) AS txt FROM documents),
+    p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(txt, {_sql(T.ABBREVIATION)}, '', 'g'), '([0-9])[.]([0-9])', '\\1\\2', 'g'), '([0-9])[.]([0-9])', '\\1\\2', 'g') AS plain FROM a),
+    e AS (SELECT *, len(list_filter(string_split(regexp_replace(regexp_replace(plain, '[.!?](\\s|\\(|\\$)', chr(1) || '\\1', 'g'), '[.!?]$', chr(1)), chr(1)), lambda x: trim(x) <> '')) AS sentences FROM p),
+    docs AS (SELECT qid, CASE WHEN regexp_matches(regexp_replace(raw, {_sql(T.FORECAST_EXCLUSIONS)}, ' ', 'g'), {_sql(T.FORECAST_MARKERS)}) THEN 'forecast' ELSE 'historical' END AS intent,
+        CASE WHEN txt = '' THEN 'phrase' WHEN regexp_matches(txt, {_sql(T.YES_NO)}) THEN 'yes_no' WHEN regexp_matches(txt, {_sql(T.NUMERIC_ANSWER)}) THEN 'numeric'
+             WHEN regexp_matches(txt, {_sql(T.LIST_MARKER)}) OR sentences >= 2 OR len(regexp_extract_all(txt, {_sql(T.NUMBER)})) >= 2 THEN 'multi_sentence' ELSE 'phrase' END AS shape,
+        regexp_matches(txt, {_sql(T.DECLINE_OPENING)}) AS declined FROM e)"""
+
+
+@query(f"WITH v(qid, question, answer, intent, shape, declined) AS (VALUES {_QUESTION_VALUES}), {_SHAPES} SELECT qid, intent, shape, declined = 'yes' AS declined FROM v UNION ALL SELECT qid, intent, shape, declined FROM docs")
 def intent_shape(spark, d):
-    """Written questions with known intents and shapes, and the documents as answers of several lines."""
+    """Written questions with known intents and shapes, and all documents as questions and answers."""
     q = fixtures.questions(spark).select("qid", T.intent(F.col("question")).alias("intent"), T.answer_shape(F.col("answer")).alias("shape"), T.reads_as_decline(F.col("answer")).alias("declined"))
-    docs = table(spark, d, "documents").filter("contains(trim(text), '\\n')").filter(~F.lower("text").rlike("(forecast|guidance|outlook|project|expect|anticipat|going|next|coming|upcoming|following|future)"))
-    return q.unionByName(docs.select(F.concat(F.lit("doc"), "doc_id").alias("qid"), T.intent(F.col("text")).alias("intent"), T.answer_shape(F.col("text")).alias("shape"), T.reads_as_decline(F.col("text")).alias("declined")))
+    read = [T.intent(F.col("text")).alias("intent"), T.answer_shape(F.col("text")).alias("shape"), T.reads_as_decline(F.col("text")).alias("declined")]
+    return q.unionByName(table(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("qid"), *read))
 
 
 @query(f"""WITH {_SETS}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY jscore DESC, doc_id) AS n FROM jac)
@@ -275,12 +291,12 @@ def gold_jaccard(spark, d):
     return evaluate.gold_pages(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
 
 
-_LOCATED = f"WITH {_SETS}, loc AS (SELECT b.item_id, coalesce(max(round(shared / CAST(s.np AS DOUBLE), 6)), 0) AS containment FROM bt b LEFT JOIN (SELECT * FROM sh WHERE doc_id % 3 = 0) s USING (item_id) GROUP BY 1)"
+_LOCATED = f"WITH {_SETS}, loc AS (SELECT b.item_id, coalesce(max(round(shared / CAST(s.np AS DOUBLE), 6)), 0) AS containment FROM bt b LEFT JOIN sh s USING (item_id) GROUP BY 1)"
 
 
 def located(spark, d) -> DataFrame:
-    cited = table(spark, d, "documents").filter("doc_id % 3 = 0")  # what the answers are taken to cite
-    return evaluate.location_hits(table(spark, d, "benchmark"), cited, "item_id", "doc_id")
+    """Every document counts as cited."""
+    return evaluate.location_hits(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
 
 
 @query(f"{_LOCATED} SELECT item_id % 10 AS grp, bool_or(containment >= 0.6) AS located FROM loc GROUP BY 1")
@@ -378,13 +394,20 @@ def metric_rank_compare(spark, d):
 _NUMBER_VALUES = ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else "NULL" if v is None else str(v) for v in row) + ")" for row in fixtures.NUMBERS)
 
 
-@query(f"WITH v(txt, first, n, matches) AS (VALUES {_NUMBER_VALUES}) SELECT txt, CAST(first AS DOUBLE) AS first_value, n AS figures, matches = 1 AS matches FROM v UNION ALL SELECT 'doc' || doc_id, NULL, 0, FALSE FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
+_SCALE_CASES = " ".join(f"WHEN '{word}' THEN 1e{power}" for word, power in T.SCALE_WORDS.items())
+_FIGURES = f"""raw AS (SELECT 'doc' || doc_id AS txt, regexp_extract_all(coalesce(text, ''), {_sql(T.NUMBER_WITH_SCALE)}, 1) AS found FROM documents),
+    parts AS (SELECT txt, list_transform(found, lambda x: {{'word': lower(regexp_extract(x, '([A-Za-z]*)$', 1)), 'figure': regexp_replace(x, '(?i)(thousands?|millions?|billions?|trillions?|k|mm|bn)$', '')}}) AS found FROM raw),
+    digits AS (SELECT txt, list_transform(found, lambda x: {{'word': x.word, 'figure': x.figure, 'digits': regexp_replace(x.figure, '[()$,+ \t\n]', '', 'g')}}) AS found FROM parts),
+    read AS (SELECT txt, list_filter(list_transform(found, lambda x: (CASE WHEN contains(x.figure, '(') OR starts_with(x.digits, '-') THEN -1.0 ELSE 1.0 END) * TRY_CAST(replace(x.digits, '-', '') AS DOUBLE) * CAST(CASE x.word {_SCALE_CASES} ELSE 1 END AS DOUBLE)), lambda x: x IS NOT NULL) AS found FROM digits),
+    near AS (SELECT txt, found, len(list_filter(found, lambda x: abs(1577 - x) <= 0.005 * 1577 OR len(list_filter([1e3, 1e6, 1e9], lambda f: (x <> 0 AND abs(1577 * f - x) <= 0.005 * abs(x)) OR (x <> 0 AND abs(1577 - x * f) <= 0.005 * abs(x * f)))) > 0)) > 0 AS matches FROM read)"""
+
+
+@query(f"WITH v(txt, first, n, matches) AS (VALUES {_NUMBER_VALUES}), {_FIGURES} SELECT txt, CAST(first AS DOUBLE) AS first_value, n AS figures, matches = 1 AS matches FROM v UNION ALL SELECT txt, found[1], len(found), matches FROM near")
 def number_extract(spark, d):
-    """Written answers with known figures, and the documents without a digit."""
+    """Written answers with known figures, and all documents."""
     read = lambda c: [T.first_number(c).alias("first_value"), F.size(T.all_numbers(c)).alias("figures"), T.numbers_match(F.lit("1577"), c).alias("matches")]
     written = fixtures.numbers(spark).select("txt", *read(F.col("txt")))
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike("[0-9]"))
-    return written.unionByName(docs.select(F.concat(F.lit("doc"), "doc_id").alias("txt"), *read(F.col("text"))))
+    return written.unionByName(table(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("txt"), *read(F.col("text"))))
 
 
 _SCORED = "sc AS (SELECT l.doc_id, d.lang AS shape, doc_id % 11 = 0 AS abstained, quality = 1 AS correct, toxic = 0 AS located FROM labels l JOIN documents d USING (doc_id)), s AS (SELECT *, CASE WHEN abstained THEN 0 WHEN NOT correct THEN -1 WHEN located THEN 1 ELSE 0 END AS score FROM sc)"
@@ -538,6 +561,43 @@ def xbrl_facts(spark, d):
     return found.withColumns(shown)
 
 
+@query("""WITH s AS (SELECT o_custkey AS qid, year(o_orderdate) AS y, CAST(sum(o_totalprice) AS DOUBLE) AS value FROM orders GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY y DESC) AS n FROM s)
+    SELECT qid, max(value) FILTER (n = 1) AS revenue, max(value) FILTER (n = 2) AS revenue_prev, CAST(NULL AS DOUBLE) AS cogs FROM r GROUP BY 1""")
+def operand_align(spark, d):
+    """Every customer's yearly totals as slots named after their year, for a formula that asks for this year's and the last one's."""
+    totals = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("qid"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").cast("double").alias("value"))
+    year = F.col("y").cast("string")
+    slots = totals.select("qid", F.concat(F.lit("Revenue FY"), year).alias("name"), F.concat(F.lit("FY"), year).alias("period"), "value")
+    required = totals.select("qid").distinct().withColumn("required", F.explode(F.array(*map(F.lit, ("revenue", "revenue__prev", "cogs")))))
+    found = metrics.align_operands(slots, required).groupBy("qid").pivot("required", ["revenue", "revenue__prev", "cogs"]).agg(F.first("value"))
+    return found.withColumnRenamed("revenue__prev", "revenue_prev")
+
+
+@query("""SELECT p_partkey, p_partkey % 23 - 12 AS scale, CAST(CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE 1 END * CAST((p_partkey * 1234567) || 'e' || (p_partkey % 23 - 12) AS DECIMAL(38, 6)) AS VARCHAR) AS value FROM part""")
+def xbrl_scale(spark, d):
+    """A tagged filing for every part, with scales from -12 to 10 and signs."""
+    scale, sign = (F.col("p_partkey") % 23 - 12).cast("string"), F.when(F.col("p_partkey") % 5 == 0, ' sign="-"').otherwise("")
+    head = '<ix:header><xbrli:context id="c"><xbrli:period><xbrli:instant>2022-12-31</xbrli:instant></xbrli:period></xbrli:context></ix:header>'
+    tag = F.concat(F.lit('<p><ix:nonFraction name="us-gaap:Assets" contextRef="c" scale="'), scale, F.lit('"'), sign, F.lit(">"), F.format_number(F.col("p_partkey") * 1234567, 0), F.lit("</ix:nonFraction></p>"))
+    docs = table(spark, d, "part").select(F.col("p_partkey"), F.concat(F.lit(head), tag).alias("html"))
+    found = xbrl.facts(xbrl.read_tagged(docs, "p_partkey", "html"))
+    return found.select(F.col("doc_id").cast("long").alias("p_partkey"), F.col("scale").cast("long").alias("scale"), F.col("value").cast("string").alias("value"))
+
+
+@query("""WITH p AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, n_chars, text FROM documents),
+    h AS (SELECT *, '[' || source || ' | ' || lang || ' | FY' || (2000 + doc_id % 25) || CASE WHEN doc_id % 3 = 0 THEN ' | Item ' || (doc_id % 9) ELSE '' END || ' | p.' || (doc_id % 40 + 1) || CASE WHEN doc_id % 7 <> 0 THEN ' (printed ' || (doc_id % 7) || ')' ELSE '' END || ']' AS header FROM p)
+    SELECT doc_id, header, header || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Item ' || (doc_id % 9) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '2021' || chr(10) || 'Net sales' ELSE '' END || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || text ELSE '' END AS lexical FROM h""")
+def lexical_text(spark, d):
+    """Every document as a page with provenance, section, table words and its text as summary."""
+    n = F.col("doc_id")
+    part = lambda k, extra=0: (n % k + extra).cast("int")
+    section = F.when(n % 3 == 0, F.concat(F.lit("Item "), part(9).cast("string")))
+    words = F.when(n % 2 == 0, F.array(F.lit("2021"), F.lit(""), F.lit("Net sales")))
+    pages = table(spark, d, "documents").withColumn("header", composite.context_header(F.col("source"), F.col("lang"), F.concat(F.lit("FY"), part(25, 2000).cast("string")), section, part(40, 1), part(7)))
+    return pages.select("doc_id", "header", composite.lexical_text(F.col("header"), section, words, F.col("text")).alias("lexical"))
+
+
 @query()
 def anchor_pages(spark, d):
     """Structural retrieval over the written filings."""

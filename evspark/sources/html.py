@@ -26,7 +26,10 @@ BLOCK_LEVEL = {"p", "div", "tr", "table", "br", "li", "ul", "ol", "h1", "h2", "h
 BLOCK_TAGS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_ITSELF = {"p": {"p", "div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 BOLD = re.compile(r"font-weight\s*:\s*(bold|[6-9]00)", re.I)
-HEADING_SHAPE = re.compile(r"^(part\s+[ivx]+|item\s+\d+[a-z]?|note\s+\d+)\b", re.I)
+HEADING_SHAPE = re.compile(r"^(item\s+\d+[a-z]?\.?|part\s+[ivx]+\.?|note\s+\d+|(consolidated|condensed)\s+(statements?|balance))", re.I)
+FOOTNOTE_MARK = re.compile(r"^\(?[0-9a-z]\)\s+\S|^\*\s+\S", re.I)
+HEADING_CHARS, STYLED_CHARS, FOOTNOTE_CHARS = 200, 120, 600
+HEADING_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BREAK = [re.compile(p, re.I) for p in BREAK_STYLES]
 
 
@@ -135,10 +138,10 @@ def events(root: Node) -> Iterator[object]:
 
 
 def clean(text: str) -> str:
-    """One space for runs of blanks, lines kept, empty lines dropped to one."""
+    """One space for runs of blanks; lines are kept, and of empty ones in a row one."""
     text = re.sub("[​‌‍﻿]", "", text.replace("\xa0", " "))
     lines = [" ".join(line.split()) for line in text.split("\n")]
-    return re.sub(r"\n{2,}", "\n", "\n".join(lines)).strip()
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 @dataclass
@@ -191,20 +194,20 @@ def pages_of(root: Node, min_chars: int = MIN_PAGE_CHARS) -> list[Page]:
 
 
 def is_heading(node: Node, text: str) -> bool:
-    if not text or len(text) > 200:
+    """By tag, by how the text opens, or by style of a short text: bold, or capitals only."""
+    if not 0 < len(text) <= HEADING_CHARS:
         return False
-    bold = len(text) < 120 and BOLD.search(node.attributes.get("style", "")) is not None
-    return node.tag in {"h1", "h2", "h3", "h4", "h5", "h6"} or HEADING_SHAPE.match(text) is not None or bold or (text.isupper() and 3 < len(text) < 120)
+    styled = len(text) < STYLED_CHARS and (BOLD.search(node.attributes.get("style", "")) is not None or (text.isupper() and len(text) > 3))
+    return styled or node.tag in HEADING_TAGS or HEADING_SHAPE.match(text) is not None
 
 
 def block_type(node: Node, text: str) -> str:
     if is_heading(node, text):
         return "heading"
-    if node.tag == "li" or re.match(r"^[•\-*]\s", text):
+    if node.tag == "li":
         return "list"
-    if re.match(r"^\(?\d{1,2}\)?\s", text) and len(text) < 300:
-        return "footnote"
-    return "paragraph"
+    marked = FOOTNOTE_MARK.match(text) is not None
+    return "footnote" if marked and len(text) < FOOTNOTE_CHARS else "paragraph"
 
 
 def blocks_of(page: Page) -> list[tuple[str, str, str | None]]:

@@ -77,7 +77,7 @@ def facts(raw: DataFrame) -> DataFrame:
     context = raw.select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.*")
     unit = raw.select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.*")
     shown = cell_number(F.col("shown"))
-    exact = shown * F.pow(F.lit(10.0), F.col("scale")).cast("decimal(20,6)")
+    exact = F.concat(shown.cast("string"), F.lit("E"), F.col("scale").cast("string")).try_cast("decimal(38,6)")  # shifts digits, without a double
     value = F.when(F.col("scale") == 0, shown).otherwise(exact)
     signed = F.when((F.trim(F.coalesce("sign", F.lit(""))) == "-") & (value > 0), -value).otherwise(value).cast("decimal(38,6)")
     joined = rows.join(context, ["doc_id", "context_ref"]).join(unit, ["doc_id", "unit_ref"], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evspark.functions import text as T
 from evspark.functions import vectors
-from evspark.operators import anchors, dense, evaluate, fusion, gates, metrics, provider, route, sections, tables
+from evspark.operators import anchors, composite, dense, evaluate, fusion, gates, metrics, provider, route, sections, tables
 from evspark.plans import fixtures
 from evspark.sources import filings, html, sinks, xbrl
 
@@ -72,6 +72,17 @@ def test_align_operands(spark):
     assert {r["required"]: r["value"] for r in metrics.align_operands(slots, required).collect()} == {"total_assets": 2.0, "revenue": 3.0, "cogs": None}
 
 
+def test_align_operands_by_period(spark):
+    """The latest period serves ``x`` and the one before it ``x__prev``; a slot serves one name."""
+    rows = [("a", "revenue_fy2021", "FY2021", 8.0), ("a", "Revenue FY2022", "FY2022", 10.0), ("a", "revenue", None, 1.0), ("b", "net income", "2020", 5.0), ("c", "inventory", "2019", 4.0)]
+    slots = spark.createDataFrame(rows, "qid string, name string, period string, value double")
+    asked = [("a", "revenue"), ("a", "revenue__prev"), ("b", "net_income"), ("b", "income"), ("c", "inventory__prev"), ("d", "revenue")]
+    got = {(r["qid"], r["required"]): r["value"] for r in metrics.align_operands(slots, spark.createDataFrame(asked, "qid string, required string")).collect()}
+    assert got[("a", "revenue")] == 10.0 and got[("a", "revenue__prev")] == 8.0
+    assert sorted([got[("b", "net_income")] or 0.0, got[("b", "income")] or 0.0]) == [0.0, 5.0]
+    assert got[("c", "inventory__prev")] is None and got[("d", "revenue")] is None
+
+
 def test_facts_resolve_in_order(spark):
     facts = spark.createDataFrame([("d", "us-gaap:Revenues", 5.0), ("d", "us-gaap:SalesRevenueNet", 6.0), ("d", "us-gaap:Assets", 7.0)], "doc_id string, qname string, value double")
     row = metrics.resolve_facts(facts, ["doc_id"]).first()
@@ -138,9 +149,9 @@ def test_envelopes(spark):
 def test_pages_and_blocks():
     root = html.parse("<div><p>one</p><hr></div><table><tr><td>a</td></tr><tr><td><hr></td></tr></table><div style='page-break-before:always'>two &nbsp; words</div><p>end</p><p>Page 7</p>")
     pages = html.pages_of(root, 1)
-    assert [p.text for p in pages] == ["one", "a", "two words\nend\nPage 7"]
+    assert [p.text for p in pages] == ["one", "a", "two words\n\nend\n\nPage 7"]  # of empty lines in a row one stays
     assert pages[2].printed == 7 and pages[1].start == pages[0].end + 1
-    assert [p.text for p in html.pages_of(root, 6)] == ["one\na\ntwo words\nend\nPage 7"]
+    assert [p.text for p in html.pages_of(root, 6)] == ["one\na\ntwo words\n\nend\n\nPage 7"]
     assert html.pages_of(html.parse("")) == []
     blocks = html.blocks_of(html.pages_of(html.parse("<h1>Title</h1><p>text</p><ul><li>item</li></ul><p>text</p>"), 1)[0])
     assert blocks == [("heading", "Title", None), ("paragraph", "text", "Title"), ("list", "item", "Title")]
@@ -251,3 +262,22 @@ def test_ingest_stream(spark, tmp_path):
 
 def test_schema_health(spark):
     assert filings.schema_health(spark.createDataFrame([("a", 1)], "a string, b int"), "a string, b bigint, c date") == ["b: int, not bigint", "c: missing, not date"]
+
+
+def test_ingested_pages_carry_their_provenance(spark):
+    parsed = html.parse_documents(fixtures.filings(spark), "doc_id", "html", 40)
+    catalog = fixtures.filings(spark).select("doc_id").withColumns({"company_slug": F.lit("ACME"), "form_type": F.lit("10-K"), "period_label": F.lit("FY2022")})
+    rows = composite.ingest_pages(parsed, catalog).collect()
+    assert len(rows) == html.page_table(parsed).count() > 0
+    assert all(r["context_header"].startswith("[ACME | 10-K | FY2022") and f"p.{r['page_seq']}" in r["context_header"] for r in rows)
+    assert all(r["lexical_text"].split("\n")[0] == r["context_header"] for r in rows)
+    titled = [r for r in rows if r["section_path"]]
+    assert titled and all(r["section_path"] in r["context_header"] and r["section_path"] in r["lexical_text"] for r in titled)
+    assert any(r["lexical_text"].count("\n") > 1 for r in rows)
+
+
+def test_blocks_are_typed_by_marks(spark):
+    page = "<div>" + "".join(f"<p>{t}</p>" for t in ("(1) a note on a figure", "* another note", "a) third note", "12 months ended in March", "Consolidated Statements of Income", "plain words here")) + "<li>* an item</li></div>"
+    parsed = html.parse_documents(spark.createDataFrame([("d", page)], "doc_id string, html string"), "doc_id", "html", 1)
+    got = {b["text"]: b["block_type"] for p in parsed.first()["pages"] for b in p["blocks"]}
+    assert [got[t] for t in ("(1) a note on a figure", "* another note", "a) third note", "12 months ended in March", "Consolidated Statements of Income", "plain words here", "* an item")] == ["footnote", "footnote", "footnote", "paragraph", "heading", "paragraph", "list"]
