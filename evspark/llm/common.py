@@ -44,8 +44,8 @@ def append(df: DataFrame, path: str) -> None:
 def materialise(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a reader of it: lineage ends there, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, label)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of steps that have ended
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the finished step
     return reader(df, path)
 
 
