@@ -41,10 +41,15 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of steps that have ended, which waits for the driver's next collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a reader of it: lineage ends there, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, label)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of steps that have ended
+    release_shuffles(df.sparkSession)
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return reader(df, path)
 
@@ -58,7 +63,7 @@ def without_rows(docs: DataFrame, id_col: str, key: Column, going: DataFrame) ->
     from .exact_dedup import split_by_members
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("row"), F.col(id_col).alias("id"), key.alias("key"))
+    keyed = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.explode_outer(F.array(key)).alias("key"))  # made once a row
     probe = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "key")
     going = going.select("_id", "_key", "kept", F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), "_key").alias("_probe"))
     rest, passing = split_by_members(keyed, probe, going, "_probe", going.count())

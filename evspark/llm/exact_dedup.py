@@ -93,7 +93,9 @@ def split_by_members(rows: DataFrame, value: Column, members: DataFrame, column:
     if segments > 1:
         return rows, None
     found = set_words(members.select(signature(F.col(column), words).alias("sig")))
-    probed, test = rows.withColumn("_sig", signature(value, words)), _holds(found, 0, words, "_sig")
+    # The value may be dear (a digest of a text) and is used several times, so a generator that gives one row makes it.
+    probed = rows.select("*", F.explode_outer(F.array(signature(value, words))).alias("_sig"))
+    test = _holds(found, 0, words, "_sig")
     return probed.filter(test).drop("_sig"), probed.filter(~test).drop("_sig")
 
 
