@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, line_dedup, packing, quality, simhash, spotsigs, substring_dedup
+from . import best_fit, bpe, chat, language_id, line_dedup, packing, quality, simhash, spelling, spotsigs, substring_dedup, vector_codes
 from . import exact_dedup as ed
 from .common import sha256_hex, table
 
@@ -83,6 +83,18 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_FILE), token_pattern(), tokens=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -94,9 +106,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_spotsigs": op10_spotsigs,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_best_fit": op13_best_fit,
 }
 
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Rounds are written out one after the other: nearest entries (n), then means (c)."""
+    ctes = [
+        """kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """parts AS MATERIALIZED (
+            SELECT vec_id, label, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) AS r(p))""",
+        """c0 AS MATERIALIZED (
+            SELECT p, e - 1 AS e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS e FROM parts) WHERE e <= 16)""",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"""n{r} AS MATERIALIZED (
+            SELECT vec_id, p, min({{'d': list_sum(list_transform(list_zip(b.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': c.e}}) AS m
+            FROM parts b JOIN c{r} c USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            ctes.append(f"""c{r + 1} AS MATERIALIZED (
+            WITH cells AS (SELECT p, m.e AS e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM parts JOIN n{r} USING (vec_id, p)),
+            means AS (SELECT p, e, i, CAST(((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*)) AS BIGINT) AS y FROM cells GROUP BY p, e, i)
+            SELECT p, e, coalesce(u.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT p, e, list(y ORDER BY i) AS x FROM means GROUP BY p, e) u USING (p, e))""")
+    return f"""
+        WITH {", ".join(ctes)},
+        books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+        codes AS (
+            SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM n{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM codes JOIN kept USING (vec_id), books"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": _vector_codes_sql(),
     "op4_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
