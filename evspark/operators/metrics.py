@@ -203,13 +203,17 @@ def units_compatible(units: Column) -> Column:
     return F.size(F.array_distinct(F.transform(F.array_compact(units), F.lower))) <= 1
 
 
-def choose_metric(questions: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
-    """qid and the metric of the longest alias that stands in the question as whole words."""
-    text = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(question)), "[^a-z0-9& ]", " "), F.lit(" "))
+def metric_named(question: Column) -> Column:
+    """The metric of the longest alias that stands in the question as whole words, or null."""
+    text = F.concat(F.lit(" "), F.regexp_replace(F.lower(question), "[^a-z0-9& ]", " "), F.lit(" "))
     options = [(alias, metric) for metric, (aliases, *_rest) in METRICS.items() for alias in aliases]
     options.sort(key=lambda o: (-len(o[0]), o[0]))
-    first = F.coalesce(*[F.when(text.contains(f" {alias} "), F.lit(metric)) for alias, metric in options])
-    return questions.select(qid, first.alias("metric"))
+    return F.coalesce(*[F.when(text.contains(f" {alias} "), F.lit(metric)) for alias, metric in options])
+
+
+def choose_metric(questions: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
+    """qid and the metric that the question names."""
+    return questions.select(qid, metric_named(F.col(question)).alias("metric"))
 
 
 def resolve_facts(facts: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions import text as T
-from evspark.operators import anchors, fusion, gates, lexical, metrics, provider
+from evspark.operators import anchors, formulas, fusion, gates, lexical, metrics, provider, slots
 
 from .stage import written
 
@@ -76,10 +76,29 @@ def compose(computed: Column, prose: Column, slot: Column) -> Column:
     return F.coalesce(computed, written, slot)
 
 
-def answer_tier(questions: DataFrame, scope: DataFrame, pages: DataFrame, sections: DataFrame, tier: Tier, factory: Callable[[], provider.Provider], operands: DataFrame | None = None) -> DataFrame:
+def computed_values(asked: DataFrame, extractor: Callable[[], provider.Provider]) -> DataFrame:
+    """qid, shown and missing for questions (with context) that have a formula, their own or the book's: figures come as
+    slots out of the extractor's replies and are put into the formula. No model does arithmetic."""
+    chosen = formulas.choose_formula(asked).filter("formula != ''").withColumn("required", F.expr(formulas.required_names("formula")))
+    names = F.concat(F.lit("SLOT NAMES:\n"), F.array_join(F.transform("required", lambda n: F.concat(F.lit("- "), n)), "\n"))
+    prompts = asked.join(chosen, "qid").withColumn("_prompt", F.when(F.col("context").isNotNull(), F.concat_ws("\n\n", "question", names, "context")))
+    decoded = written(slots.decode_slots(provider.call_provider(prompts.select("qid", "required", "_prompt"), "_prompt", extractor), "output").select("qid", "required", "slots", F.col("missing").alias("said")), "slots")
+    required = decoded.select("qid", F.explode("required").alias("required"))
+    operands = slots.slot_operands(slots.slot_rows(decoded), required)
+    rows = chosen.join(decoded.select("qid", "said"), "qid").join(operands, "qid", "left").withColumn("operands", F.coalesce("operands", F.create_map().cast("map<string,double>")))
+    rows = formulas.with_values(rows, "formula", "operands")
+    shown = F.round("value", 6).cast("string")
+    for name in metrics.METRICS:
+        shown = F.when(F.col("metric") == name, metrics.render(F.col("value"), name)).otherwise(shown)
+    lost = F.array_distinct(F.concat(F.coalesce("missing", F.array().cast("array<string>")), F.coalesce("said", F.array().cast("array<string>"))))
+    return rows.select("qid", shown.alias("shown"), F.when(F.col("value").isNull(), F.when(F.size(lost) > 0, lost).otherwise(F.array("error"))).alias("missing"))
+
+
+def answer_tier(questions: DataFrame, scope: DataFrame, pages: DataFrame, sections: DataFrame, tier: Tier, factory: Callable[[], provider.Provider], operands: DataFrame | None = None, extractor: Callable[[], provider.Provider] | None = None) -> DataFrame:
     """qid, answer, metric, first_failure and abstain_reason for one round.
 
-    ``operands`` (qid and one column per operand) gives the figures of metric questions; the provider writes the rest.
+    ``operands`` (qid and one column per operand) gives the figures of metric questions, or ``extractor`` reads them from
+    the pages; a formula whose figures are missing ends as a refusal. The provider writes the rest.
     """
     kept = assemble(retrieve(questions, scope, pages, sections, tier), pages, tier)
     text = contexts(kept)
@@ -87,26 +106,29 @@ def answer_tier(questions: DataFrame, scope: DataFrame, pages: DataFrame, sectio
     prompt = F.when(F.col("context").isNotNull(), F.concat_ws("\n\n", "question", "context"))
     replies = written(provider.call_provider(asked.withColumn("prompt", prompt), "prompt", factory), "replies")  # calls are not to be repeated
     rows = replies.join(metrics.choose_metric(questions), "qid", "left")
-    computed = F.lit(None).cast("string")
+    computed, complete = F.lit(None).cast("string"), F.lit(True)
     if operands is not None:
         rows = rows.join(operands, "qid", "left")
         for name, (_, formula, *_rest) in metrics.METRICS.items():
             column, needed = metrics.compile_formula(formula)
             if set(needed) <= set(operands.columns):
                 computed = F.when(F.col("metric") == name, metrics.render(column, name)).otherwise(computed)
+    if extractor is not None:
+        rows = rows.join(written(computed_values(asked.select("qid", "question", "context"), extractor), "computed"), "qid", "left")
+        computed, complete = F.coalesce(computed, "shown"), F.col("missing").isNull()
     rows = rows.withColumn("answer", compose(computed, F.col("output"), F.lit(None).cast("string"))).withColumn("computed", computed.isNotNull())
     quoted = F.coalesce(F.contains(T.normalise_quote(F.col("context")), T.normalise_quote(F.col("answer"))), F.lit(False)) | F.col("computed")
-    gated = gates.run_gates(rows, {"G1": F.col("answer").isNotNull() & quoted, "G7": F.col("context").isNotNull()})
-    reason = F.when(F.col("context").isNull(), "no_candidates").when(F.col("error").isNotNull(), F.concat(F.lit("extractor_error:"), "error")).when(F.col("answer").isNull(), "composer_declined_in_prose").otherwise(F.col("first_failure"))
+    gated = gates.run_gates(rows, {"G1": F.col("answer").isNotNull() & quoted, "G4": complete | F.col("computed"), "G7": F.col("context").isNotNull()})
+    reason = F.when(F.col("context").isNull(), "no_candidates").when(F.col("error").isNotNull(), F.concat(F.lit("extractor_error:"), "error")).when(~(complete | F.col("computed")), "G4").when(F.col("answer").isNull(), "composer_declined_in_prose").otherwise(F.col("first_failure"))
     return gated.select("qid", "answer", "metric", "first_failure", reason.alias("abstain_reason"))
 
 
-def answer(questions: DataFrame, scope: DataFrame, pages: DataFrame, sections: DataFrame, factory: Callable[[], provider.Provider], operands: DataFrame | None = None, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
+def answer(questions: DataFrame, scope: DataFrame, pages: DataFrame, sections: DataFrame, factory: Callable[[], provider.Provider], operands: DataFrame | None = None, tiers: tuple[Tier, ...] = TIERS, extractor: Callable[[], provider.Provider] | None = None) -> DataFrame:
     """qid, status, answer, tier and abstain_reason. Each tier sees only what the tiers before left unanswered."""
     left, done = questions, None
     last = None
     for number, tier in enumerate(tiers, 1):
-        found = answer_tier(left, scope, pages, sections, tier, factory, operands).withColumn("tier", F.lit(number))
+        found = answer_tier(left, scope, pages, sections, tier, factory, operands, extractor).withColumn("tier", F.lit(number))
         found = written(found, "tier")
         accepted = found.filter("abstain_reason is null")
         done = accepted if done is None else done.unionByName(accepted)

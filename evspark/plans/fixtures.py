@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FILING_NAMES = ("ACME_2022_10K", "acme_2023Q2_10Q", "GLOBEX_2022_8K_dated-2022-07-01", "Initech_2021_10k", "notes", "UMBRELLA_CORP_2020Q4_10Q", "HOOLI_2019_8K")
 
@@ -90,3 +91,15 @@ def questions(spark: SparkSession) -> DataFrame:
 
 def numbers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n[0],) for n in NUMBERS], "txt string")
+
+
+def filings_of(suppliers: DataFrame) -> DataFrame:
+    """The filing above for every supplier, with figures of its own (see FIGURES)."""
+    html = F.lit(FILING)
+    for shown, base in FIGURES.items():
+        html = F.replace(html, F.lit(shown), F.format_number(F.col("s_suppkey") + base, 0))
+    return suppliers.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("_2022_10K")).alias("doc_id"), html.alias("html"))
+
+
+#: What a figure shown in the filing becomes: the supplier's key and so much.
+FIGURES = {"1,577": 1000, "2,500": 2000}

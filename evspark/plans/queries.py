@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +10,8 @@ from evspark.operators import anchors, composite, dense, evaluate, fusion, gates
 from evspark.sources import filings, html, sinks, xbrl
 from evspark.streaming import ingest
 
-from . import answer, fixtures
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import answer, fixtures, ingest_plan
+from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -59,18 +37,23 @@ def url_metadata(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", "([^/?#]*)$", 1).alias("tail"), F.length("html").cast("long").alias("html_chars"))
 
 
-_CATALOG_VALUES = ", ".join(f"('{n}')" for n in fixtures.FILING_NAMES)
+_NAME_FORMS = ("Acme{}_2022_10K", "acme{}_2023Q2_10Q", "GLOBEX_{}_2022_8K_dated-2022-07-01", "Initech{}_2021_10k", "notes{}", "UMBRELLA_CORP_{}_2020Q4_10Q", "HOOLI{}_2019_8K")
+_NAME_SQL = "CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN {' || '.join(repr(x) for x in form.split('{}')).replace(' || ', ' || c_custkey || ')}" for k, form in enumerate(_NAME_FORMS)) + " END"
 
 
 @query(f"""
-    WITH n(doc_id) AS (VALUES {_CATALOG_VALUES}),
+    WITH n AS (SELECT {_NAME_SQL} AS doc_id FROM customer),
     p AS (SELECT doc_id, regexp_extract(doc_id, '(?i)^(.+?)_(\\d{{4}})(Q([1-4]))?_(10K|10Q|8K)(_dated[-_](\\d{{4}}-\\d{{2}}-\\d{{2}}))?$', ['slug', 'y', 'qq', 'q', 'f', 'dd', 'd']) AS g FROM n),
     m AS (SELECT doc_id, upper(g.slug) AS slug, TRY_CAST(g.y AS INT) AS y, TRY_CAST(g.q AS INT) AS q, upper(g.f) AS f, TRY_CAST(g.d AS DATE) AS d FROM p)
     SELECT doc_id, CASE WHEN slug <> '' THEN slug END AS company_slug, CASE f WHEN '10K' THEN '10-K' WHEN '10Q' THEN '10-Q' WHEN '8K' THEN '8-K' END AS form_type,
         y AS fiscal_year, q AS fiscal_quarter, CASE WHEN y IS NULL THEN NULL WHEN q IS NOT NULL THEN 'Q' || q || ' FY' || y WHEN f = '8K' THEN coalesce(CAST(d AS VARCHAR), CAST(y AS VARCHAR)) ELSE 'FY' || y END AS period_label,
         CAST(d AS VARCHAR) AS filing_date, y - CASE f WHEN '10K' THEN 2 WHEN '10Q' THEN 1 ELSE 0 END AS first_year, CASE WHEN y IS NULL THEN 'unrecognised name' END AS error FROM m""")
 def filing_catalog(spark, d):
-    names = spark.createDataFrame([(n,) for n in fixtures.FILING_NAMES], "doc_id string")
+    """A filing's name for every customer, in all forms."""
+    key = F.col("c_custkey").cast("string")
+    names = [F.concat(*[x for part in form.split("{}") for x in (F.lit(part), key)][:-1]) for form in _NAME_FORMS]
+    chosen = F.coalesce(*[F.when(F.col("c_custkey") % 7 == k, name) for k, name in enumerate(names)])
+    names = table(spark, d, "customer").select(chosen.alias("doc_id"))
     found = filings.catalog(names)
     return found.withColumn("first_year", F.array_min("coverage_years")).withColumn("filing_date", F.col("filing_date").cast("string")).drop("coverage_years")
 
@@ -537,30 +520,54 @@ def html_blocks(spark, d):
     return html.block_table(parsed_pages(spark, d))
 
 
-@query(f"WITH v(ordinal, raw_title, kind, page_start, page_end, parent) AS (VALUES {fixtures.sql_rows(fixtures.SECTIONS)}) SELECT 'ACME_2022_10K' AS doc_id, ordinal, raw_title, kind, page_start, page_end, 'ACME_2022_10K#s' || parent AS parent_id FROM v")
+_DOC = "'S' || s_suppkey || '_2022_10K'"
+_SHOWN = "format('{:,}', s_suppkey + 1000)"
+
+
+def supplier_filings(spark, d) -> DataFrame:
+    return fixtures.filings_of(table(spark, d, "supplier"))
+
+
+@query(f"WITH v(ordinal, raw_title, kind, page_start, page_end, parent) AS (VALUES {fixtures.sql_rows(fixtures.SECTIONS)}) SELECT {_DOC} AS doc_id, ordinal, raw_title, kind, page_start, page_end, {_DOC} || '#s' || parent AS parent_id FROM v, supplier")
 def heading_tree(spark, d):
-    """Sections of the written filings."""
-    tree = sections.build_tree(html.page_table(html.parse_documents(fixtures.filings(spark), "doc_id", "html", 40)))
+    """Sections of a filing for every supplier."""
+    tree = sections.build_tree(html.page_table(html.parse_documents(supplier_filings(spark, d), "doc_id", "html", 40)))
     return tree.select("doc_id", "ordinal", "raw_title", "kind", "page_start", "page_end", "parent_id")
 
 
-@query(f"WITH v(row_idx, col_idx, row_label, col_label, raw_text, numeric_value, sign) AS (VALUES {fixtures.sql_rows(fixtures.CELLS)}) SELECT 'ACME_2022_10K' AS doc_id, row_idx, col_idx, row_label, col_label, raw_text, CAST(numeric_value AS DOUBLE) AS numeric_value, sign, 'millions' AS scale FROM v")
+@query(f"""WITH v(row_idx, col_idx, row_label, col_label, raw_text, numeric_value, sign) AS (VALUES {fixtures.sql_rows(fixtures.CELLS)})
+    SELECT {_DOC} AS doc_id, row_idx, col_idx, row_label, col_label, CASE WHEN raw_text = '(1,577)' THEN '(' || {_SHOWN} || ')' ELSE raw_text END AS raw_text, CAST(CASE WHEN raw_text = '(1,577)' THEN -(s_suppkey + 1000) ELSE numeric_value END AS DOUBLE) AS numeric_value, sign, 'millions' AS scale FROM v, supplier""")
 def table_cells(spark, d):
-    """Typed cells of the written filings' tables."""
-    parsed = html.parse_documents(fixtures.filings(spark), "doc_id", "html", 40)
+    """Typed cells of a filing for every supplier."""
+    parsed = html.parse_documents(supplier_filings(spark, d), "doc_id", "html", 40)
     grids = parsed.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.posexplode("p.tables").alias("table_at", "grid"))
     cells = tables.typed_cells(tables.analyse(grids), ["doc_id", "table_at"])
     return cells.select("doc_id", "row_idx", "col_idx", "row_label", "col_label", "raw_text", F.col("numeric_value").cast("double").alias("numeric_value"), "sign", "scale")
 
 
-@query(f"WITH v(n, qname, value, sign, scale, period_start, period_end, is_instant, row_label, dimensions) AS (VALUES {fixtures.sql_rows(fixtures.FACTS)}) SELECT 'ACME_2022_10K' AS doc_id, 'ACME_2022_10K#f' || n AS fact_id, qname, CAST(value AS DOUBLE) AS value, 'USD' AS unit, scale, sign, period_start, period_end, is_instant, dimensions, row_label FROM v")
+@query(f"""WITH v(n, qname, value, sign, scale, period_start, period_end, is_instant, row_label, dimensions) AS (VALUES {fixtures.sql_rows(fixtures.FACTS)})
+    SELECT {_DOC} AS doc_id, {_DOC} || '#f' || n AS fact_id, qname, CAST(CASE n WHEN 0 THEN -(s_suppkey + 1000) * 1000000 ELSE (s_suppkey + 2000) * 1000 END AS DOUBLE) AS value, 'USD' AS unit, scale, sign, period_start, period_end, is_instant, dimensions, row_label FROM v, supplier""")
 def xbrl_facts(spark, d):
-    """Facts of the written filings."""
-    found = xbrl.facts(xbrl.read_tagged(fixtures.filings(spark), "doc_id", "html"))
+    """Facts of a filing for every supplier."""
+    found = xbrl.facts(xbrl.read_tagged(supplier_filings(spark, d), "doc_id", "html"))
     shown = {"dimensions": F.to_json("dimensions"), "value": F.col("value").cast("double"), "period_start": F.col("period_start").cast("string"), "period_end": F.col("period_end").cast("string")}
     return found.withColumns(shown)
 
 
+@query(f"""SELECT {_DOC} AS doc_id, 'ready' AS ingest_status, CAST(NULL AS VARCHAR) AS error, 5 AS n_pages, 6 AS n_sections, 6 AS n_cells, 2 AS n_facts, CAST(-(s_suppkey + 1000) - 1373 + 300 + 280 + 1200 + 1100 AS DOUBLE) AS cells, {_DOC} || '#p5#f0' AS first_fact FROM supplier
+    UNION ALL SELECT 'draft' || s_suppkey, 'failed', 'unrecognised name', 0, 0, 0, 0, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0""")
+def ingest_full(spark, d):
+    """Filings of all suppliers in envelopes, and files with bad names, through the whole ingest."""
+    files = supplier_filings(spark, d).select("doc_id", F.concat(F.lit("<SEC-DOCUMENT>\n<TYPE>10-K\n"), "html", F.lit("\n<TYPE>XML\n<html>data</html>")).alias("raw"))
+    drafts = table(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("draft"), F.col("s_suppkey").cast("string")).alias("doc_id"), F.lit("<p>not yet</p>").alias("raw"))
+    made = ingest_plan.ingest(files.unionByName(drafts), 40)
+    count = lambda df, name, *more: df.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias(name), *more)
+    found = made.filings.select("doc_id", "ingest_status", "error", F.col("n_pages").cast("int").alias("n_pages"))
+    for side in (count(made.sections, "n_sections"), count(made.cells, "n_cells", F.sum(F.col("numeric_value").cast("double")).alias("cells")), count(made.facts, "n_facts", F.min("fact_id").alias("first_fact"))):
+        found = found.join(side, "doc_id", "left")
+    return found.na.fill(0, ["n_sections", "n_cells", "n_facts"])
+
+
 @query("""WITH s AS (SELECT o_custkey AS qid, year(o_orderdate) AS y, CAST(sum(o_totalprice) AS DOUBLE) AS value FROM orders GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY y DESC) AS n FROM s)
     SELECT qid, max(value) FILTER (n = 1) AS revenue, max(value) FILTER (n = 2) AS revenue_prev, CAST(NULL AS DOUBLE) AS cogs FROM r GROUP BY 1""")
@@ -598,13 +605,16 @@ def lexical_text(spark, d):
     return pages.select("doc_id", "header", composite.lexical_text(F.col("header"), section, words, F.col("text")).alias("lexical"))
 
 
-@query()
+@query(f"""WITH v(n, page_seq, score, bucket, rank) AS (VALUES ('a', 4, 1.0, 'cashflow', 1), ('a', 5, 1.0, 'cashflow', 2), ('a', 2, 1 / 7.0, 'mdna', 3), ('a', 3, 1 / 7.0, 'mdna', 4), ('b', 2, 1.0, 'mdna', 1), ('b', 3, 1.0, 'mdna', 2), ('b', 4, 0.2, 'cashflow', 3), ('b', 5, 0.2, 'cashflow', 4))
+    SELECT {_DOC} || '-' || n AS qid, {_DOC} AS doc_id, page_seq, CAST(round(CAST(score AS DOUBLE), 6) AS DOUBLE) AS score, bucket, rank FROM v, supplier""")
 def anchor_pages(spark, d):
-    """Structural retrieval over the written filings."""
-    pages = html.page_table(html.parse_documents(fixtures.filings(spark), "doc_id", "html", 40))
-    asked = spark.createDataFrame([("q1", "What were capital expenditures and cash flow?"), ("q2", "Why did organic growth slow, and what drove it?")], "qid string, question string")
-    scope = spark.createDataFrame([(q, "ACME_2022_10K", 1) for q in ("q1", "q2")], "qid string, doc_id string, position int")
-    return anchors.anchor_search(asked, scope, pages, sections.build_tree(pages))
+    """Structural retrieval over a filing for every supplier, two questions each."""
+    filed = supplier_filings(spark, d)
+    pages = html.page_table(html.parse_documents(filed, "doc_id", "html", 40))
+    texts = F.array(F.struct(F.lit("a").alias("n"), F.lit("What were capital expenditures and cash flow?").alias("q")), F.struct(F.lit("b").alias("n"), F.lit("Why did organic growth slow, and what drove it?").alias("q")))
+    each = filed.select("doc_id", F.explode(texts).alias("t")).select(F.concat("doc_id", F.lit("-"), "t.n").alias("qid"), "doc_id", F.col("t.q").alias("question"))
+    found = anchors.anchor_search(each.select("qid", "question"), each.select("qid", "doc_id", F.lit(1).alias("position")), pages, sections.build_tree(pages))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query(f"""{_FUSED}, gold AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY jscore DESC, doc_id) AS n FROM jac) WHERE n = 1),
@@ -629,3 +639,8 @@ def answer_status(spark, d):
     found = best.join(shared.select("item_id", "doc_id", F.round(F.col("shared") / F.col("n_passage"), 6).alias("containment")), ["item_id", "doc_id"], "left")
     rows = table(spark, d, "benchmark").select("item_id").join(found, "item_id", "left").withColumn("containment", F.coalesce("containment", F.lit(0.0)))
     return rows.select("item_id", "doc_id", "score", "containment", F.when(F.col("containment") >= 0.6, "answered").otherwise("abstained").alias("status"))
+
+
+from . import record_queries  # noqa: E402, F401  registers its queries with these
+
+ORACLE_SQL.update({name: sql() for name, sql in record_queries.LATE_SQL.items()})

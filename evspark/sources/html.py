@@ -155,11 +155,15 @@ class Page:
 
 
 def pages_of(root: Node, min_chars: int = MIN_PAGE_CHARS) -> list[Page]:
-    """Pages between breaks. A fragment shorter than ``min_chars`` joins the next page, a last one the previous."""
+    return pages_of_all([root], min_chars)
+
+
+def pages_of_all(roots: list[Node], min_chars: int) -> list[Page]:
+    """Pages between breaks; each root begins one. A fragment shorter than ``min_chars`` joins the next page, a last one the previous."""
     parts: list[tuple[str, list[Node]]] = []
     text: list[str] = []
     elements: list[Node] = []
-    for event in [*events(root), BREAK]:
+    for event in [event for root in roots for event in (*events(root), BREAK)]:
         if event is BREAK:
             joined = clean("".join(text))
             if joined or elements:
@@ -285,6 +289,21 @@ PARSED = (
 )
 
 
+def parsed_filing(htmls: list[str | None], min_chars: int) -> tuple[list[dict], list[tuple[str, str]], list[tuple[str, int]]]:
+    """Pages, links and markers of a filing's documents, in order."""
+    roots = [parse(html or "") for html in htmls]
+    pages = []
+    for page in pages_of_all(roots, min_chars):
+        grids = [grid_of(n) for n in page.elements if n.tag == "table"]
+        blocks = [{"block_type": t, "text": x, "caption": c} for t, x, c in blocks_of(page)]
+        pages.append({"page_seq": page.seq, "raw_text": page.text, "printed_no": page.printed, "char_start": page.start, "char_end": page.end, "blocks": blocks, "tables": grids})
+    nodes = [n for root in roots for n in root.walk()]
+    links: dict[str, str] = {}
+    for root in roots:
+        links = link_targets(root) | links
+    return pages, list(links.items()), [("styled_breaks", sum(len(break_sides(n)) for n in nodes)), ("rules", sum(n.tag == "hr" for n in nodes)), ("page_rules", sum(map(is_page_rule, nodes)))]
+
+
 def parse_documents(docs: DataFrame, id_col: str, html_col: str, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
     """One row per document with everything that is read from its tree. Null html gives no pages."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -295,20 +314,8 @@ def parse_documents(docs: DataFrame, id_col: str, html_col: str, min_chars: int
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                ids, parsed, links, markers = [], [], [], []
-                for doc, html in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns)):
-                    root = parse(html or "")
-                    found = []
-                    for page in pages_of(root, min_chars):
-                        grids = [grid_of(n) for n in page.elements if n.tag == "table"]
-                        blocks = [{"block_type": t, "text": x, "caption": c} for t, x, c in blocks_of(page)]
-                        found.append({"page_seq": page.seq, "raw_text": page.text, "printed_no": page.printed, "char_start": page.start, "char_end": page.end, "blocks": blocks, "tables": grids})
-                    nodes = list(root.walk())
-                    ids.append(doc)
-                    parsed.append(found)
-                    links.append(list(link_targets(root).items()))
-                    markers.append([("styled_breaks", sum(len(break_sides(n)) for n in nodes)), ("rules", sum(n.tag == "hr" for n in nodes)), ("page_rules", sum(map(is_page_rule, nodes)))])
-                columns = [pa.array(c, f.type) for c, f in zip((ids, parsed, links, markers), schema)]
+                rows = [(doc, *parsed_filing([html], min_chars)) for doc, html in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns))]
+                columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(html_col).alias("html")).mapInArrow(kernel, PARSED)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.operators.tables import cell_number
 
-from .html import Node, parse
+from .html import MIN_PAGE_CHARS, Node, pages_of_all, parse
 
 RAW = (
-    "doc_id string, facts array<struct<qname:string,shown:string,context_ref:string,unit_ref:string,scale:int,sign:string,row_label:string>>, "
+    "doc_id string, facts array<struct<qname:string,shown:string,context_ref:string,unit_ref:string,scale:int,sign:string,row_label:string,page_seq:int>>, "
     "contexts array<struct<context_ref:string,period_start:string,period_end:string,is_instant:boolean,dimensions:map<string,string>>>, "
     "units array<struct<unit_ref:string,unit:string>>"
 )
@@ -38,25 +38,46 @@ def _row_label(node: Node) -> str | None:
     return next((t for t in texts if t.strip(" \t0123456789.,()$%+-–—")), None)
 
 
+def _fact(node: Node, page_seq: int | None) -> dict:
+    a, scale = node.attributes, node.attributes.get("scale", "")
+    return {"qname": a.get("name"), "shown": node.text(), "context_ref": a.get("contextref"), "unit_ref": a.get("unitref"), "scale": int(scale) if scale.lstrip("+-").isdigit() else 0, "sign": a.get("sign"), "row_label": _row_label(node), "page_seq": page_seq}
+
+
 def read_tree(root: Node) -> tuple[list, list, list]:
-    facts, contexts, units = [], [], []
+    """Facts, contexts and units of one document; facts are not placed on pages."""
+    contexts, units = read_header(root)
+    return [_fact(node, None) for node in root.walk() if local(node.tag) in FACT_TAGS], contexts, units
+
+
+def read_filing(htmls: list[str | None], min_chars: int) -> tuple[list, list, list]:
+    """The same of a filing's documents, in order: contexts and units hold throughout, facts have the page they are shown on."""
+    roots = [parse(html or "") for html in htmls]
+    contexts, units = [], []
+    for root in roots:
+        more = read_header(root)
+        contexts += more[0]
+        units += more[1]
+    facts = [_fact(node, page.seq) for page in pages_of_all(roots, min_chars) for node in page.elements if local(node.tag) in FACT_TAGS]
+    return facts, contexts, units
+
+
+def read_header(root: Node) -> tuple[list, list]:
+    """Contexts and units, wherever they stand."""
+    contexts, units = [], []
     for node in root.walk():
         name, a = local(node.tag), node.attributes
-        if name in FACT_TAGS:
-            scale = a.get("scale", "")
-            facts.append({"qname": a.get("name"), "shown": node.text(), "context_ref": a.get("contextref"), "unit_ref": a.get("unitref"), "scale": int(scale) if scale.lstrip("+-").isdigit() else 0, "sign": a.get("sign"), "row_label": _row_label(node)})
-        elif name == "context" and a.get("id"):
+        if name == "context" and a.get("id"):
             instant = _first(node, "instant")
             members = [(n.attributes.get("dimension", ""), n.text()) for n in node.walk() if local(n.tag) in ("explicitmember", "typedmember")]
             contexts.append({"context_ref": a["id"], "period_start": instant or _first(node, "startdate"), "period_end": instant or _first(node, "enddate"), "is_instant": instant is not None, "dimensions": members})
         elif name == "unit" and a.get("id"):
             measures = [n.text().rpartition(":")[2] for n in node.walk() if local(n.tag) == "measure"]
             units.append({"unit_ref": a["id"], "unit": "/".join(measures)})
-    return facts, contexts, units
+    return contexts, units
 
 
-def read_tagged(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Raw facts, contexts and units of each document."""
+def read_tagged(docs: DataFrame, id_col: str, html_col: str, by_page: bool = False, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
+    """Raw facts, contexts and units of each document, or filing if the html column is an array. ``by_page`` places facts on pages."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -64,15 +85,38 @@ def read_tagged(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *read_tree(parse(html or ""))) for doc, html in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [(doc, *(read_filing(htmls, min_chars) if by_page else read_tree(parse((htmls or [""])[0] or "")))) for doc, htmls in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(html_col).alias("html")).mapInArrow(kernel, RAW)
+    htmls = F.col(html_col) if dict(docs.dtypes)[html_col].startswith("array") else F.array(html_col)
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), htmls.alias("htmls")).mapInArrow(kernel, RAW)
 
 
 def facts(raw: DataFrame) -> DataFrame:
     """Facts with their period, dimensions, unit and scaled value. A fact whose context is missing is dropped; a missing
     unit leaves its reference."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+    return _resolved(raw).select("doc_id", F.format_string("%s#f%d", "doc_id", number).alias("fact_id"), *FACT_COLUMNS)
+
+
+def page_facts(raw: DataFrame) -> DataFrame:
+    """The same for facts that were read by page: page_seq and page_id, facts numbered on their page."""
+    page = F.format_string("%s#p%d", "doc_id", "page_seq")
+    number = F.row_number().over(Window.partitionBy("doc_id", "page_seq").orderBy("at")) - 1
+    return _resolved(raw).select("doc_id", "page_seq", page.alias("page_id"), F.format_string("%s#f%d", page, number).alias("fact_id"), *FACT_COLUMNS)
+
+
+def label_matches(row_label: Column, terms: Column) -> Column:
+    """False only if the row's label has none of the metric's terms (an array); without label or terms nothing is refuted."""
+    known = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")) != "")
+    silent = (F.coalesce(row_label, F.lit("")) == "") | (F.size(known) == 0)
+    return silent | F.exists(known, lambda t: F.contains(F.lower(row_label), F.lower(t)))
+
+
+FACT_COLUMNS = ("qname", "value", "unit", "scale", "sign", "period_start", "period_end", "is_instant", "dimensions", "row_label")
+
+
+def _resolved(raw: DataFrame) -> DataFrame:
     rows = raw.select("doc_id", F.posexplode("facts").alias("at", "f")).select("doc_id", "at", "f.*")
     context = raw.select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.*")
     unit = raw.select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.*")
@@ -81,8 +125,5 @@ def facts(raw: DataFrame) -> DataFrame:
     value = F.when(F.col("scale") == 0, shown).otherwise(exact)
     signed = F.when((F.trim(F.coalesce("sign", F.lit(""))) == "-") & (value > 0), -value).otherwise(value).cast("decimal(38,6)")
     joined = rows.join(context, ["doc_id", "context_ref"]).join(unit, ["doc_id", "unit_ref"], "left")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
-    return joined.select(
-        "doc_id", F.format_string("%s#f%d", "doc_id", number).alias("fact_id"), "qname", signed.alias("value"), F.coalesce("unit", "unit_ref").alias("unit"), "scale",
-        F.when(signed < 0, -1).otherwise(1).alias("sign"), F.to_date("period_start").alias("period_start"), F.to_date("period_end").alias("period_end"), "is_instant", "dimensions", "row_label",
-    )
+    made = {"value": signed, "unit": F.coalesce("unit", "unit_ref"), "period_start": F.to_date("period_start"), "period_end": F.to_date("period_end")}
+    return joined.withColumns(made).withColumn("sign", F.when(F.col("value") < 0, -1).otherwise(1))

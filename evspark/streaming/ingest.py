@@ -1,4 +1,4 @@
-"""Streams: files that land are parsed into the page table; usage events are counted in windows and sessions."""
+"""Streams: files that land go through the whole ingest; usage events are counted in windows and sessions."""
 
 from __future__ import annotations
 
@@ -6,21 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from evspark.sources.html import page_table, parse_documents
+from evspark.plans import ingest_plan
+from evspark.sources.html import MIN_PAGE_CHARS
 from evspark.sources.sinks import replace_documents
 
 
-def ingest_stream(spark: SparkSession, landing: str, pages_path: str, status_path: str, checkpoint: str, min_chars: int = 200) -> StreamingQuery:
-    """Parses what is in the landing folder and ends. A file lands once; a batch that is run again writes the same partitions."""
+def _landed(spark: SparkSession, landing: str) -> DataFrame:
+    """doc_id and raw of the files that land."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.htm").schema("path string, modificationTime timestamp, length bigint, content binary").load(landing)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.htm$", 1).alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"))
+
+
+def ingest_stream(spark: SparkSession, landing: str, pages_path: str, status_path: str, checkpoint: str, min_chars: int = MIN_PAGE_CHARS) -> StreamingQuery:
+    """Takes in what is in the landing folder and ends: pages, and a status for every file, bad names included. A file lands once; a batch that is run again writes the same partitions."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        made = ingest_plan.ingest(batch, min_chars)
+        replace_documents(made.pages, pages_path)
+        replace_documents(made.filings, status_path)
+
+    return _landed(spark, landing).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_filings_stream(spark: SparkSession, landing: str, path: str, checkpoint: str, min_chars: int = MIN_PAGE_CHARS) -> StreamingQuery:
+    """The same with all tables of ``ingest_plan``, under ``path``."""
 
     def write(batch: DataFrame, _: int) -> None:
-        docs = batch.select(F.regexp_extract("path", r"([^/]+)\.htm$", 1).alias("doc_id"), F.col("content").cast("string").alias("html"))
-        pages = page_table(parse_documents(docs, "doc_id", "html", min_chars))
-        replace_documents(pages, pages_path)
-        replace_documents(docs.select("doc_id", F.lit("ready").alias("ingest_status"), F.current_timestamp().alias("at")), status_path)
+        ingest_plan.store(ingest_plan.ingest(batch, min_chars), path)
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _landed(spark, landing).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_usage(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
