@@ -56,11 +56,12 @@ def materialise(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFram
     return reader(df, path)
 
 
-def without_rows(docs: DataFrame, id_col: str, key: Column, going: DataFrame) -> DataFrame:
+def without_rows(docs: DataFrame, id_col: str, key: Column, going: DataFrame, **sizes: int) -> DataFrame:
     """``docs`` without the rows that have an id and key of ``going`` (columns _id, _key, kept), null ids included.
 
-    Where ``kept`` is true, several rows share id and key, and the least of them by all columns stays. Rows that a
-    filter of ``going`` tells apart pass straight through; the others are joined. Columns of any name stay as they are.
+    Where ``kept`` is true, several rows share id and key, and the first of them by all columns (as JSON, so that columns of
+    any type will do) stays. Rows that a filter of ``going`` tells apart pass straight through, at any size; the others are
+    joined. Columns of any name stay as they are.
     """
     from .exact_dedup import split_by_members
 
@@ -68,14 +69,13 @@ def without_rows(docs: DataFrame, id_col: str, key: Column, going: DataFrame) ->
     keyed = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.explode_outer(F.array(key)).alias("key"))  # made once a row
     probe = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "key")
     going = going.select("_id", "_key", "kept", F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), "_key").alias("_probe"))
-    rest, passing = split_by_members(keyed, probe, going, "_probe", going.count())
+    rest, passing = split_by_members(keyed, probe, going, "_probe", going.count(), **sizes)
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    left = rest.join(going, same, "left_anti")
-    left = (left if passing is None else left.unionByName(passing)).select("row.*")
+    left = rest.join(going, same, "left_anti").unionByName(passing).select("row.*")
     tied = going.filter("kept").select("_id", "_key")
     if tied.isEmpty():
         return left
-    one = rest.join(tied, same, "left_semi").groupBy("id", "key").agg(F.min("row").alias("row"))
+    one = rest.join(tied, same, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return left.unionByName(one.select("row.*"))
 
 

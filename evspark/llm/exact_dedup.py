@@ -15,6 +15,8 @@ never read, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .common import append, ascii_lower, materialise, new_path, reader, sha256_h
 #: Bits of the filter that a task holds at most (8 MB).
 SEGMENT_BITS = 1 << 26
 BITS_PER_ROW = 16
+#: Segments that one job takes.
+SEGMENTS_AT_ONCE = 64
 _PATTERNS = 64 * 64
 
 
@@ -55,18 +59,42 @@ def repeated_words(signatures: DataFrame) -> DataFrame:
     return set_words(signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1"))
 
 
-def _as_array(words: DataFrame, first: int, count: int) -> DataFrame:
-    """One row: ``count`` words of the filter, from ``first`` on, as a dense array."""
-    dense = words.sparkSession.range(first, first + count).withColumnRenamed("id", "word")
-    pairs = dense.join(words.filter(F.col("word").between(first, first + count - 1)), "word", "left").select("word", F.coalesce("mask", F.lit(0)).alias("mask"))
-    return pairs.agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("pairs")).select(F.col("pairs.mask").alias("bits"))
+def segment_of(sig: str, words: int, segments: int) -> Column:
+    return F.expr(f"cast({sig} div {_PATTERNS * (words // segments)} as int)")
+
 
+def segment_arrays(words_set: DataFrame, words: int, segments: int) -> DataFrame:
+    """segment and bits: the words of each segment as a dense array, all segments in one job; written."""
+    each = words // segments
+    dense = words_set.sparkSession.range(words).withColumnRenamed("id", "word")
+    pairs = dense.join(words_set, "word", "left").select(F.expr(f"cast(word div {each} as int)").alias("segment"), "word", F.coalesce("mask", F.lit(0)).alias("mask"))
+    sorted_ = pairs.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("pairs"))
+    return materialise(sorted_.select("segment", F.col("pairs.mask").alias("bits")), "bloom")
 
-def _holds(words: DataFrame, first: int, count: int, sig: str = "sig") -> Column:
-    """Whether the filter may hold column ``sig``, for signatures of the segment that starts at word ``first``."""
-    bits = materialise(_as_array(words, first, count), "bloom").scalar()
-    mask = mask_of(sig)
-    return F.get(bits, F.expr(f"cast({sig} div {_PATTERNS} - {first} as int)")).bitwiseAND(mask) == mask
+
+def with_maybe(rows: DataFrame, words_set: DataFrame, words: int, segments: int, sig: str = "sig", segment: str = "segment") -> DataFrame:
+    """Adds boolean ``maybe``: whether the filter may hold column ``sig``.
+
+    With several segments, ``rows`` is a table stored by ``segment``: each segment's rows are read and tested in place, many
+    segments in one job. Nothing is shuffled.
+    """
+    arrays, each = segment_arrays(words_set, words, segments), words // segments
+
+    def tested(part: DataFrame, k: int) -> DataFrame:
+        bits = arrays.filter(F.col("segment") == k).select("bits").scalar()
+        mask = mask_of(sig)
+        return part.withColumn("maybe", F.get(bits, F.expr(f"cast({sig} div {_PATTERNS} - {k * each} as int)")).bitwiseAND(mask) == mask)
+
+    if segments == 1:
+        return tested(rows, 0)
+    groups = [range(at, min(at + SEGMENTS_AT_ONCE, segments)) for at in range(0, segments, SEGMENTS_AT_ONCE)]
+    found = [reduce(DataFrame.unionByName, [tested(rows.filter(F.col(segment) == k).drop(segment), k) for k in group]) for group in groups]
+    if len(found) == 1:
+        return found[0]
+    path = new_path(rows.sparkSession, "flagged")
+    for part in found:
+        append(part, path)
+    return reader(found[0], path)
 
 
 def flag_possible_repeats(digests: DataFrame, words: int, segments: int) -> DataFrame:
@@ -74,29 +102,24 @@ def flag_possible_repeats(digests: DataFrame, words: int, segments: int) -> Data
 
     ``digests`` has a column sig, and with several segments a column segment by which it is stored.
     """
-    found = materialise(repeated_words(digests.select("sig")), "bloom-words")
-    if segments == 1:
-        return digests.withColumn("maybe", _holds(found, 0, words))
-    path, each = new_path(digests.sparkSession, "flagged"), words // segments
-    for k in range(segments):
-        part = digests.filter(F.col("segment") == k).drop("segment").withColumn("maybe", _holds(found, k * each, each))
-        append(part, path)
-    return reader(part, path)
+    return with_maybe(digests, materialise(repeated_words(digests.select("sig")), "bloom-words"), words, segments)
 
 
-def split_by_members(rows: DataFrame, value: Column, members: DataFrame, column: str, count: int, segment_bits: int = SEGMENT_BITS) -> tuple[DataFrame, DataFrame | None]:
+def split_by_members(rows: DataFrame, value: Column, members: DataFrame, column: str, count: int, segment_bits: int = SEGMENT_BITS) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``value`` may be in ``members[column]`` (``count`` rows), and those whose value certainly is not.
 
-    Where the filter outgrows a segment, all rows may be and the second is None.
+    Rows are not shuffled at any size: where the filter has several segments, they are written by segment, each task its
+    own, and tested there. There are at most SEGMENTS_AT_ONCE, so beyond these segments grow.
     """
     words, segments = filter_words(count, segment_bits)
-    if segments > 1:
-        return rows, None
-    found = set_words(members.select(signature(F.col(column), words).alias("sig")))
+    segments = min(segments, SEGMENTS_AT_ONCE)
+    found = materialise(set_words(members.select(signature(F.col(column), words).alias("sig"))), "bloom-words")
     # The value may be dear (a digest of a text) and is used several times, so a generator that gives one row makes it.
     probed = rows.select("*", F.explode_outer(F.array(signature(value, words))).alias("_sig"))
-    test = _holds(found, 0, words, "_sig")
-    return probed.filter(test).drop("_sig"), probed.filter(~test).drop("_sig")
+    if segments > 1:
+        probed = materialise(probed.withColumn("_segment", segment_of("_sig", words, segments)), "by-segment", by=("_segment",))
+    tested = with_maybe(probed, found, words, segments, "_sig", "_segment").drop("_sig")
+    return tested.filter("maybe").drop("maybe"), tested.filter("not maybe").drop("maybe")
 
 
 def _decisions(docs: DataFrame, id_col: str, text_col: str, segment_bits: int) -> DataFrame:
@@ -104,7 +127,7 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, segment_bits: int) -
     digests = docs.select(F.col(id_col).alias("doc_id"), sha256_hex(normalised(text_col)).alias("text_sha256"))
     digests = digests.withColumn("sig", signature(F.col("text_sha256"), words))
     if segments > 1:
-        digests = digests.withColumn("segment", F.expr(f"cast(sig div {_PATTERNS * (words // segments)} as int)"))
+        digests = digests.withColumn("segment", segment_of("sig", words, segments))
     digests = materialise(digests, "digests", by=("segment",) if segments > 1 else ())
     flagged = flag_possible_repeats(digests, words, segments).drop("sig")
     alone = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
@@ -128,4 +151,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = exact_dedup(docs, id_col, text_col, segment_bits).filter("group_size > 1")
     rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     going = materialise(rows.filter("not kept or n > 1").drop("n"), "dropped")
-    return without_rows(docs, id_col, sha256_hex(normalised(text_col)), going)
+    return without_rows(docs, id_col, sha256_hex(normalised(text_col)), going, segment_bits=segment_bits)

@@ -359,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(component, "fp").select("doc_id", shown, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **sizes: int) -> DataFrame:
     """The first document of each component, all columns as they came.
 
     Decided by row (id and hash of the text), and components are of fingerprints: an id may have several texts. Null
@@ -377,4 +377,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("key") == F.col("keep.key"))
     going = placed.join(keep, "root").withColumn("kept", kept).filter("not kept or n > 1")
     going = materialise(going.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "kept"), "dropped")
-    return without_rows(docs, id_col, key, going)
+    return without_rows(docs, id_col, key, going, **sizes)
