@@ -10,9 +10,14 @@ turn mark, role, text mark, text, end mark. Control strings inside roles and tex
 segment carries the span of its text under the loss mask. Only one message is in memory at a time, so a conversation
 of any length streams through its task.
 
+A log may have several messages at one turn: columns ``copy`` and ``row`` tell them apart (any values; 0 where a log has
+none). They are messages of their own, in the order of role, copy and row, and count as one after the other for edits
+and regenerations.
+
 Edge cases: null roles and texts count as empty; events with the same sequence number are ordered by turn, kind and
 text; a turn whose events were all dropped has no message; null conversation ids form a conversation of their own;
-an empty log gives an empty result.
+plain turns that repeat a conversation and turn stay turns of their own, equal ones too; an empty log gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Emitter, arrow_schema, bound_batches
@@ -44,11 +49,16 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def _place() -> Column:
+    """Where an event's message stands in its conversation."""
+    return F.struct("turn", "rank", "copy", "row")
+
+
 def surviving(log: DataFrame) -> DataFrame:
     """Events that no later edit or regeneration undoes; the window spills, so long conversations are fine."""
     order = Window.partitionBy("conv_id").orderBy(F.desc("seq"), F.desc("turn"), F.desc("event"), F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.min(F.when(F.col("event") != "delta", F.col("turn"))).over(order)
-    return log.withColumn("_cut", cut).filter("_cut is null or turn < _cut").drop("_cut")
+    cut = F.min(F.when(F.col("event") != "delta", _place())).over(order)
+    return log.withColumn("_cut", cut).filter(F.col("_cut").isNull() | (_place() < F.col("_cut"))).drop("_cut")
 
 
 def segment(role: str, text: str) -> tuple[str, int, int]:
@@ -60,13 +70,14 @@ def segment(role: str, text: str) -> tuple[str, int, int]:
 
 def render(log: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One row per message: conv_id, part (from 0), role, segment, loss_start and loss_end (within the segment; null
-    where there is no loss). ``log`` has conv_id, seq, event, turn, role, text."""
+    where there is no loss). ``log`` has conv_id, seq (of any type that has an order), event, turn, role, text and perhaps
+    rank, copy and row. Rows come out by conversation, in order."""
     schema = arrow_schema(SEGMENTS)
     unset = object()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Emitter(schema)
-        at: list = [unset, None]  # conversation and turn being folded
+        at: list = [unset, None]  # conversation and message being folded
         role, pieces, part = "", [], 0
 
         def close() -> None:
@@ -78,14 +89,15 @@ def render(log: DataFrame, trained_role: str = "assistant") -> DataFrame:
             part += 1
 
         for batch in batches:
-            convs, turns, roles, texts = (batch.column(i).to_pylist() for i in range(4))
-            for conv, turn, who, text in zip(convs, turns, roles, texts):
-                if [conv, turn] != at or at[0] is unset:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for conv, turn, rank, copy, row, who, text in zip(*columns):
+                message = (turn, rank, copy, row)
+                if [conv, message] != at or at[0] is unset:
                     if at[0] is not unset:
                         close()
                         if conv != at[0]:
                             part = 0
-                    at, role, pieces = [conv, turn], "", []
+                    at, role, pieces = [conv, message], "", []
                 role = who or role
                 pieces.append(text or "")
                 if out.full:
@@ -94,9 +106,12 @@ def render(log: DataFrame, trained_role: str = "assistant") -> DataFrame:
             close()
         yield from out.rest()
 
-    folded = surviving(bound_batches(log).select("conv_id", "seq", "event", "turn", "role", "text"))
-    ordered = folded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "event", "text")
-    return ordered.select(F.col("conv_id").cast("long"), "turn", "role", F.when(F.col("event") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text")).mapInArrow(kernel, SEGMENTS)
+    marks = {c: F.lit(0).alias(c) for c in ("rank", "copy", "row")}
+    full = bound_batches(log).select("conv_id", "seq", "event", "turn", *[F.col(c) if c in log.columns else mark for c, mark in marks.items()], "role", "text")
+    # The window has brought each conversation together; it is sorted where it is.
+    ordered = surviving(full).sortWithinPartitions("conv_id", "turn", "rank", "copy", "row", "seq", "event", "text")
+    text = F.when(F.col("event") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text")
+    return ordered.select(F.col("conv_id").cast("long"), "turn", "rank", "copy", "row", "role", text).mapInArrow(kernel, SEGMENTS)
 
 
 def parse_segment(rendered: str) -> tuple[str, str]:
@@ -105,8 +120,11 @@ def parse_segment(rendered: str) -> tuple[str, str]:
     return unescape(role), unescape(rest[: -len(END)])
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Parses rendered conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+def read_back(segments: DataFrame, in_order: bool = False) -> DataFrame:
+    """Parses rendered conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    ``in_order``: the rows are as ``render`` gives them, so nothing has to move.
+    """
     ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     schema = arrow_schema(ddl)
     unset = object()
@@ -137,17 +155,36 @@ def read_back(segments: DataFrame) -> DataFrame:
             out.add(conv, count, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)
         yield from out.rest()
 
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    ordered = segments if in_order else segments.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(kernel, ddl)
 
 
-def turns_as_log(turns: DataFrame, delta_chars: int = 400) -> DataFrame:
-    """A log of plain turns: each text streams in as deltas of at most ``delta_chars``."""
+def turns_as_log(turns: DataFrame, delta_chars: int = 400, drafts: bool = True) -> DataFrame:
+    """A log of plain turns: each text streams in as deltas of at most ``delta_chars``.
+
+    With ``drafts``, two of three messages (by the hash of what they say) come in twice: a draft first, which is then edited
+    to the first piece of the text, or is generated anew. Turns that share conversation and number are told apart, those
+    that say the same by their place in the input.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1), F.lit(delta_chars))
-    cut = turns.select("conv_id", "turn", "role", text.alias("_text"), F.explode(starts).alias("_start"))
-    seq = F.col("turn").cast("long") * (1 << 32) + F.col("_start")
-    return cut.select("conv_id", seq.alias("seq"), F.lit("delta").alias("event"), "turn", "role", F.expr(f"substring(_text, _start + 1, {delta_chars})").alias("text"))
+    rows = turns.select("conv_id", "turn", "role", text.alias("_text"), F.coalesce("role", F.lit("")).alias("rank"), F.xxhash64(text).alias("copy"), F.monotonically_increasing_id().alias("row"), starts.alias("_starts"))
+
+    def event(step: Column, kind: str, said: Column) -> Column:
+        return F.struct(step.cast("int").alias("step"), F.lit(kind).alias("event"), said.alias("text"))
+
+    def piece(start: Column) -> Column:
+        return F.substring(F.col("_text"), start + 1, F.lit(delta_chars))
+
+    plain = F.transform("_starts", lambda x: event(x + 2, "delta", piece(x)))
+    draft = event(F.lit(0), "delta", F.concat(F.lit("Draft: "), F.substring("_text", 1, 40)))
+    edited = F.concat(F.array(draft, event(F.lit(1), "edit", piece(F.lit(0)))), F.slice(plain, F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))))
+    again = F.concat(F.array(draft, event(F.lit(1), "regenerate", F.lit(None).cast("string"))), plain)
+    kind = F.pmod(F.xxhash64("copy", "conv_id", "turn"), F.lit(3))
+    events = F.when(kind == 0, edited).when(kind == 1, again).otherwise(plain) if drafts else plain
+    cut = rows.select("conv_id", "turn", "role", "rank", "copy", "row", F.explode(events).alias("e"))
+    seq = F.struct("turn", "rank", "copy", "row", "e.step")
+    return cut.select("conv_id", seq.alias("seq"), "e.event", "turn", "rank", "copy", "row", "role", "e.text")
 
 
 def samples(spark) -> DataFrame:

@@ -60,7 +60,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.samples(spark))
-    return chat.read_back(chat.render(chat.turns_as_log(turns)))
+    return chat.read_back(chat.render(chat.turns_as_log(turns)), in_order=True)
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
