@@ -170,31 +170,41 @@ def learnable(id_col: str = "doc_id") -> Column:
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> QualityModel | None:
-    """Fits on a hash sample of the documents; only labels of learning folds are looked at."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    pick = F.pmod(F.xxhash64(F.lit("quality"), F.col(id_col).cast("long")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    known = labels.filter(pick & learnable(id_col) & F.col("quality").isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    sample = docs.filter(pick).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ddl = "doc_id long, x array<float>"
+    """Fits on a hash sample of the documents as unlabelled text, and one of the labels; only labels of learning folds are looked at.
+
+    At most about ``sample_docs`` documents and as many labelled ones are taken. Of several labels of one id the least counts.
+    """
+
+    def picked(share: float, what: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(what), F.col(id_col).cast("long")), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+    known = labels.filter(learnable(id_col) & F.col("quality").isNotNull() & F.col(id_col).isNotNull())
+    known = known.filter(picked(sample_docs / max(1, known.count()), "labels")).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    known = known.orderBy(F.xxhash64("doc_id")).limit(2 * sample_docs)
+    rows = docs.withColumn("_sampled", picked(sample_docs / max(1, docs.count()), "quality")).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "_sampled")
+    rows = rows.join(F.broadcast(known), "doc_id", "left").filter("_sampled or quality is not null")  # the labels are bounded by the sample
+    sample = rows.select("doc_id", "text", "quality", "_sampled")
+    ddl = f"doc_id long, x array<float>, quality {dict(known.dtypes)['quality']}, sampled boolean"
     schema = arrow_schema(ddl)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Emitter(schema)
         for batch in batches:
-            for doc, text in text_rows(batch):
-                out.add(doc, pa.array(features(text)))
+            for i, (doc, text) in enumerate(text_rows(batch)):
+                out.add(doc, pa.array(features(text)), batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
         yield from out.rest()
 
-    rows = bound_batches(sample).mapInArrow(kernel, ddl).join(known, "doc_id", "left").limit(2 * sample_docs).toArrow()
+    rows = bound_batches(sample).mapInArrow(kernel, ddl).limit(4 * sample_docs).toArrow()
     if not rows.num_rows:
         return None
     order = np.lexsort((rows["doc_id"].to_numpy(zero_copy_only=False),))
     x = np.stack([np.asarray(v, np.float32) for v in rows["x"].to_numpy(zero_copy_only=False)])[order]
     y = rows["quality"].to_pandas().to_numpy(dtype=float, na_value=np.nan)[order]
+    unlabelled = x[rows["sampled"].to_numpy(zero_copy_only=False).astype(bool)[order]]
     positive = x[y == 1]
     if not len(positive):
         return None
-    return place_threshold(fit(positive, x), positive, x[y == 0])
+    return place_threshold(fit(positive, unlabelled if len(unlabelled) else x), positive, x[y == 0])
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
