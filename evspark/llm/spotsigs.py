@@ -112,7 +112,11 @@ def with_following(docs: DataFrame, buckets: int, id_col: str, text_col: str) ->
     bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", shares, 0.2 / buckets)}) if shares else []
     bucket = F.lit(0)
     if bounds:
-        bucket = F.expr(f"case when doc_id is null then 0 else size(filter(array({','.join(f'{b}L' for b in bounds)}), b -> b <= doc_id)) end")
+        # Halving, so that a row takes as many comparisons as the number of bounds has binary digits.
+        steps = len(bounds).bit_length()
+        between = f"""aggregate(sequence(1, {steps}), named_struct('low', 0, 'high', {len(bounds)}), (s, k) -> if(s.low >= s.high, s,
+            if(get(bounds, (s.low + s.high) div 2) <= doc_id, named_struct('low', cast((s.low + s.high) div 2 + 1 as int), 'high', s.high), named_struct('low', s.low, 'high', cast((s.low + s.high) div 2 as int)))), s -> s.low)"""
+        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(between.replace("bounds", f"array({','.join(f'{b}L' for b in bounds)})").replace("(s.low + s.high) div 2", "cast((s.low + s.high) div 2 as int)")))
     placed = rows.withColumn("bucket", bucket.cast("int"))
     firsts = [r for r in placed.groupBy("bucket").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).alias("first")).collect()]
     firsts.sort(key=lambda r: r["bucket"])
