@@ -31,6 +31,8 @@ FILTERS = 16
 EMBEDDING = 8
 UNKNOWN = "und"
 SAMPLE_DOCS = 3000
+#: Score under which a document counts as in none of the languages learned.
+LEAST_SCORE = 0.4
 WINDOWS_PER_DOC = 4
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 5, 0
 
@@ -237,14 +239,15 @@ def identify(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -
     return found.select(*kept, "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -> DataFrame:
-    """The rows in a language that the model predicts, all columns as they came; without a model none is rejected.
+def keep_known(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose best language scores ``least`` or more, all columns as they came; without a model none is rejected.
 
-    Texts without any letter (null and empty ones among them) are in no language.
+    Texts without any letter (null and empty ones among them) are in no language. What the network divides between
+    languages, as it does text in one that it has not learned, is in none either; clean text of a few words scores higher.
     """
     if net is None:
         return docs
-    return predicted_rows(docs, net, text_col).filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    return predicted_rows(docs, net, text_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
 
 
 def learnable(id_col: str = "doc_id") -> Column:
