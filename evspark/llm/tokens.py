@@ -49,7 +49,7 @@ class PieceEncoder:
         return out
 
 
-_BREAK = re.compile(r"[^\s](?=\s)")
+_BREAK = regex.compile(r"[^\s](?=\s)")  # what the pattern takes for space
 
 
 def safe_chunks(text: str) -> Iterator[str]:
