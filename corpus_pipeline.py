@@ -14,18 +14,19 @@ from evspark.llm.queries import TOKENIZER_FILE, token_pattern, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; only texts without any letter are rejected."""
+    """Documents in a language that the model knows: without a letter (null and empty texts too), or with a score under
+    ``language_id.LEAST_SCORE`` for the best language, they are rejected. Repeated rows are each judged alike."""
     net = language_id.fit_language_model(docs, language_id.learnable())
     return language_id.keep_known(docs, net)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last document of each group of equal texts."""
+    """The last document of each group of equal texts (null counts as empty, null ids lose); of rows that share id and text, one."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate component."""
+    """The first document of each near-duplicate component (null ids come last); of rows that share id and text, one."""
     return simhash.drop_near_duplicates(docs)
 
 
