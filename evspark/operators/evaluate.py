@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from evspark.functions.text import token_set
 
+from .lexical import small_enough, spread
+
 JACCARD = 0.35
 CONTAINMENT = 0.6
 
 
 def shared_tokens(passages: DataFrame, pages: DataFrame, passage: str, page: str) -> DataFrame:
-    """passage, page, their token counts and shared ones, for pairs that share any; an inverted index, no comparison of all pairs."""
+    """passage, page, their token counts and shared ones, for pairs that share any.
+
+    Few passages' tokens go to every task, so that a page's matches are counted where the page is read and only counts
+    move; many are met over an inverted index.
+    """
     a = passages.select(passage, token_set(F.col("text")).alias("t")).select(passage, F.size("t").alias("n_passage"), F.explode("t").alias("token"))
-    b = pages.select(page, token_set(F.col("text")).alias("t")).select(page, F.size("t").alias("n_page"), F.explode("t").alias("token"))
-    return a.join(b, "token").groupBy(passage, page, "n_passage", "n_page").agg(F.count(F.lit(1)).alias("shared"))
+    b = spread(pages, page).select(page, token_set(F.col("text")).alias("t")).select(page, F.size("t").alias("n_page"), F.explode("t").alias("token"))
+    return b.join(small_enough(a), "token").groupBy(passage, page, "n_passage", "n_page").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def gold_pages(passages: DataFrame, pages: DataFrame, passage: str, page: str, threshold: float = JACCARD) -> DataFrame:

@@ -33,9 +33,8 @@ BUDGET = 42_000
 
 
 def lexical_index(paged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pages' tokens and their document frequencies as stored tables, so that texts are cut once."""
-    stored = written(paged, "page-tokens")
-    return stored, written(lexical.term_counts(stored), "term-counts")
+    """The pages' tokens, cut where they are used, and their statistics as a stored table, a row a term."""
+    return paged, written(lexical.term_statistics(paged), "term-statistics")
 
 
 def retrieve(questions: DataFrame, scope: DataFrame, pages: DataFrame, sections: DataFrame, tier: Tier) -> list[tuple[str, DataFrame, float]]:
