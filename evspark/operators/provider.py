@@ -58,8 +58,10 @@ def call_provider(rows: DataFrame, text: str, factory: Callable[[], Provider], a
                     out.append((value, None, f"{type(error).__name__}: {error}", len(value) // 4, 0, attempts if isinstance(error, Throttled) else 1))
             yield pd.DataFrame(out, columns=["input", "output", "error", "input_tokens", "output_tokens", "attempts"])
 
-    asked = rows.select(F.col(text).alias("input")).filter("input is not null").distinct()
-    return rows.join(asked.mapInPandas(kernel, RESPONSE).withColumnRenamed("input", text), text, "left")
+    # Inputs are long, so replies come back by their digests.
+    asked = rows.select(F.col(text).alias("input")).filter("input is not null").groupBy(F.sha2("input", 256).alias("_digest")).agg(F.first("input").alias("input"))
+    replies = asked.select("input").mapInPandas(kernel, RESPONSE).withColumn("_digest", F.sha2("input", 256)).drop("input")
+    return rows.withColumn("_digest", F.sha2(text, 256)).join(replies, "_digest", "left").drop("_digest")
 
 
 def both_accept(a: str, b: str):

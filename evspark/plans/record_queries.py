@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions import text as T
-from evspark.operators import ablation, explain, formulas, lexical, memo, rerank, review, slots, spend
+from evspark.operators import ablation, explain, formulas, lexical, memo, negatives, rerank, review, runs, slots, spend, verify
 from evspark.operators.lexical_store import LexicalStore
 from evspark.sources import envelopes, html, xbrl
 
@@ -303,5 +303,70 @@ def verdict_reasons(spark, d):
     return found.filter(F.col("explanation").isNotNull()).select("doc_id", "reason", "where", "nearest", "off", "score")
 
 
+def _negatives_sql() -> str:
+    slug, names = "'CO_' || c_custkey", "CASE c_custkey % 3 WHEN 0 THEN 'company ' || c_custkey WHEN 1 THEN 'short' || c_custkey END"
+    turn = lambda texts: "CASE (n - 1) % " + str(len(texts)) + " " + " ".join(f"WHEN {i} THEN " + "'" + t.replace("%1$s", "' || name || '").replace("%2$d", "' || y || '") + "'" for i, t in enumerate(texts)) + " END"
+    kinds = {
+        "future_period": ("wrong_filing_or_period", "form = '10-K'", "'What was the total revenue of ' || name || ' in FY' || (newest + 2) || '?'"),
+        "wrong_quarter": ("wrong_filing_or_period", "form = '10-Q'", "'What was the net income of ' || name || ' in Q' || (CASE WHEN q <> 4 THEN 4 ELSE 1 END) || ' FY' || y || '?'"),
+        "missing_metric": ("missing_metric", "form = '10-K'", f"'What was the number for ' || {turn(negatives.ABSENT)} || ' of ' || name || ' in FY' || y || '?'"),
+        "false_premise": ("false_premise", "form = '10-K'", turn(negatives.PREMISES)),
+        "missing_operand": ("missing_operand", "form = '10-K'", turn(negatives.OPERANDS)),
+        "outside_filing": ("outside_filing", "TRUE", turn(negatives.OUTSIDE)),
+    }
+    parts = [f"SELECT printf('{kind}-%02d', n) AS nid, {question} AS question, '{category}' AS category, slug AS company_slug FROM (SELECT *, row_number() OVER (ORDER BY md5('1|{kind}|' || doc_id), doc_id) AS n FROM k WHERE {fits}) WHERE n <= {negatives.COUNTS[kind]}" for kind, (category, fits, question) in kinds.items()]
+    return f"""WITH c AS (SELECT {slug} AS slug, {names} AS alias, c_custkey FROM customer),
+        f AS (SELECT 'D' || o_orderkey AS doc_id, slug, CASE WHEN o_orderkey % 3 = 0 THEN '10-Q' ELSE '10-K' END AS form, year(o_orderdate) AS y, CASE WHEN o_orderkey % 3 = 0 THEN quarter(o_orderdate) END AS q, c_custkey, alias FROM orders JOIN c ON o_custkey = c_custkey),
+        k AS (SELECT *, max(y) OVER (PARTITION BY slug) AS newest, CASE WHEN alias IS NULL THEN 'Co ' || c_custkey ELSE upper(alias[1]) || alias[2:] END AS name FROM f) """ + " UNION ALL ".join(parts)
+
+
+@query(_negatives_sql())
+def negative_set(spark, d):
+    """Questions without an answer about customers as companies and orders as their filings."""
+    customers = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("CO_"), F.col("c_custkey").cast("string")).alias("company_slug"))
+    key = F.col("c_custkey").cast("string")
+    aliases = customers.withColumn("alias", F.explode(F.when(F.col("c_custkey") % 3 == 0, F.array(F.concat(F.lit("company "), key), F.concat(F.lit("averyverylongname"), key))).when(F.col("c_custkey") % 3 == 1, F.array(F.concat(F.lit("short"), key), F.lit("s"))))).select("company_slug", "alias")
+    quarterly = F.col("o_orderkey") % 3 == 0
+    catalog = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.concat(F.lit("D"), F.col("o_orderkey").cast("string")).alias("doc_id"), "company_slug", F.when(quarterly, "10-Q").otherwise("10-K").alias("form_type"), F.year("o_orderdate").alias("fiscal_year"), F.when(quarterly, F.quarter("o_orderdate")).alias("fiscal_quarter")
+    )
+    return negatives.generate(catalog, aliases).select("nid", "question", "category", "company_slug")
+
+
+@query("""WITH e AS (SELECT event_type AS category, event_id % 9 = 0 AS answered, CASE WHEN event_id % 9 <> 0 THEN 'G' || (user_id % 5) END AS reason FROM events),
+    g AS (SELECT category, reason, count(*) AS t FROM e GROUP BY GROUPING SETS ((category, reason), (reason))),
+    h AS (SELECT category, string_agg(reason || ':' || t, ', ' ORDER BY t DESC, reason) FILTER (reason IS NOT NULL) AS reasons, CAST(sum(t) AS BIGINT) AS n, CAST(coalesce(sum(t) FILTER (reason IS NULL), 0) AS BIGINT) AS answered FROM g GROUP BY category)
+    SELECT category, n, answered, round(answered / CAST(n AS DOUBLE), 6) AS false_answer_rate, reasons FROM h""")
+def negatives_report(spark, d):
+    """Events as outcomes of questions without an answer."""
+    answered = F.col("event_id") % 9 == 0
+    rows = table(spark, d, "events").select(F.col("event_type").alias("category"), (~answered).alias("abstained"), F.concat(F.lit("G"), (F.col("user_id") % 5).cast("string")).alias("abstain_reason"))
+    return negatives.report(rows)
+
+
+@query("""WITH g AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'numeric' WHEN doc_id % 3 = 1 THEN 'yes_no' ELSE 'phrase' END AS shape, doc_id % 3 = 0 AS right_, quality = 1 AS judged, doc_id % 4 > 0 AS mapped FROM labels),
+    b AS (SELECT 'abstain' AS baseline, shape, 0 AS score FROM g UNION ALL SELECT 'oracle', shape, CASE WHEN NOT (right_ OR judged) THEN -1 WHEN mapped THEN 1 ELSE 0 END FROM g)
+    SELECT baseline, shape, count(*) AS n, CAST(sum(score) AS BIGINT) AS total, round(avg(score), 6) AS mean FROM b GROUP BY GROUPING SETS ((baseline, shape), (baseline))""")
+def baseline_scores(spark, d):
+    """Labels as questions of all shapes, refused and answered perfectly."""
+    k = F.col("doc_id")
+    gold = table(spark, d, "labels").select(
+        k.cast("string").alias("qid"), F.when(k % 3 == 0, explain.NUMERIC).when(k % 3 == 1, explain.YES_OR_NO).otherwise("phrase").alias("shape"), F.when(k % 3 == 0, F.concat(F.lit("$"), k.cast("string"))).when(k % 3 == 1, "No, not at all").otherwise("Much of it").alias("gold"),
+        k.cast("string").alias("gold_doc"), F.when(k % 4 > 0, F.array((k % 50).cast("int"))).alias("gold_pages"), (F.col("quality") == 1).alias("judged"),
+    )
+    return runs.baseline_scores(gold, "judged")
+
+
+@query("""WITH p AS (SELECT doc_id // 3 AS qid, printf('D%08d', doc_id) AS name, doc_id % 5 AS page, left(coalesce(text, ''), 6000) AS head FROM documents)
+    SELECT qid, string_agg('--- ' || name || ' page ' || page || ' ---' || chr(10) || head, chr(10) || chr(10) ORDER BY name, page) AS cited FROM p WHERE head <> '' GROUP BY qid""")
+def verifier_context(spark, d):
+    """Every three documents cited by one question, some twice, some that are not there."""
+    name = F.format_string("D%08d", "doc_id")
+    docs = table(spark, d, "documents")
+    pages = docs.select(name.alias("doc_id"), (F.col("doc_id") % 5).alias("page_seq"), F.col("text").alias("raw_text"))
+    cited = docs.select(F.expr("doc_id div 3").alias("qid"), name.alias("doc_id"), F.explode(F.array(F.col("doc_id") % 5, F.col("doc_id") % 5, F.lit(99).cast("long"))).alias("page_seq"))
+    return verify.cited_pages(cited, pages)
+
+
 #: SQL that takes parts of other queries' SQL; set by ``queries`` once those are there.
 LATE_SQL = {"rerank_head": rerank_head_sql, "index_update": index_update_sql, "verdict_reasons": verdict_reasons_sql}
