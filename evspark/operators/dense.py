@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.functions.vectors import cosine, norm
+from evspark.functions.vectors import dot, norm
 
 
 def vector_index(vectors: DataFrame, key: str, embedding: str, scope: str) -> DataFrame:
-    """Rows that can be ranked: a vector is there and its norm is positive."""
-    return vectors.filter(F.col(embedding).isNotNull()).select(key, scope, embedding).filter(norm(F.col(embedding)) > 0)
+    """Rows that can be ranked, with their ``norm``: a vector is there and its norm is positive."""
+    return vectors.filter(F.col(embedding).isNotNull()).select(key, scope, embedding, norm(F.col(embedding)).alias("norm")).filter("norm > 0")
 
 
 def dense_topk(index: DataFrame, queries: DataFrame, key: str, qkey: str, embedding: str, scope: str, k: int) -> DataFrame:
@@ -18,8 +18,10 @@ def dense_topk(index: DataFrame, queries: DataFrame, key: str, qkey: str, embedd
 
     Queries join on their scope. Catalyst broadcasts them only while they are small; otherwise both sides are shuffled by scope.
     """
-    pairs = index.join(queries.select(qkey, scope, "query_vector"), scope)
-    scored = pairs.withColumn("score", F.round(cosine(F.col(embedding), F.col("query_vector")), 6)).filter("score is not null")
+    asked = queries.select(qkey, scope, "query_vector", norm(F.col("query_vector")).alias("query_norm")).filter("query_norm > 0")
+    pairs = index.join(asked, scope).filter(F.size(embedding) == F.size("query_vector"))
+    score = dot(F.col(embedding), F.col("query_vector")) / (F.col("norm") * F.col("query_norm"))
+    scored = pairs.withColumn("score", F.round(score, 6)).filter("score is not null")
     order = Window.partitionBy(qkey).orderBy(F.desc("score"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(qkey, key, scope, "score", "rank")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evspark.functions.text import token_set
 
 from .lexical import small_enough, spread
+from .spend import running_total
 
 JACCARD = 0.35
 CONTAINMENT = 0.6
@@ -63,19 +64,22 @@ def group_split(rows: DataFrame, group: str, share: float = 0.3) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, stratum: str, order: list[str], n: int) -> DataFrame:
-    """About n rows, in proportion to the strata, strided over each stratum in ``order``; position is the place taken."""
-    total = rows.count()
-    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
-    want = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("size") / F.lit(float(max(total, 1))), 0).cast("int"))
-    plan = sizes.withColumn("want", want).withColumn("stride", F.greatest(F.lit(1), F.expr("cast(size div want as int)")))
-    at = F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) - 1
-    placed = rows.withColumn("_at", at).join(plan, stratum)
-    return placed.filter((F.col("_at") % F.col("stride") == 0) & (F.expr("_at div stride") < F.col("want"))).withColumn("position", F.expr("cast(_at div stride as int)")).drop("_at", "size", "want", "stride")
+    """About n rows, in proportion to the strata, strided over each stratum in ``order``, which must tell its rows apart; position is the place taken.
+
+    Places are numbered over ordered ranges of all rows, so that a stratum of any size is spread over tasks.
+    """
+    numbered = running_total(rows.withColumn("_one", F.lit(1)), [stratum, *order], "_one", "_before").drop("_one")
+    sizes = numbered.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"), F.min("_before").alias("_first"))
+    total = F.sum("size").over(Window.partitionBy())  # one row a stratum
+    want = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("size") / total, 0).cast("int"))
+    plan = sizes.withColumn("want", want).withColumn("stride", F.greatest(F.lit(1), F.expr("cast(size div want as int)"))).withColumnRenamed(stratum, "_stratum")
+    placed = numbered.join(plan, F.col(stratum).eqNullSafe(F.col("_stratum"))).withColumn("_at", F.col("_before") - F.col("_first"))
+    return placed.filter((F.col("_at") % F.col("stride") == 0) & (F.expr("_at div stride") < F.col("want"))).withColumn("position", F.expr("cast(_at div stride as int)")).drop("_at", "_before", "_first", "_stratum", "size", "want", "stride")
 
 
 def plan_batches(rows: DataFrame, order: list[str], sizes: list[int]) -> DataFrame:
-    """Adds ``batch`` (from 0) and ``seq``: sizes in turn, the last one again and again. Meant for question lists."""
-    numbered = rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Adds ``batch`` (from 0) and ``seq``: sizes in turn, the last one again and again. ``order`` must tell rows apart."""
+    numbered = running_total(rows.withColumn("_one", F.lit(1)), order, "_one", "seq").drop("_one").withColumn("seq", F.col("seq").cast("int"))
     edges = [sum(sizes[: i + 1]) for i in range(len(sizes))]
     last = F.floor((F.col("seq") - edges[-1]) / sizes[-1]) + len(sizes)
     batch = F.when(F.lit(False), 0)

@@ -45,15 +45,17 @@ def pack_budget(items: DataFrame, group: str, key: str, order: list[Column], cos
     """Greedy packing in order: an item too large for what is left is skipped and later ones still tried; the first
     always fits. Adds ``kept``.
 
-    A group is one question's candidates, bounded by the retrieval depth, so it is folded as one array.
+    Whether an item fits depends on all before it, so a group's places and costs are folded as one array; of a group only
+    items that could fit at all are in it, and the fold remembers those kept, which the budget bounds.
     """
-    ranked = items.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    arrays = ranked.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_at", F.col(key).alias("key"), F.col(cost).cast("long").alias("cost")))).alias("items"))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
+    ranked = items.select(group, key, F.col(cost).cast("long").alias("cost"), F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("position"))
+    possible = ranked.filter((F.col("position") == 1) | (F.col("cost") <= budget))
+    arrays = possible.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("position", "cost"))).alias("items"))
+    empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
 
     def step(state: Column, item: Column) -> Column:
         fits = (F.size(state["kept"]) == 0) | (state["used"] + item["cost"] <= budget)
-        return F.struct((state["used"] + F.when(fits, item["cost"]).otherwise(0)).alias("used"), F.concat(state["kept"], F.array(fits)).alias("kept"))
+        return F.when(fits, F.struct((state["used"] + item["cost"]).alias("used"), F.concat(state["kept"], F.array(item["position"])).alias("kept"))).otherwise(state)
 
-    folded = arrays.withColumn("kept", F.aggregate("items", empty, step)["kept"])
-    return folded.select(group, F.explode(F.arrays_zip("items", "kept")).alias("z")).select(group, F.col("z.items.key").alias(key), F.col("z.items._at").alias("position"), F.col("z.items.cost").alias("cost"), F.col("z.kept").alias("kept"))
+    folded = arrays.select(group, F.aggregate("items", empty, step)["kept"].alias("_kept"))
+    return ranked.join(folded, group).select(group, key, "position", "cost", F.array_contains("_kept", F.col("position")).alias("kept"))
