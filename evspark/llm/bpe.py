@@ -177,11 +177,6 @@ class Utf8Machine:
         return next((to for first, last, to in UTF8_STEPS[state] if first <= byte <= last), None)
 
     def push(self, data: bytes) -> str:
-        if self.state == "start":
-            try:  # a token of whole characters leaves the machine where it was
-                return data.decode()
-            except UnicodeDecodeError:
-                pass
         out: list[str] = []
         for byte in data:
             following = self._step(self.state, byte)
@@ -204,22 +199,74 @@ class Utf8Machine:
         return "�" if left else ""
 
 
+class TokenDecoder:
+    """The byte machine's moves by whole tokens, worked out by it when first met.
+
+    ``whole`` has the text of tokens that leave the machine where it starts; ``moves`` has, for what is held and a token,
+    the text that completes and what is held then. Both are bounded by the vocabulary and emptied beyond that.
+    """
+
+    MOVES = 200_000
+
+    def __init__(self, tokens: dict[int, bytes]):
+        self.tokens = tokens
+        self.moves: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        decoder = self
+
+        class Whole(dict):
+            def __missing__(self, token: int) -> str | None:
+                text, held = decoder.move(b"", token)
+                self[token] = None if held else text
+                return self[token]
+
+        self.whole = Whole()
+
+    def move(self, held: bytes, token: int) -> tuple[str, bytes]:
+        """Text that completes, and what is held, after a token."""
+        found = self.moves.get((held, token))
+        if found is None:
+            machine = Utf8Machine()
+            machine.push(held)
+            found = machine.push(self.tokens[token]), machine.held
+            if len(self.moves) >= self.MOVES:
+                self.moves.clear()
+            self.moves[held, token] = found
+        return found
+
+    def pieces(self, ids: list[int], step: int = 4096) -> Iterator[str]:
+        """Text as it completes. Tokens met while nothing is held go through ``whole``, many in one go."""
+        held, at, ahead = b"", 0, step
+        while at < len(ids):
+            if not held:
+                found = list(map(self.whole.__getitem__, ids[at : at + ahead]))
+                stop = found.index(None) if None in found else len(found)
+                yield "".join(found[:stop])
+                at += stop
+                ahead = min(step, 2 * ahead) if stop == len(found) else 16
+                if stop == len(found):
+                    continue
+            text, held = self.move(held, ids[at])
+            yield text
+            at += 1
+        if held:
+            yield "�"
+
+
 def stream_decode(ids: Iterable[int], tokens: dict[int, bytes]) -> Iterator[str]:
     """Text as it completes, token by token."""
-    machine = Utf8Machine()
+    decoder, held = TokenDecoder(tokens), b""
     for i in ids:
-        text = machine.push(tokens[i])
+        text, held = decoder.move(held, i)
         if text:
             yield text
-    text = machine.finish()
-    if text:
-        yield text
+    if held:
+        yield "�"
 
 
 @lru_cache(maxsize=2)
-def rank_encoder(path: str, pattern: str) -> tuple[PieceEncoder, BpeTransducer]:
+def rank_encoder(path: str, pattern: str) -> tuple[PieceEncoder, TokenDecoder]:
     transducer = BpeTransducer(load_ranks(path))
-    return PieceEncoder(pattern, lambda pieces: [transducer.encode(p.encode()) for p in pieces]), transducer
+    return PieceEncoder(pattern, lambda pieces: [transducer.encode(p.encode()) for p in pieces]), TokenDecoder(transducer.tokens)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,13 +318,9 @@ class IdBatches:
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, self.schema)], schema=self.schema)
 
 
-def decode_ids(ids: list[int], tokens: dict[int, bytes], step: int = 4096) -> str:
-    """The text of an id sequence; the machine carries characters over the steps' ends."""
-    machine = Utf8Machine()
-    token = tokens.__getitem__
-    parts = [machine.push(b"".join(map(token, ids[at : at + step]))) for at in range(0, len(ids), step)]
-    parts.append(machine.finish())
-    return "".join(parts)
+def decode_ids(ids: list[int], decoder: TokenDecoder) -> str:
+    """The text of an id sequence."""
+    return "".join(decoder.pieces(ids))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -296,14 +339,14 @@ def _kernel_frame(rows: DataFrame, ranks_path: str, pattern: str, decode_only: b
     schema = arrow_schema(ddl)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, transducer = rank_encoder(ranks_path, pattern)
+        encoder, decoder = rank_encoder(ranks_path, pattern)
         out = IdBatches(schema)
         for batch in batches:
             docs, values = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 value = values[i].as_py()
                 ids = (value or []) if decode_only else encoder.encode(value or "")
-                out.add(docs[i].as_py(), ids, decode_ids(ids, transducer.tokens))
+                out.add(docs[i].as_py(), ids, decode_ids(ids, decoder))
                 if out.full:
                     yield out.take()
         if out.docs:

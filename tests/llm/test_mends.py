@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from evspark.llm import chat, exact_dedup, language_id, quality, simhash, spotsigs, tokens
+from evspark.llm import bpe, chat, exact_dedup, language_id, quality, simhash, spotsigs, tokens
 from evspark.llm.queries import token_pattern
 
 from .test_llm import DOCS, EDGES, plain_fold
@@ -122,6 +122,19 @@ def test_long_texts_are_cut_where_the_pattern_breaks(monkeypatch):
         assert [p for part in tokens.safe_chunks(text) for p in pattern.findall(part)] == pattern.findall(text)
 
 
+@pytest.mark.parametrize("step", [1, 3, 4096])
+def test_ids_are_decoded_by_the_machine(step, monkeypatch):
+    """Tokens that end inside characters, and byte sequences that are no text."""
+    monkeypatch.setattr(bpe.TokenDecoder, "MOVES", 50)
+    tokens = {i: bytes([i]) for i in range(256)} | {256: "é".encode(), 257: "漢".encode()[:2], 258: "漢".encode()[2:] + b"x", 259: "🙂".encode()[1:], 260: b"plain ", 261: b"\xff\xc3"}
+    decoder, rng = bpe.TokenDecoder(tokens), random.Random(step)
+    for _ in range(300):
+        ids = [rng.choice([*range(256, 262), 65, 0xF0, 0xC3, 0xA9, 0xE2]) for _ in range(rng.randint(0, 30))]
+        expected = b"".join(tokens[i] for i in ids).decode(errors="replace")
+        assert "".join(decoder.pieces(ids, step)) == expected == "".join(bpe.stream_decode(ids, tokens)) == bpe.decode_ids(ids, decoder)
+        assert len(decoder.moves) <= 50
+
+
 def test_buckets_of_ids_follow_their_bounds(spark):
     ids = [*range(0, 400, 3), *range(10_000, 10_050), None, -5]
     rows = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
