@@ -264,9 +264,14 @@ def stream_decode(ids: Iterable[int], tokens: dict[int, bytes]) -> Iterator[str]
 
 
 @lru_cache(maxsize=2)
-def rank_encoder(path: str, pattern: str) -> tuple[PieceEncoder, TokenDecoder]:
+def rank_encoder(path: str, pattern: str) -> tuple[PieceEncoder, BpeTransducer]:
     transducer = BpeTransducer(load_ranks(path))
-    return PieceEncoder(pattern, lambda pieces: [transducer.encode(p.encode()) for p in pieces]), TokenDecoder(transducer.tokens)
+    return PieceEncoder(pattern, lambda pieces: [transducer.encode(p.encode()) for p in pieces]), transducer
+
+
+@lru_cache(maxsize=2)
+def token_decoder(path: str, pattern: str) -> TokenDecoder:
+    return TokenDecoder(rank_encoder(path, pattern)[1].tokens)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,7 +344,7 @@ def _kernel_frame(rows: DataFrame, ranks_path: str, pattern: str, decode_only: b
     schema = arrow_schema(ddl)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = rank_encoder(ranks_path, pattern)
+        encoder, decoder = rank_encoder(ranks_path, pattern)[0], token_decoder(ranks_path, pattern)
         out = IdBatches(schema)
         for batch in batches:
             docs, values = batch.column(0), batch.column(1)
