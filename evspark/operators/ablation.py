@@ -32,7 +32,7 @@ def without(*gates: str) -> Settings:
     return Settings(gates=tuple(g for g in GATES if g not in gates))
 
 
-#: The variants that are compared, one change each.
+# The variants that are compared, one change each.
 VARIANTS: dict[str, Settings] = {
     "baseline": Settings(),
     "no_llm_verifiers": Settings(verifiers=False),
