@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evspark.operators.sections import build_tree, section_of_page
 from evspark.operators.tables import analyse, row_labels
-from evspark.sources.html import page_table
+from evspark.sources.html import grid_table, page_table
 
 
 def context_header(company: Column, form: Column, period: Column, section: Column, page_seq: Column, printed: Column) -> Column:
@@ -27,8 +27,7 @@ def lexical_text(header: Column, section: Column, words: Column, summary: Column
 
 def table_words(parsed: DataFrame, min_rows: int = 3, min_numeric: int = 4) -> DataFrame:
     """doc_id, page_seq and words: headers and line items of the page's data tables, in order."""
-    pages = parsed.select("doc_id", F.explode("pages").alias("p"))
-    grids = pages.select("doc_id", F.col("p.page_seq").alias("page_seq"), F.posexplode("p.tables").alias("table_at", "grid")).filter(F.size("grid") > 0)
+    grids = grid_table(parsed).filter(F.size("grid") > 0)
     found = analyse(grids, min_rows=min_rows, min_numeric=min_numeric).filter("is_data_table")
     words = found.select("doc_id", "page_seq", "table_at", F.concat("header_tokens", row_labels(F.col("grid"))).alias("w"))
     ordered = words.groupBy("doc_id", "page_seq").agg(F.sort_array(F.collect_list(F.struct("table_at", "w"))).alias("all"))

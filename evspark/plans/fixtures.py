@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILING_NAMES = ("ACME_2022_10K", "acme_2023Q2_10Q", "GLOBEX_2022_8K_dated-2022-07-01", "Initech_2021_10k", "notes", "UMBRELLA_CORP_2020Q4_10Q", "HOOLI_2019_8K")
@@ -103,3 +103,20 @@ def filings_of(suppliers: DataFrame) -> DataFrame:
 
 #: What a figure shown in the filing becomes: the supplier's key and so much.
 FIGURES = {"1,577": 1000, "2,500": 2000}
+
+
+def paged_html(text: Column) -> Column:
+    """A text as HTML whose lines break pages by their number modulo 7, in every way that is known; rules in tables do not."""
+    shown = lambda line: F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def element(line: Column, i: Column) -> Column:
+        number, body = i + 1, shown(line)
+        wrapped = lambda before, after: F.concat(F.lit(before), body, F.lit(after))
+        footer = F.concat(wrapped("<p>", "</p><p>Page "), number.cast("string"), F.lit("</p><hr>"))
+        ways = {3: wrapped('<p style="page-break-before: always">', "</p>"), 5: footer, 6: wrapped("<table><tr><td>", "</td></tr><tr><td><hr></td></tr></table>"), 0: wrapped('<div style="break-after:page">', "</div>")}
+        found = F.when(F.lit(False), body)
+        for rest, way in ways.items():
+            found = found.when(number % 7 == rest, way)
+        return found.otherwise(wrapped("<p>", "</p>"))
+
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), element), "")

@@ -31,8 +31,7 @@ class Ingested:
 
 def cells_of(parsed: DataFrame) -> DataFrame:
     """Typed cells of all data tables, whose number counts through the filing."""
-    pages = parsed.select("doc_id", F.explode("pages").alias("p"))
-    grids = pages.select("doc_id", F.col("p.page_seq").alias("page_seq"), F.posexplode("p.tables").alias("table_at", "grid")).filter(F.size("grid") > 0)
+    grids = html.grid_table(parsed).filter(F.size("grid") > 0)
     found = tables.analyse(grids).filter("is_data_table").withColumn("table_ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_seq", "table_at")) - 1)
     return tables.typed_cells(found, ["doc_id", "page_seq", "table_ordinal"])
 

@@ -510,16 +510,75 @@ def parsed_pages(spark, d) -> DataFrame:
     return html.parse_documents(table(spark, d, "pages"), "page_id", "html", 1)
 
 
-@query()
+_BLANKS = r"[\t\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_BODY = r"body AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>', '', 'g'), '(?is)<head>.*?</head>', '', 'g') AS h FROM pages)"
+
+
+def _unescaped(text: str) -> str:
+    for name, sign in (("middot", "\u00b7"), ("copy", "\u00a9"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return text
+
+
+def _cleaned(text: str) -> str:
+    """SQL for one space between words; lines stay, and of empty ones in a row one."""
+    spaced = f"regexp_replace(regexp_replace({text}, '[\\x{{200b}}-\\x{{200d}}\\x{{feff}}]', '', 'g'), '{_BLANKS}', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({spaced}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+_FOOTER = r"nullif(try_cast(regexp_extract(right(raw_text, 120), '(?i)(?:^|\n)\s*(?:page\s*)?(\d{1,3})\s*$', 1) AS INT), 0)"
+_LAID = r"regexp_replace(regexp_replace(regexp_replace(h, '(?i)<br[^>]*>', chr(10) || chr(10), 'g'), '(?i)</?(p|div|tr|table|li|ul|ol|h[1-6]|td|th|tbody|thead|section|article)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(f"""WITH {_BODY}, t AS (SELECT doc_id, {_cleaned(_unescaped(_LAID))} AS raw_text FROM body)
+    SELECT doc_id, 1 AS page_seq, raw_text, {_FOOTER} AS printed_no, 0 AS char_start, length(raw_text) AS char_end, doc_id || '#p1' AS page_id, length(raw_text) // 4 AS token_estimate, CAST(NULL AS VARCHAR) AS prev_page_id, CAST(NULL AS VARCHAR) AS next_page_id FROM t WHERE raw_text <> ''""")
 def html_pages(spark, d):
     return html.page_table(parsed_pages(spark, d))
 
 
-@query()
+_LEAF = r"(?is)<(p|div|li|h[1-6])(?: [^>]*)?>((?:[^<]|</?(?:a|b|br)(?: [^>]*)?>)*)</(?:p|div|li|h[1-6]|ul|article)>"
+_SHAPE = r"(?i)^(item\s+\d+[a-z]?\.?|part\s+[ivx]+\.?|note\s+\d+|(consolidated|condensed)\s+(statements?|balance))"
+
+
+@query(rf"""WITH {_BODY}, found AS (SELECT doc_id, unnest(regexp_extract_all(h, '{_LEAF}', 1)) AS tag, unnest(regexp_extract_all(h, '{_LEAF}', 2)) AS inside, generate_subscripts(regexp_extract_all(h, '{_LEAF}', 2), 1) AS n FROM body),
+    shown AS (SELECT doc_id, tag, n, trim(regexp_replace({_unescaped("regexp_replace(inside, '<[^>]*>', '', 'g')")}, '(?:\n|{_BLANKS})+', ' ', 'g')) AS text FROM found),
+    kept AS (SELECT doc_id, tag, text, min(n) AS n FROM shown WHERE text <> '' GROUP BY ALL),
+    typed AS (SELECT doc_id, n, text, CASE WHEN length(text) <= 200 AND ((length(text) BETWEEN 4 AND 119 AND text = upper(text) AND text <> lower(text)) OR tag LIKE 'h_' OR regexp_matches(text, '{_SHAPE}')) THEN 'heading'
+        WHEN tag = 'li' THEN 'list' WHEN regexp_matches(text, '(?i)^\(?[0-9a-z]\)\s+\S|^\*\s+\S') AND length(text) < 600 THEN 'footnote' ELSE 'paragraph' END AS block_type FROM kept),
+    placed AS (SELECT *, row_number() OVER w - 1 AS block_at, last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS caption FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    keyed AS (SELECT *, doc_id || '#p1#b' || block_at AS block_id FROM placed)
+    SELECT doc_id, 1 AS page_seq, block_at, block_id, block_type, text, caption, lag(block_id) OVER w AS prev_block_id, lead(block_id) OVER w AS next_block_id FROM keyed WINDOW w AS (PARTITION BY doc_id ORDER BY block_at)""")
 def html_blocks(spark, d):
     return html.block_table(parsed_pages(spark, d))
 
 
+def broken_documents(spark, d) -> DataFrame:
+    """Every document as a filing whose lines break pages."""
+    return html.parse_documents(table(spark, d, "documents").select("doc_id", fixtures.paged_html(F.col("text")).alias("html")), "doc_id", "html")
+
+
+@query(f"""WITH RECURSIVE line AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+    shown AS (SELECT doc_id, n, unnest([{_cleaned("line")}, CASE WHEN n % 7 = 5 THEN 'Page ' || n END]) AS line, unnest([0, 1]) AS place FROM line),
+    numbered AS (SELECT *, 3 * ((n - 1) // 7) + CASE WHEN (n - 1) % 7 < 2 THEN 0 WHEN (n - 1) % 7 < 5 THEN 1 ELSE 2 END AS k FROM shown),
+    fragment AS (SELECT doc_id, k, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY n, place) FILTER (WHERE line <> ''), '') AS text FROM numbered GROUP BY ALL),
+    fold AS (SELECT doc_id, k, length(text) AS joined, 0 AS page, text FROM fragment WHERE k = 0 UNION ALL
+        SELECT f.doc_id, f.k, CASE WHEN s.joined >= 200 THEN 0 ELSE s.joined END + length(f.text) + CASE WHEN s.joined BETWEEN 1 AND 199 AND f.text <> '' THEN 1 ELSE 0 END, s.page + CASE WHEN s.joined >= 200 THEN 1 ELSE 0 END, f.text FROM fold s JOIN fragment f ON f.doc_id = s.doc_id AND f.k = s.k + 1),
+    full_pages AS (SELECT doc_id, count(*) FILTER (WHERE joined >= 200) AS n FROM fold GROUP BY 1),
+    page AS (SELECT doc_id, least(page, greatest(n - 1, 0)) AS page, string_agg(text, chr(10) ORDER BY k) FILTER (WHERE text <> '') AS raw_text FROM fold JOIN full_pages USING (doc_id) GROUP BY ALL),
+    spans AS (SELECT *, row_number() OVER w AS page_seq, sum(length(raw_text) + 1) OVER w - 1 AS char_end FROM page WHERE raw_text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY page))
+    SELECT doc_id, page_seq, raw_text, {_FOOTER} AS printed_no, char_end - length(raw_text) AS char_start, char_end FROM spans""")
+def page_breaks(spark, d):
+    """Pages of all documents, laid out with breaks of every kind; short fragments are joined."""
+    return html.page_table(broken_documents(spark, d)).select("doc_id", "page_seq", "raw_text", "printed_no", "char_start", "char_end")
+
+
+@query("""WITH line AS (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) FILTER (n % 7 IN (0, 3)) AS styled_breaks, count(*) FILTER (n % 7 IN (5, 6)) AS rules, count(*) FILTER (n % 7 = 5) AS page_rules FROM line GROUP BY 1""")
+def break_markers(spark, d):
+    """How many breaks and rules each document has."""
+    return broken_documents(spark, d).select("doc_id", *[F.col("markers")[name].alias(name) for name in ("styled_breaks", "rules", "page_rules")])
+
+
 _DOC = "'S' || s_suppkey || '_2022_10K'"
 _SHOWN = "format('{:,}', s_suppkey + 1000)"
 
@@ -540,7 +599,7 @@ def heading_tree(spark, d):
 def table_cells(spark, d):
     """Typed cells of a filing for every supplier."""
     parsed = html.parse_documents(supplier_filings(spark, d), "doc_id", "html", 40)
-    grids = parsed.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.posexplode("p.tables").alias("table_at", "grid"))
+    grids = html.grid_table(parsed).drop("page_seq")
     cells = tables.typed_cells(tables.analyse(grids), ["doc_id", "table_at"])
     return cells.select("doc_id", "row_idx", "col_idx", "row_label", "col_label", "raw_text", F.col("numeric_value").cast("double").alias("numeric_value"), "sign", "scale")
 

@@ -6,14 +6,11 @@ begins a new page, and page numbers, offsets and the joining of short fragments
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import filings
-from .html import MIN_PAGE_CHARS, PARSED, parsed_filing
+from . import filings, html
+from .paging import MIN_PAGE_CHARS
 
 
 def typed_documents(files: DataFrame, raw: str = "raw") -> DataFrame:
@@ -30,16 +27,5 @@ def typed_documents(files: DataFrame, raw: str = "raw") -> DataFrame:
 
 def parse_filings(documents: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
     """What ``html.parse_documents`` gives, for filings of several documents (rows of ``typed_documents``); refused ones are left out."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(PARSED))
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = (batch.column(0)[i].as_py(), *parsed_filing(batch.column(1)[i].as_py(), min_chars))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
-
     ordered = documents.filter("error is null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "html"))).alias("d"))
-    return ordered.select("doc_id", F.col("d.html").alias("htmls")).mapInArrow(kernel, PARSED)
+    return html.parse_filings(ordered.select("doc_id", F.col("d.html").alias("htmls")), min_chars)

@@ -1,12 +1,12 @@
-"""HTML documents to pages, blocks, tables and tagged facts, with the standard library's parser inside one Arrow pass.
+"""HTML documents to events, grids and links, with the standard library's parser inside one Arrow pass.
 
-A document becomes a tree once; pages, blocks, grids and facts are read from it. Everything is a pure function of one
-document, so documents spread over tasks as they come and nothing is shuffled.
+A document becomes a tree once, which is then laid out as events in document order; what they mean (breaks, pages, blocks)
+is said by column functions in ``paging``. Everything is a function of one row, so documents spread over tasks as they
+come and nothing is shuffled before pages are linked.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -15,22 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# How page breaks, footers and headings are written.
-BREAK_STYLES = (r"page-break-(after|before)\s*:\s*always", r"(?<!-)\bbreak-(after|before)\s*:\s*(always|page)")
-FOOTER = r"(?:^|\n)\s*(?:page\s*)?(\d{1,3})\s*$"
-FOOTER_CHARS = 120
-MIN_PAGE_CHARS = 200
+from . import paging
+from .paging import BLOCK_LEVEL, MIN_PAGE_CHARS
+
+# Elements that have no end, are not shown, hold blocks, end by themselves, or show tagged facts.
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "area", "base", "wbr", "source", "track", "embed"}
 INVISIBLE = {"script", "style", "head", "title", "meta", "link"}
-BLOCK_LEVEL = {"p", "div", "tr", "table", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "td", "th", "tbody", "thead", "section", "article"}
 BLOCK_TAGS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_ITSELF = {"p": {"p", "div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
-BOLD = re.compile(r"font-weight\s*:\s*(bold|[6-9]00)", re.I)
-HEADING_SHAPE = re.compile(r"^(item\s+\d+[a-z]?\.?|part\s+[ivx]+\.?|note\s+\d+|(consolidated|condensed)\s+(statements?|balance))", re.I)
-FOOTNOTE_MARK = re.compile(r"^\(?[0-9a-z]\)\s+\S|^\*\s+\S", re.I)
-HEADING_CHARS, STYLED_CHARS, FOOTNOTE_CHARS = 200, 120, 600
-HEADING_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_BREAK = [re.compile(p, re.I) for p in BREAK_STYLES]
+FACT_TAGS = {"nonfraction", "nonnumeric"}
 
 
 @dataclass
@@ -92,151 +85,63 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def break_sides(node: Node) -> set[str]:
-    """before and after, if the element's style breaks the page there."""
-    style = node.attributes.get("style", "")
-    return {m.group(1).lower() for p in _BREAK for m in p.finditer(style)}
+def local(tag: str) -> str:
+    return tag.rpartition("}")[2].rpartition(":")[2].lower()
 
 
-def is_page_rule(node: Node) -> bool:
-    """A rule is a seam unless it stands inside a table."""
-    if node.tag != "hr":
-        return False
+def in_table(node: Node) -> bool:
     up = node.parent
-    while up is not None:
-        if up.tag == "table":
-            return False
+    while up is not None and up.tag != "table":
         up = up.parent
-    return True
-
-
-BREAK = object()
-
-
-def events(root: Node) -> Iterator[object]:
-    """Text, BREAK, and elements, in document order."""
-    stack: list[object] = [root]
-    while stack:
-        item = stack.pop()
-        if item is BREAK or isinstance(item, (str, tuple)):
-            yield item if item is BREAK else item if isinstance(item, str) else item[0]
-            continue
-        if item.tag in INVISIBLE:
-            continue
-        sides = break_sides(item)
-        if "before" in sides:
-            yield BREAK
-        yield item
-        if is_page_rule(item):
-            yield BREAK
-        if item.tag in BLOCK_LEVEL:
-            yield "\n"
-        after: list[object] = [BREAK] if "after" in sides else []
-        if item.tag in BLOCK_LEVEL:
-            after.append(("\n",))
-        stack.extend(reversed([*item.children, *reversed(after)]))
-
-
-def clean(text: str) -> str:
-    """One space for runs of blanks; lines are kept, and of empty ones in a row one."""
-    text = re.sub("[​‌‍﻿]", "", text.replace("\xa0", " "))
-    lines = [" ".join(line.split()) for line in text.split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    return up is not None
 
 
-@dataclass
-class Page:
-    seq: int
-    text: str
-    printed: int | None
-    start: int
-    end: int
-    elements: list[Node]
+def is_leaf(node: Node) -> bool:
+    """Whether a block has no blocks or tables in it."""
+    return node.tag in BLOCK_TAGS and not any(c.tag in BLOCK_TAGS or c.tag == "table" for c in node.walk() if c is not node)
+
 
+EVENT = "struct<kind:string,tag:string,style:string,in_table:boolean,text:string,grid:array<array<string>>>"
 
-def pages_of(root: Node, min_chars: int = MIN_PAGE_CHARS) -> list[Page]:
-    return pages_of_all([root], min_chars)
 
+def events_of(roots: list[Node]) -> tuple[list[tuple], list[Node | None]]:
+    """Rows of EVENT of a filing's documents in order, and the element of each opening.
 
-def pages_of_all(roots: list[Node], min_chars: int) -> list[Page]:
-    """Pages between breaks; each root begins one. A fragment shorter than ``min_chars`` joins the next page, a last one the previous."""
-    parts: list[tuple[str, list[Node]]] = []
+    Elements have an opening and a closing where they matter to layout, breaks or facts; runs of text between are joined.
+    Tables and leaf blocks show their whole text in their opening, tables their cells as well.
+    """
+    rows: list[tuple] = []
+    nodes: list[Node | None] = []
     text: list[str] = []
-    elements: list[Node] = []
-    for event in [event for root in roots for event in (*events(root), BREAK)]:
-        if event is BREAK:
-            joined = clean("".join(text))
-            if joined or elements:
-                parts.append((joined, elements))
-            text, elements = [], []
-        elif isinstance(event, str):
-            text.append(event)
-        else:
-            elements.append(event)
-    merged: list[tuple[str, list[Node]]] = []
-    held: tuple[str, list[Node]] = ("", [])
-    for body, found in parts:
-        body, found = "\n".join(filter(None, [held[0], body])), held[1] + found
-        if len(body) < min_chars:
-            held = (body, found)
-        else:
-            merged.append((body, found))
-            held = ("", [])
-    if held[0] or (held[1] and not merged):
-        if merged:
-            last = merged.pop()
-            merged.append(("\n".join(filter(None, [last[0], held[0]])), last[1] + held[1]))
-        else:
-            merged.append(held)
-    out, cursor = [], 0
-    for seq, (body, found) in enumerate((m for m in merged if m[0]), 1):
-        footer = re.search(FOOTER, body[-FOOTER_CHARS:], re.I)
-        number = int(footer.group(1)) if footer else None
-        out.append(Page(seq, body, number if number and number <= 999 else None, cursor, cursor + len(body), found))
-        cursor += len(body) + 1
-    return out
-
-
-def is_heading(node: Node, text: str) -> bool:
-    """By tag, by how the text opens, or by style of a short text: bold, or capitals only."""
-    if not 0 < len(text) <= HEADING_CHARS:
-        return False
-    styled = len(text) < STYLED_CHARS and (BOLD.search(node.attributes.get("style", "")) is not None or (text.isupper() and len(text) > 3))
-    return styled or node.tag in HEADING_TAGS or HEADING_SHAPE.match(text) is not None
-
-
-def block_type(node: Node, text: str) -> str:
-    if is_heading(node, text):
-        return "heading"
-    if node.tag == "li":
-        return "list"
-    marked = FOOTNOTE_MARK.match(text) is not None
-    return "footnote" if marked and len(text) < FOOTNOTE_CHARS else "paragraph"
-
-
-def blocks_of(page: Page) -> list[tuple[str, str, str | None]]:
-    """(type, text, caption) of a page's leaf blocks and tables, in order; the caption is the nearest heading before."""
-    out, seen, caption = [], set(), None
-    for node in page.elements:
-        if node.tag == "table":
-            kind, text = "table", node.text()
-        elif node.tag in BLOCK_TAGS and not any(c.tag in BLOCK_TAGS | {"table"} for c in node.walk() if c is not node):
-            text = node.text()
-            kind = block_type(node, text)
-        else:
-            continue
-        if not text or (node.tag, text) in seen:
-            continue
-        up = node.parent
-        while up is not None and up.tag != "table":
-            up = up.parent
-        if up is not None:
-            continue
-        seen.add((node.tag, text))
-        out.append((kind, text, caption))
-        if kind == "heading":
-            caption = text
-    return out
+
+    def put(row: tuple, node: Node | None = None) -> None:
+        if text:
+            rows.append(("text", None, None, None, "".join(text), None))
+            nodes.append(None)
+            text.clear()
+        rows.append(row)
+        nodes.append(node)
+
+    for root in roots:
+        put(("document", None, None, None, None, None))
+        stack: list[Node | str | tuple] = [root]
+        while stack:
+            item = stack.pop()
+            if isinstance(item, str):
+                text.append(item)
+            elif isinstance(item, tuple):
+                put(item)
+            elif item.tag not in INVISIBLE:
+                style = item.attributes.get("style")
+                if item.tag in BLOCK_LEVEL or "break" in (style or "").lower() or local(item.tag) in FACT_TAGS:
+                    table = item.tag == "table"
+                    put(("open", item.tag, style, in_table(item), item.text() if table or is_leaf(item) else None, grid_of(item) if table else None), item)
+                    stack.append(("close", item.tag, style, None, None, None))
+                stack.extend(reversed(item.children))
+    if text:
+        rows.append(("text", None, None, None, "".join(text), None))
+        nodes.append(None)
+    return rows, nodes
 
 
 def link_targets(root: Node) -> dict[str, str]:
@@ -282,59 +187,70 @@ def grid_of(table: Node, most: int = 64) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in grid]
 
 
-PARSED = (
-    "doc_id string, pages array<struct<page_seq:int,raw_text:string,printed_no:int,char_start:int,char_end:int,"
-    "blocks:array<struct<block_type:string,text:string,caption:string>>,tables:array<array<array<string>>>>>, "
-    "links map<string,string>, markers map<string,int>"
-)
-
-
-def parsed_filing(htmls: list[str | None], min_chars: int) -> tuple[list[dict], list[tuple[str, str]], list[tuple[str, int]]]:
-    """Pages, links and markers of a filing's documents, in order."""
-    roots = [parse(html or "") for html in htmls]
-    pages = []
-    for page in pages_of_all(roots, min_chars):
-        grids = [grid_of(n) for n in page.elements if n.tag == "table"]
-        blocks = [{"block_type": t, "text": x, "caption": c} for t, x, c in blocks_of(page)]
-        pages.append({"page_seq": page.seq, "raw_text": page.text, "printed_no": page.printed, "char_start": page.start, "char_end": page.end, "blocks": blocks, "tables": grids})
-    nodes = [n for root in roots for n in root.walk()]
-    links: dict[str, str] = {}
-    for root in roots:
-        links = link_targets(root) | links
-    return pages, list(links.items()), [("styled_breaks", sum(len(break_sides(n)) for n in nodes)), ("rules", sum(n.tag == "hr" for n in nodes)), ("page_rules", sum(map(is_page_rule, nodes)))]
-
-
-def parse_documents(docs: DataFrame, id_col: str, html_col: str, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
-    """One row per document with everything that is read from its tree. Null html gives no pages."""
+def linearised(filings: DataFrame) -> DataFrame:
+    """doc_id, events and links (internal targets with their first text) of filings (doc_id, htmls)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+    ddl = f"doc_id string, events array<{EVENT}>, links map<string,string>"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = [(doc, *parsed_filing([html], min_chars)) for doc, html in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns))]
-                columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            for at in range(0, batch.num_rows, 20):
+                rows = []
+                for doc, htmls in zip(*(c.to_pylist() for c in batch.slice(at, 20).columns)):
+                    roots = [parse(html or "") for html in htmls]
+                    links: dict[str, str] = {}
+                    for root in roots:
+                        links = link_targets(root) | links
+                    rows.append((doc, events_of(roots)[0], list(links.items())))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return filings.select("doc_id", "htmls").mapInArrow(kernel, ddl)
+
+
+def parse_filings(filings: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
+    """doc_id, pages (page_seq, raw_text, printed_no), blocks and tables (of each page), links and markers of filings (doc_id, htmls).
+
+    Columns that a plan does not read are not worked out. What follows takes them apart by outer generators, before which
+    the optimizer puts no filter that would work them out again.
+    """
+    laid = linearised(filings)
+    events = F.col("events")
+    found = laid.select("doc_id", "events", paging.pages(events, min_chars).alias("pages"), "links")
 
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(html_col).alias("html")).mapInArrow(kernel, PARSED)
+    of_pages = lambda made: F.transform("pages", lambda p: paging.let(paging.part_of(events, p), made))
+    shown = F.transform("pages", lambda p: F.struct(*[p[c].alias(c) for c in ("page_seq", "raw_text", "printed_no")]))
+    return found.select("doc_id", shown.alias("pages"), of_pages(paging.blocks).alias("blocks"), of_pages(paging.grids).alias("tables"), "links", paging.markers(events).alias("markers"))
+
+
+def parse_documents(docs: DataFrame, id_col: str, html_col: str, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
+    """The same of single documents. Null html gives no pages."""
+    return parse_filings(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.array(html_col).alias("htmls")), min_chars)
 
 
 def page_table(parsed: DataFrame) -> DataFrame:
-    """Pages with keys, neighbours and token estimates."""
+    """Pages with keys, neighbours, offsets in the filing's text (a line feed between pages) and token estimates."""
     order = Window.partitionBy("doc_id").orderBy("page_seq")
-    rows = parsed.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page_seq", "p.raw_text", "p.printed_no", "p.char_start", "p.char_end")
+    rows = parsed.select("doc_id", F.explode_outer("pages").alias("p")).filter("p is not null").select("doc_id", "p.page_seq", "p.raw_text", "p.printed_no")
+    end = F.sum(F.length("raw_text") + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    rows = rows.withColumn("char_end", end.cast("int")).withColumn("char_start", F.col("char_end") - F.length("raw_text"))
     keyed = rows.withColumn("page_id", F.format_string("%s#p%d", "doc_id", "page_seq")).withColumn("token_estimate", F.floor(F.length("raw_text") / 4).cast("int"))
     return keyed.withColumn("prev_page_id", F.lag("page_id").over(order)).withColumn("next_page_id", F.lead("page_id").over(order))
 
 
 def block_table(parsed: DataFrame) -> DataFrame:
     """Blocks with keys and neighbours within their page."""
-    pages = parsed.select("doc_id", F.explode("pages").alias("p"))
-    rows = pages.select("doc_id", F.col("p.page_seq").alias("page_seq"), F.posexplode("p.blocks").alias("block_at", "b"))
+    rows = parsed.select("doc_id", F.posexplode_outer("blocks").alias("at", "blocks")).select("doc_id", (F.col("at") + 1).alias("page_seq"), F.posexplode("blocks").alias("block_at", "b"))
     key = lambda at: F.format_string("%s#p%d#b%d", F.col("doc_id"), F.col("page_seq"), at)
     last = F.max("block_at").over(Window.partitionBy("doc_id", "page_seq"))
     prev = F.when(F.col("block_at") > 0, key(F.col("block_at") - 1))
     following = F.when(F.col("block_at") < last, key(F.col("block_at") + 1))
     return rows.select("doc_id", "page_seq", "block_at", key(F.col("block_at")).alias("block_id"), "b.block_type", "b.text", "b.caption", prev.alias("prev_block_id"), following.alias("next_block_id"))
+
+
+def grid_table(parsed: DataFrame) -> DataFrame:
+    """doc_id, page_seq, table_at and grid of all tables."""
+    rows = parsed.select("doc_id", F.posexplode_outer("tables").alias("at", "tables"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("page_seq"), F.posexplode("tables").alias("table_at", "grid"))

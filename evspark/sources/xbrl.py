@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 
 from evspark.operators.tables import cell_number
 
-from .html import MIN_PAGE_CHARS, Node, pages_of_all, parse
+from . import paging
+from .html import EVENT, FACT_TAGS, Node, events_of, local, parse
+from .paging import MIN_PAGE_CHARS
 
 RAW = (
-    "doc_id string, facts array<struct<qname:string,shown:string,context_ref:string,unit_ref:string,scale:int,sign:string,row_label:string,page_seq:int>>, "
+    "doc_id string, facts array<struct<qname:string,shown:string,context_ref:string,unit_ref:string,scale:int,sign:string,row_label:string,event_at:int>>, "
     "contexts array<struct<context_ref:string,period_start:string,period_end:string,is_instant:boolean,dimensions:map<string,string>>>, "
-    "units array<struct<unit_ref:string,unit:string>>"
+    f"units array<struct<unit_ref:string,unit:string>>, events array<{EVENT}>"
 )
-FACT_TAGS = {"nonfraction", "nonnumeric"}
-
-
-def local(tag: str) -> str:
-    return tag.rpartition("}")[2].rpartition(":")[2].lower()
 
 
 def _first(node: Node, name: str) -> str | None:
@@ -38,27 +35,28 @@ def _row_label(node: Node) -> str | None:
     return next((t for t in texts if t.strip(" \t0123456789.,()$%+-–—")), None)
 
 
-def _fact(node: Node, page_seq: int | None) -> dict:
+def _fact(node: Node, event_at: int | None) -> dict:
     a, scale = node.attributes, node.attributes.get("scale", "")
-    return {"qname": a.get("name"), "shown": node.text(), "context_ref": a.get("contextref"), "unit_ref": a.get("unitref"), "scale": int(scale) if scale.lstrip("+-").isdigit() else 0, "sign": a.get("sign"), "row_label": _row_label(node), "page_seq": page_seq}
+    return {"qname": a.get("name"), "shown": node.text(), "context_ref": a.get("contextref"), "unit_ref": a.get("unitref"), "scale": int(scale) if scale.lstrip("+-").isdigit() else 0, "sign": a.get("sign"), "row_label": _row_label(node), "event_at": event_at}
 
 
-def read_tree(root: Node) -> tuple[list, list, list]:
-    """Facts, contexts and units of one document; facts are not placed on pages."""
+def read_tree(root: Node) -> tuple[list, list, list, None]:
+    """Facts, contexts and units of one document; facts are not placed."""
     contexts, units = read_header(root)
-    return [_fact(node, None) for node in root.walk() if local(node.tag) in FACT_TAGS], contexts, units
+    return [_fact(node, None) for node in root.walk() if local(node.tag) in FACT_TAGS], contexts, units, None
 
 
-def read_filing(htmls: list[str | None], min_chars: int) -> tuple[list, list, list]:
-    """The same of a filing's documents, in order: contexts and units hold throughout, facts have the page they are shown on."""
+def read_filing(htmls: list[str | None]) -> tuple[list, list, list, list]:
+    """The same of a filing's documents, in order, and their events: contexts and units hold throughout, facts have the place of their event."""
     roots = [parse(html or "") for html in htmls]
     contexts, units = [], []
     for root in roots:
         more = read_header(root)
         contexts += more[0]
         units += more[1]
-    facts = [_fact(node, page.seq) for page in pages_of_all(roots, min_chars) for node in page.elements if local(node.tag) in FACT_TAGS]
-    return facts, contexts, units
+    rows, nodes = events_of(roots)
+    facts = [_fact(node, at) for at, node in enumerate(nodes) if node is not None and local(node.tag) in FACT_TAGS]
+    return facts, contexts, units, rows
 
 
 def read_header(root: Node) -> tuple[list, list]:
@@ -85,11 +83,16 @@ def read_tagged(docs: DataFrame, id_col: str, html_col: str, by_page: bool = Fal
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *(read_filing(htmls, min_chars) if by_page else read_tree(parse((htmls or [""])[0] or "")))) for doc, htmls in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [(doc, *(read_filing(htmls) if by_page else read_tree(parse((htmls or [""])[0] or "")))) for doc, htmls in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     htmls = F.col(html_col) if dict(docs.dtypes)[html_col].startswith("array") else F.array(html_col)
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), htmls.alias("htmls")).mapInArrow(kernel, RAW)
+    read = docs.select(F.col(id_col).cast("string").alias("doc_id"), htmls.alias("htmls")).mapInArrow(kernel, RAW)
+    if not by_page:
+        return read.drop("events")
+    paged = read.withColumn("pages", F.transform(paging.pages(F.col("events"), min_chars), lambda p: F.struct(p["page_seq"].alias("page_seq"), p["first"].alias("first"), p["to"].alias("to"))))
+    page = lambda f: F.get(F.filter("pages", lambda p: (p["first"] <= f["event_at"]) & (f["event_at"] < p["to"])), F.lit(0))["page_seq"]
+    return paged.withColumn("facts", F.filter(F.transform("facts", lambda f: f.withField("page_seq", page(f))), lambda f: f["page_seq"].isNotNull())).drop("events", "pages")
 
 
 def facts(raw: DataFrame) -> DataFrame:

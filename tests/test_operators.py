@@ -146,15 +146,28 @@ def test_envelopes(spark):
     assert got == [("e", "10-K", "<html>main</html>"), ("e", "EX-99", "<html>exhibit</html>"), ("p", "primary", "<html>one</html>"), ("x", "primary", "<SEC-DOCUMENT>nothing")]
 
 
-def test_pages_and_blocks():
-    root = html.parse("<div><p>one</p><hr></div><table><tr><td>a</td></tr><tr><td><hr></td></tr></table><div style='page-break-before:always'>two &nbsp; words</div><p>end</p><p>Page 7</p>")
-    pages = html.pages_of(root, 1)
-    assert [p.text for p in pages] == ["one", "a", "two words\n\nend\n\nPage 7"]  # of empty lines in a row one stays
-    assert pages[2].printed == 7 and pages[1].start == pages[0].end + 1
-    assert [p.text for p in html.pages_of(root, 6)] == ["one\na\ntwo words\n\nend\n\nPage 7"]
-    assert html.pages_of(html.parse("")) == []
-    blocks = html.blocks_of(html.pages_of(html.parse("<h1>Title</h1><p>text</p><ul><li>item</li></ul><p>text</p>"), 1)[0])
-    assert blocks == [("heading", "Title", None), ("paragraph", "text", "Title"), ("list", "item", "Title")]
+def test_pages_and_blocks(spark):
+    filing = "<div><p>one</p><hr></div><table><tr><td>a</td></tr><tr><td><hr></td></tr></table><div style='page-break-before:always'>two &nbsp; words</div><p>end</p><p>Page 7</p>"
+    parsed = lambda text, least: html.parse_documents(spark.createDataFrame([("d", text)], "doc_id string, html string"), "doc_id", "html", least)
+    paged = lambda text, least: html.page_table(parsed(text, least)).orderBy("page_seq").collect()
+    pages = paged(filing, 1)
+    assert [p.raw_text for p in pages] == ["one", "a", "two words\n\nend\n\nPage 7"]  # of empty lines in a row one stays
+    assert pages[2].printed_no == 7 and pages[0].char_start == 0 and pages[1].char_start == pages[0].char_end + 1
+    assert [p.raw_text for p in paged(filing, 6)] == ["one\na\ntwo words\n\nend\n\nPage 7"]
+    assert paged("", 1) == paged(None, 1) == []
+    assert parsed(filing, 1).first().markers == {"styled_breaks": 1, "rules": 2, "page_rules": 1}
+    blocks = parsed("<h1>Title</h1><p>text</p><ul><li>item</li></ul><p>text</p><h2>More</h2><p>end</p>", 1).first().blocks[0]
+    assert [tuple(b) for b in blocks] == [("heading", "Title", None), ("paragraph", "text", "Title"), ("list", "item", "Title"), ("heading", "More", "Title"), ("paragraph", "end", "More")]
+
+
+def test_fragments_join(spark):
+    """Short fragments join the next, the last one the previous; rules, both spellings of styles and both sides cut; blanks of any kind are one."""
+    filing = "<p>a</p><hr><p>bcd&#8203;ef&#160;\t&#8195;g</p><div style='BREAK-AFTER: page'>hij<p>kl</p></div>mnopqrs<p style='page-break-before : always'>t</p>"
+    rows = spark.createDataFrame([("d", filing)], "doc_id string, html string")
+    texts = lambda least: [p.raw_text for p in html.parse_documents(rows, "doc_id", "html", least).first().pages]
+    assert texts(1) == ["a", "bcdef g\n\nhij\nkl", "mnopqrs", "t"]
+    assert texts(2) == ["a\nbcdef g\n\nhij\nkl", "mnopqrs\nt"]
+    assert texts(20) == ["a\nbcdef g\n\nhij\nkl\nmnopqrs\nt"]
 
 
 def test_grid_spans():
@@ -279,5 +292,5 @@ def test_ingested_pages_carry_their_provenance(spark):
 def test_blocks_are_typed_by_marks(spark):
     page = "<div>" + "".join(f"<p>{t}</p>" for t in ("(1) a note on a figure", "* another note", "a) third note", "12 months ended in March", "Consolidated Statements of Income", "plain words here")) + "<li>* an item</li></div>"
     parsed = html.parse_documents(spark.createDataFrame([("d", page)], "doc_id string, html string"), "doc_id", "html", 1)
-    got = {b["text"]: b["block_type"] for p in parsed.first()["pages"] for b in p["blocks"]}
+    got = {b["text"]: b["block_type"] for blocks in parsed.first()["blocks"] for b in blocks}
     assert [got[t] for t in ("(1) a note on a figure", "* another note", "a) third note", "12 months ended in March", "Consolidated Statements of Income", "plain words here", "* an item")] == ["footnote", "footnote", "footnote", "paragraph", "heading", "paragraph", "list"]
