@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evspark.functions import keys
 from evspark.operators import composite, sections, tables
 from evspark.sources import envelopes, filings, html, sinks, xbrl
 
@@ -30,10 +31,12 @@ class Ingested:
 
 
 def cells_of(parsed: DataFrame) -> DataFrame:
-    """Typed cells of all data tables, whose number counts through the filing."""
+    """Typed cells of all data tables, whose number counts through the filing; keys have a table's place on its page."""
     grids = html.grid_table(parsed).filter(F.size("grid") > 0)
     found = tables.analyse(grids).filter("is_data_table").withColumn("table_ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_seq", "table_at")) - 1)
-    return tables.typed_cells(found, ["doc_id", "page_seq", "table_ordinal"])
+    found = found.withColumn("table_id", keys.table_key(F.col("doc_id"), F.col("page_seq"), F.col("table_at")))
+    cells = tables.typed_cells(found, ["doc_id", "page_seq", "table_ordinal", "table_id"])
+    return cells.withColumn("cell_id", keys.cell_key(F.col("table_id"), F.col("row_idx"), F.col("col_idx")))
 
 
 def ingest(files: DataFrame, min_chars: int = html.MIN_PAGE_CHARS) -> Ingested:

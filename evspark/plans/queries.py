@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evspark.functions import keys
 from evspark.functions import text as T
 from evspark.operators import anchors, composite, dense, evaluate, fusion, gates, lexical, metrics, route, sections, tables
 from evspark.sources import filings, html, sinks, xbrl
@@ -546,7 +547,7 @@ _SHAPE = r"(?i)^(item\s+\d+[a-z]?\.?|part\s+[ivx]+\.?|note\s+\d+|(consolidated|c
     typed AS (SELECT doc_id, n, text, CASE WHEN length(text) <= 200 AND ((length(text) BETWEEN 4 AND 119 AND text = upper(text) AND text <> lower(text)) OR tag LIKE 'h_' OR regexp_matches(text, '{_SHAPE}')) THEN 'heading'
         WHEN tag = 'li' THEN 'list' WHEN regexp_matches(text, '(?i)^\(?[0-9a-z]\)\s+\S|^\*\s+\S') AND length(text) < 600 THEN 'footnote' ELSE 'paragraph' END AS block_type FROM kept),
     placed AS (SELECT *, row_number() OVER w - 1 AS block_at, last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS caption FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
-    keyed AS (SELECT *, doc_id || '#p1#b' || block_at AS block_id FROM placed)
+    keyed AS (SELECT *, doc_id || '#p1.b' || block_at AS block_id FROM placed)
     SELECT doc_id, 1 AS page_seq, block_at, block_id, block_type, text, caption, lag(block_id) OVER w AS prev_block_id, lead(block_id) OVER w AS next_block_id FROM keyed WINDOW w AS (PARTITION BY doc_id ORDER BY block_at)""")
 def html_blocks(spark, d):
     return html.block_table(parsed_pages(spark, d))
@@ -579,6 +580,19 @@ def break_markers(spark, d):
     return broken_documents(spark, d).select("doc_id", *[F.col("markers")[name].alias(name) for name in ("styled_breaks", "rules", "page_rules")])
 
 
+@query("""WITH page AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS page_seq FROM documents), each AS (SELECT *, unnest(['page', 'block', 'table', 'cell']) AS kind FROM page)
+    SELECT doc_id, page_seq, kind, CASE WHEN kind <> 'page' THEN page_seq % 5 END AS ordinal, CASE WHEN kind = 'cell' THEN page_seq % 3 END AS row_idx, CASE WHEN kind = 'cell' THEN page_seq + 1 END AS col_idx,
+        doc_id || '#p' || page_seq || CASE kind WHEN 'page' THEN '' WHEN 'block' THEN '.b' || page_seq % 5 ELSE '.t' || page_seq % 5 END || CASE WHEN kind = 'cell' THEN '.r' || page_seq % 3 || 'c' || (page_seq + 1) ELSE '' END AS key FROM each""")
+def key_parts(spark, d):
+    """Keys of pages, blocks, tables and cells by the lines of all documents, and what is read back from them."""
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    doc, page = F.col("doc_id"), F.col("page_seq")
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), lines)).alias("page_seq"))
+    grid = keys.table_key(doc, page, page % 5)
+    made = F.array(keys.page_key(doc, page), keys.block_key(doc, page, page % 5), grid, keys.cell_key(grid, page % 3, page + 1))
+    return rows.select(F.explode(made).alias("key")).select("key", keys.key_parts(F.col("key")).alias("k")).select("k.*", "key")
+
+
 _DOC = "'S' || s_suppkey || '_2022_10K'"
 _SHOWN = "format('{:,}', s_suppkey + 1000)"
 

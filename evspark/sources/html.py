@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evspark.functions.keys import block_key, page_key
+
 from . import paging
 from .paging import BLOCK_LEVEL, MIN_PAGE_CHARS
 
@@ -236,14 +238,14 @@ def page_table(parsed: DataFrame) -> DataFrame:
     rows = parsed.select("doc_id", F.explode_outer("pages").alias("p")).filter("p is not null").select("doc_id", "p.page_seq", "p.raw_text", "p.printed_no")
     end = F.sum(F.length("raw_text") + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
     rows = rows.withColumn("char_end", end.cast("int")).withColumn("char_start", F.col("char_end") - F.length("raw_text"))
-    keyed = rows.withColumn("page_id", F.format_string("%s#p%d", "doc_id", "page_seq")).withColumn("token_estimate", F.floor(F.length("raw_text") / 4).cast("int"))
+    keyed = rows.withColumn("page_id", page_key(F.col("doc_id"), F.col("page_seq"))).withColumn("token_estimate", F.floor(F.length("raw_text") / 4).cast("int"))
     return keyed.withColumn("prev_page_id", F.lag("page_id").over(order)).withColumn("next_page_id", F.lead("page_id").over(order))
 
 
 def block_table(parsed: DataFrame) -> DataFrame:
     """Blocks with keys and neighbours within their page."""
     rows = parsed.select("doc_id", F.posexplode_outer("blocks").alias("at", "blocks")).select("doc_id", (F.col("at") + 1).alias("page_seq"), F.posexplode("blocks").alias("block_at", "b"))
-    key = lambda at: F.format_string("%s#p%d#b%d", F.col("doc_id"), F.col("page_seq"), at)
+    key = lambda at: block_key(F.col("doc_id"), F.col("page_seq"), at)
     last = F.max("block_at").over(Window.partitionBy("doc_id", "page_seq"))
     prev = F.when(F.col("block_at") > 0, key(F.col("block_at") - 1))
     following = F.when(F.col("block_at") < last, key(F.col("block_at") + 1))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evspark.functions.keys import page_key
 from evspark.operators.tables import cell_number
 
 from . import paging
@@ -104,7 +105,7 @@ def facts(raw: DataFrame) -> DataFrame:
 
 def page_facts(raw: DataFrame) -> DataFrame:
     """The same for facts that were read by page: page_seq and page_id, facts numbered on their page."""
-    page = F.format_string("%s#p%d", "doc_id", "page_seq")
+    page = page_key(F.col("doc_id"), F.col("page_seq"))
     number = F.row_number().over(Window.partitionBy("doc_id", "page_seq").orderBy("at")) - 1
     return _resolved(raw).select("doc_id", "page_seq", page.alias("page_id"), F.format_string("%s#f%d", page, number).alias("fact_id"), *FACT_COLUMNS)
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from evspark.functions import keys
 from evspark.functions import text as T
 from evspark.functions import vectors
 from evspark.operators import anchors, composite, dense, evaluate, fusion, gates, metrics, provider, route, sections, tables
@@ -170,6 +171,14 @@ def test_fragments_join(spark):
     assert texts(20) == ["a\nbcdef g\n\nhij\nkl\nmnopqrs\nt"]
 
 
+def test_keys_and_their_parts(spark):
+    rows = [("A_2022_10K#p12", ("A_2022_10K", 12, "page", None, None, None)), ("d#p1.b0", ("d", 1, "block", 0, None, None)), ("d#p1.t2.r3c4", ("d", 1, "cell", 2, 3, 4)), ("#p7", ("", 7, "page", None, None, None)),
+            ("d#px", (None,) * 6), ("a#p1#p2", (None,) * 6), ("", (None,) * 6), (None, (None,) * 6)]
+    found = spark.createDataFrame([(k,) for k, _ in rows], "key string").select("key", keys.key_parts(F.col("key")).alias("k")).collect()
+    assert [(r.key, tuple(r.k)) for r in found] == rows
+    assert spark.range(1).select(keys.page_key(F.lit(None), F.lit(1))).first()[0] is None
+
+
 def test_grid_spans():
     table = next(n for n in html.parse("<table><tr><td colspan=2>a</td><td rowspan=2>b</td></tr><tr><td>c</td><td>d</td></tr><tr><td>e</td></tr></table>").walk() if n.tag == "table")
     assert html.grid_of(table) == [["a", "", "b"], ["c", "d", ""], ["e", "", ""]]
