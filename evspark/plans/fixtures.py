@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,9 +97,9 @@ def numbers(spark: SparkSession) -> DataFrame:
 
 def filings_of(suppliers: DataFrame) -> DataFrame:
     """The filing above for every supplier, with figures of its own (see FIGURES)."""
-    html = F.lit(FILING)
-    for shown, base in FIGURES.items():
-        html = F.replace(html, F.lit(shown), F.format_number(F.col("s_suppkey") + base, 0))
+    # Cut at the figures first: one put in may look like another that is to be replaced.
+    parts = re.split("(" + "|".join(map(re.escape, FIGURES)) + ")", FILING)
+    html = F.concat(*[F.format_number(F.col("s_suppkey") + FIGURES[p], 0) if p in FIGURES else F.lit(p) for p in parts])
     return suppliers.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("_2022_10K")).alias("doc_id"), html.alias("html"))
 
 

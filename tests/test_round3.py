@@ -11,3 +11,11 @@ def test_references_that_are_cut_off_stay(spark):
     assert html.page_table(parsed).first()["raw_text"] == "It rose & fell&amp\n\nR&D <b> &nosuch; AT&T"
     assert [r["text"] for r in html.block_table(parsed).orderBy("block_at").collect()] == ["It rose & fell&amp", "R&D <b> &nosuch; AT&T"]
 
+
+def test_figures_put_in_are_not_replaced_again(spark):
+    from evspark.plans import fixtures
+
+    made = fixtures.filings_of(spark.range(1, 3).select((F.col("id") * 750).alias("s_suppkey"))).collect()
+    assert [(r["html"].count("(1,750)"), r["html"].count(">2,750<")) for r in made[:1]] == [(1, 1)]
+    assert (made[1]["html"].count("(2,500)"), made[1]["html"].count(">2,500<"), made[1]["html"].count(">3,500<")) == (1, 1, 1)
+
