@@ -10,13 +10,13 @@ from evspark.functions import text as T
 from .evaluate import CONTAINMENT, score
 
 # Fixed value: how a yes or no opens an answer.
-YES_NO = r"(?i)^\s*(yes|no)\b"
+YES_NO = r"^\s*([yY][eE][sS]|[nN][oO])\b"
 NUMERIC, YES_OR_NO = "numeric", "yes_no"
 
 
 def opening(answer: Column) -> Column:
     """yes or no, if the answer opens with it."""
-    return F.nullif(F.lower(F.regexp_extract(F.coalesce(answer, F.lit("")), YES_NO, 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(answer, F.lit("")), T.plain_pattern(YES_NO), 1)), F.lit(""))
 
 
 def nearest(figures: Column, gold: Column) -> Column:

@@ -30,3 +30,11 @@ def test_words_are_ascii_in_answers_and_questions(spark):
     found = spark.createDataFrame([(t,) for t in forecast], "t string").select("t", T.intent(F.col("t")).alias("intent")).collect()
     assert {r["t"]: r["intent"] for r in found} == forecast
 
+
+def test_answers_open_with_ascii_words(spark):
+    from evspark.operators import explain
+
+    rows = {"Yesé sir": "yes", "no, it": "no", "Nové": None, "\u000byes": None, "yesterday": None}
+    found = spark.createDataFrame([(t,) for t in rows], "t string").select("t", explain.opening(F.col("t")).alias("said")).collect()
+    assert {r["t"]: r["said"] for r in found} == rows
+
