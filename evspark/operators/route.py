@@ -30,7 +30,7 @@ def prepare_questions(questions: DataFrame, question: str = "question") -> DataF
 
 
 def alias_matches(questions: DataFrame, aliases: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, company_slug) where one of the company's aliases stands in the question as whole words.
+    """(qid, company_slug, names) where some of the company's aliases (names) stand in the question as whole words.
 
     Both sides are cut to word sequences of the aliases' lengths, so this is an equi-join, not a comparison of all pairs.
     """
@@ -39,7 +39,15 @@ def alias_matches(questions: DataFrame, aliases: DataFrame, qid: str = "qid") ->
     words = questions.select(qid, F.split(F.trim(F.regexp_replace("ql", " +", " ")), " ").alias("w")).withColumn("lengths", lengths.scalar())
     spans = words.select(qid, "w", F.explode("lengths").alias("n_words")).filter(F.size("w") >= F.col("n_words"))
     grams = spans.select(qid, "n_words", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n_words") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n_words")), " "))).alias("alias"))
-    return grams.join(sized, ["n_words", "alias"]).select(qid, "company_slug").distinct()
+    return grams.join(sized, ["n_words", "alias"]).groupBy(qid, "company_slug").agg(F.collect_set("alias").alias("names"))
+
+
+def years_beside(names: Column) -> Column:
+    """A question's years that stand outside the names in it: a company may be named like a year."""
+    apart = lambda text: F.regexp_replace(text, " +", "  ")  # noqa: E731  each word has its own spaces
+    longest_first = F.reverse(F.array_sort(F.transform(names, lambda n: F.struct(F.length(n).alias("size"), n.alias("name")))))
+    rest = F.aggregate(longest_first, apart(F.col("ql")), lambda text, n: F.replace(text, F.concat(F.lit(" "), apart(n["name"]), F.lit(" ")), F.lit(" ")))
+    return F.array_intersect("years", years_in(rest))
 
 
 def route_score(doc: str = "d", prefer_coverage: bool = True) -> Column:
@@ -72,7 +80,9 @@ def route(questions: DataFrame, catalog: DataFrame, aliases: DataFrame, top_k: i
     """qid, doc_id, score, rank and needs_clarification; a question that no alias matches has one row without a document."""
     asked = prepare_questions(questions, question)
     newest = catalog.withColumn("max_year", F.max("fiscal_year").over(Window.partitionBy("company_slug")))
-    scored = alias_matches(asked, aliases, qid).join(asked, qid).join(newest, "company_slug").withColumn("score", route_score())
+    named = F.flatten(F.collect_list("names").over(Window.partitionBy(qid)))
+    matched = alias_matches(asked, aliases, qid).withColumn("names", named).join(asked, qid).withColumn("years", years_beside(F.col("names")))
+    scored = matched.join(newest, "company_slug").withColumn("score", route_score())
     order = Window.partitionBy(qid).orderBy(F.desc("score"), F.desc("fiscal_year"), F.asc("doc_id"))
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select(qid, "doc_id", "score", "rank")
     return asked.select(qid).join(top, qid, "left").withColumn("needs_clarification", F.col("doc_id").isNull())

@@ -38,3 +38,13 @@ def test_answers_open_with_ascii_words(spark):
     found = spark.createDataFrame([(t,) for t in rows], "t string").select("t", explain.opening(F.col("t")).alias("said")).collect()
     assert {r["t"]: r["said"] for r in found} == rows
 
+
+def test_a_name_like_a_year_is_no_year(spark):
+    from evspark.operators import route
+
+    catalog = spark.sql("select concat('D', y) doc_id, 'C' company_slug, '10-K' form_type, y fiscal_year, cast(null as int) fiscal_quarter, cast(null as date) filing_date, array(y - 1, y) coverage_years from values (2001), (2021), (2022) v(y)")
+    aliases = spark.createDataFrame([("C", "c2001"), ("C", "c2001 of 2021")], "company_slug string, alias string")
+    asked = spark.createDataFrame([("none", "What was the revenue of c2001?"), ("named", "What was the revenue of c2001 of 2021 in FY2022?"), ("same", "What was the revenue of c2001 in 2001?")], "qid string, question string")
+    best = {r["qid"]: (r["doc_id"], r["score"]) for r in route.route(asked, catalog, aliases).filter("rank = 1").collect()}
+    assert best == {"none": ("D2022", 20), "named": ("D2022", 39), "same": ("D2001", 39)}
+
