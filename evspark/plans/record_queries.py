@@ -204,7 +204,8 @@ def page_facts(spark, d):
     first = F.concat(F.lit(header + filler + "<table>"), row(sales, "Revenues", "y", "usd", 1), lost, income(1, "usd"), F.lit("</table><hr/>"))
     second = F.concat(F.lit(filler + "<table>"), row(F.lit("Total assets"), "Assets", "i", "sh", 2), F.lit("</table><hr/>"))
     third = F.concat(F.lit(filler + "<table>"), row(sales, "Revenues", "y", "per", 3), F.when(F.col("p_size") % 2 == 0, income(3, "per")).otherwise(""), F.lit("</table>"))
-    filings = table(spark, d, "part").select(F.concat(F.lit("part"), key).alias("doc_id"), F.concat(first, second, third).alias("html"))
+    parts = lexical.spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    filings = parts.select(F.concat(F.lit("part"), key).alias("doc_id"), F.concat(first, second, third).alias("html"))
     found = xbrl.page_facts(xbrl.read_tagged(filings, "doc_id", "html", by_page=True))
     fits = xbrl.label_matches(F.col("row_label"), F.array(F.lit("Revenue"), F.lit("assets"), F.lit("")))
     return found.select("doc_id", "page_seq", "fact_id", "qname", F.col("value").cast("double").alias("value"), "unit", F.col("period_start").cast("string").alias("period_start"), "row_label", fits.alias("fits"))

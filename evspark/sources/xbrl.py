@@ -1,4 +1,5 @@
-"""Tagged facts of inline-XBRL documents: contexts and units are small dimensions that the facts join."""
+"""Tagged facts of inline-XBRL documents. Contexts and units stand in the facts' own filing, so each filing's facts get
+theirs where it is read: a filing is parsed once, and only facts move, to be numbered."""
 
 from __future__ import annotations
 
@@ -16,10 +17,11 @@ from .html import EVENT, FACT_TAGS, Node, events_of, local, parse
 from .paging import MIN_PAGE_CHARS
 
 RAW = (
-    "doc_id string, facts array<struct<qname:string,shown:string,context_ref:string,unit_ref:string,scale:int,sign:string,row_label:string,event_at:int>>, "
-    "contexts array<struct<context_ref:string,period_start:string,period_end:string,is_instant:boolean,dimensions:map<string,string>>>, "
-    f"units array<struct<unit_ref:string,unit:string>>, events array<{EVENT}>"
+    "doc_id string, facts array<struct<qname:string,shown:string,scale:int,sign:string,row_label:string,event_at:int,unit:string,"
+    f"period_start:string,period_end:string,is_instant:boolean,dimensions:map<string,string>>>, events array<{EVENT}>"
 )
+#: Filings that are read at once: events and trees are larger than what they are made of.
+AT_ONCE = 20
 
 
 def _first(node: Node, name: str) -> str | None:
@@ -36,47 +38,47 @@ def _row_label(node: Node) -> str | None:
     return next((t for t in texts if t.strip(" \t0123456789.,()$%+-–—")), None)
 
 
-def _fact(node: Node, event_at: int | None) -> dict:
+def _fact(node: Node, event_at: int | None, contexts: dict[str, dict], units: dict[str, str]) -> dict | None:
     a, scale = node.attributes, node.attributes.get("scale", "")
-    return {"qname": a.get("name"), "shown": node.text(), "context_ref": a.get("contextref"), "unit_ref": a.get("unitref"), "scale": int(scale) if scale.lstrip("+-").isdigit() else 0, "sign": a.get("sign"), "row_label": _row_label(node), "event_at": event_at}
-
-
-def read_tree(root: Node) -> tuple[list, list, list, None]:
-    """Facts, contexts and units of one document; facts are not placed."""
-    contexts, units = read_header(root)
-    return [_fact(node, None) for node in root.walk() if local(node.tag) in FACT_TAGS], contexts, units, None
+    context, unit = contexts.get(a.get("contextref")), a.get("unitref")
+    if context is None:
+        return None
+    own = {"qname": a.get("name"), "shown": node.text(), "scale": int(scale) if scale.lstrip("+-").isdigit() else 0, "sign": a.get("sign"), "row_label": _row_label(node), "event_at": event_at}
+    return own | context | {"unit": units.get(unit, unit)}
 
 
-def read_filing(htmls: list[str | None]) -> tuple[list, list, list, list]:
-    """The same of a filing's documents, in order, and their events: contexts and units hold throughout, facts have the place of their event."""
+def read_filing(htmls: list[str | None], by_page: bool = False) -> tuple[list[dict], list | None]:
+    """Facts of a filing's documents, in order; contexts and units hold throughout, the last one of a name counts, and a
+    fact whose context is missing is dropped. ``by_page``: facts have the place of their event, and all events are given."""
     roots = [parse(html or "") for html in htmls]
-    contexts, units = [], []
+    contexts: dict[str, dict] = {}
+    units: dict[str, str] = {}
     for root in roots:
         more = read_header(root)
-        contexts += more[0]
-        units += more[1]
-    rows, nodes = events_of(roots)
-    facts = [_fact(node, at) for at, node in enumerate(nodes) if node is not None and local(node.tag) in FACT_TAGS]
-    return facts, contexts, units, rows
+        contexts |= more[0]
+        units |= more[1]
+    rows, nodes = events_of(roots) if by_page else (None, [node for root in roots for node in root.walk()])
+    facts = [_fact(node, at if by_page else None, contexts, units) for at, node in enumerate(nodes) if node is not None and local(node.tag) in FACT_TAGS]
+    return [f for f in facts if f is not None], rows
 
 
-def read_header(root: Node) -> tuple[list, list]:
-    """Contexts and units, wherever they stand."""
-    contexts, units = [], []
+def read_header(root: Node) -> tuple[dict[str, dict], dict[str, str]]:
+    """Contexts and units by their names, wherever they stand."""
+    contexts, units = {}, {}
     for node in root.walk():
         name, a = local(node.tag), node.attributes
         if name == "context" and a.get("id"):
             instant = _first(node, "instant")
             members = [(n.attributes.get("dimension", ""), n.text()) for n in node.walk() if local(n.tag) in ("explicitmember", "typedmember")]
-            contexts.append({"context_ref": a["id"], "period_start": instant or _first(node, "startdate"), "period_end": instant or _first(node, "enddate"), "is_instant": instant is not None, "dimensions": members})
+            contexts[a["id"]] = {"period_start": instant or _first(node, "startdate"), "period_end": instant or _first(node, "enddate"), "is_instant": instant is not None, "dimensions": members}
         elif name == "unit" and a.get("id"):
             measures = [n.text().rpartition(":")[2] for n in node.walk() if local(n.tag) == "measure"]
-            units.append({"unit_ref": a["id"], "unit": "/".join(measures)})
+            units[a["id"]] = "/".join(measures)
     return contexts, units
 
 
 def read_tagged(docs: DataFrame, id_col: str, html_col: str, by_page: bool = False, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
-    """Raw facts, contexts and units of each document, or filing if the html column is an array. ``by_page`` places facts on pages."""
+    """Raw facts of each document, or filing if the html column is an array. ``by_page`` places facts on pages."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -84,16 +86,19 @@ def read_tagged(docs: DataFrame, id_col: str, html_col: str, by_page: bool = Fal
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *(read_filing(htmls) if by_page else read_tree(parse((htmls or [""])[0] or "")))) for doc, htmls in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                rows = [(doc, *read_filing(htmls or [], by_page)) for doc, htmls in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     htmls = F.col(html_col) if dict(docs.dtypes)[html_col].startswith("array") else F.array(html_col)
     read = docs.select(F.col(id_col).cast("string").alias("doc_id"), htmls.alias("htmls")).mapInArrow(kernel, RAW)
     if not by_page:
         return read.drop("events")
-    paged = read.withColumn("pages", F.transform(paging.pages(F.col("events"), min_chars), lambda p: F.struct(p["page_seq"].alias("page_seq"), p["first"].alias("first"), p["to"].alias("to"))))
-    page = lambda f: F.get(F.filter("pages", lambda p: (p["first"] <= f["event_at"]) & (f["event_at"] < p["to"])), F.lit(0))["page_seq"]
-    return paged.withColumn("facts", F.filter(F.transform("facts", lambda f: f.withField("page_seq", page(f))), lambda f: f["page_seq"].isNotNull())).drop("events", "pages")
+    pages = F.transform(paging.pages(F.col("events"), min_chars), lambda p: F.struct(p["page_seq"].alias("page_seq"), p["first"].alias("first"), p["to"].alias("to")))
+    page = lambda f, ps: F.get(F.filter(ps, lambda p: (p["first"] <= f["event_at"]) & (f["event_at"] < p["to"])), F.lit(0))["page_seq"]
+    # Pages are worked out once a filing, not once a fact.
+    placed = paging.let(pages, lambda ps: F.transform("facts", lambda f: f.withField("page_seq", page(f, ps))))
+    return read.select("doc_id", F.filter(placed, lambda f: f["page_seq"].isNotNull()).alias("facts"))
 
 
 def facts(raw: DataFrame) -> DataFrame:
@@ -121,13 +126,11 @@ FACT_COLUMNS = ("qname", "value", "unit", "scale", "sign", "period_start", "peri
 
 
 def _resolved(raw: DataFrame) -> DataFrame:
-    rows = raw.select("doc_id", F.posexplode("facts").alias("at", "f")).select("doc_id", "at", "f.*")
-    context = raw.select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.*")
-    unit = raw.select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.*")
+    # An outer generator, before which the optimizer puts no filter that would work the facts out again.
+    rows = raw.filter("doc_id is not null").select("doc_id", F.posexplode_outer("facts").alias("at", "f")).filter("f is not null").select("doc_id", "at", "f.*")
     shown = cell_number(F.col("shown"))
     exact = F.concat(shown.cast("string"), F.lit("E"), F.col("scale").cast("string")).try_cast("decimal(38,6)")  # shifts digits, without a double
     value = F.when(F.col("scale") == 0, shown).otherwise(exact)
     signed = F.when((F.trim(F.coalesce("sign", F.lit(""))) == "-") & (value > 0), -value).otherwise(value).cast("decimal(38,6)")
-    joined = rows.join(context, ["doc_id", "context_ref"]).join(unit, ["doc_id", "unit_ref"], "left")
-    made = {"value": signed, "unit": F.coalesce("unit", "unit_ref"), "period_start": F.to_date("period_start"), "period_end": F.to_date("period_end")}
-    return joined.withColumns(made).withColumn("sign", F.when(F.col("value") < 0, -1).otherwise(1))
+    made = {"value": signed, "period_start": F.to_date("period_start"), "period_end": F.to_date("period_end")}
+    return rows.withColumns(made).withColumn("sign", F.when(F.col("value") < 0, -1).otherwise(1))

@@ -48,3 +48,24 @@ def test_a_name_like_a_year_is_no_year(spark):
     best = {r["qid"]: (r["doc_id"], r["score"]) for r in route.route(asked, catalog, aliases).filter("rank = 1").collect()}
     assert best == {"none": ("D2022", 20), "named": ("D2022", 39), "same": ("D2001", 39)}
 
+
+def test_a_filing_is_read_and_paged_once(spark):
+    from evspark.sources import xbrl
+
+    html = '<ix:header><xbrli:context id="c"><xbrli:period><xbrli:instant>2022-12-31</xbrli:instant></xbrli:period></xbrli:context></ix:header><p><ix:nonFraction name="Assets" contextRef="c" unitRef="u">7</ix:nonFraction><ix:nonFraction name="Lost" contextRef="gone">8</ix:nonFraction></p>'
+    docs = spark.createDataFrame([("a", html), ("b", None)], "doc_id string, html string")
+    for found in (xbrl.page_facts(xbrl.read_tagged(docs, "doc_id", "html", by_page=True, min_chars=1)), xbrl.facts(xbrl.read_tagged(docs, "doc_id", "html"))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("MapInArrow"), plan.count("Join")) == (1, 0)
+        assert [(r["qname"], int(r["value"]), r["unit"], str(r["period_end"])) for r in found.collect()] == [("Assets", 7, "u", "2022-12-31")]
+
+
+def test_a_small_table_is_dealt_before_filings_are_made(spark):
+    from evspark.plans.queries import QUERIES
+
+    from .oracle import SF
+
+    for name in ("page_facts", "xbrl_scale", "table_cells"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.rindex("RepartitionByExpression") > plan.rindex("MapInArrow")
+
