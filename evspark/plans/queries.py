@@ -13,6 +13,7 @@ from evspark.streaming import ingest
 
 from . import answer, fixtures, ingest_plan
 from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
+from .stage import written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -598,13 +599,14 @@ _SHOWN = "format('{:,}', s_suppkey + 1000)"
 
 
 def supplier_filings(spark, d) -> DataFrame:
-    return fixtures.filings_of(table(spark, d, "supplier"))
+    """Keys are dealt to all cores before filings are made of them: a table that fits few row groups would be few tasks' work."""
+    return fixtures.filings_of(lexical.spread(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey"))
 
 
 @query(f"WITH v(ordinal, raw_title, kind, page_start, page_end, parent) AS (VALUES {fixtures.sql_rows(fixtures.SECTIONS)}) SELECT {_DOC} AS doc_id, ordinal, raw_title, kind, page_start, page_end, {_DOC} || '#s' || parent AS parent_id FROM v, supplier")
 def heading_tree(spark, d):
     """Sections of a filing for every supplier."""
-    tree = sections.build_tree(html.page_table(html.parse_documents(supplier_filings(spark, d), "doc_id", "html", 40)))
+    tree = sections.build_tree(written(html.page_table(html.parse_documents(supplier_filings(spark, d), "doc_id", "html", 40)), "pages"))
     return tree.select("doc_id", "ordinal", "raw_title", "kind", "page_start", "page_end", "parent_id")
 
 
@@ -660,7 +662,7 @@ def xbrl_scale(spark, d):
     scale, sign = (F.col("p_partkey") % 23 - 12).cast("string"), F.when(F.col("p_partkey") % 5 == 0, ' sign="-"').otherwise("")
     head = '<ix:header><xbrli:context id="c"><xbrli:period><xbrli:instant>2022-12-31</xbrli:instant></xbrli:period></xbrli:context></ix:header>'
     tag = F.concat(F.lit('<p><ix:nonFraction name="us-gaap:Assets" contextRef="c" scale="'), scale, F.lit('"'), sign, F.lit(">"), F.format_number(F.col("p_partkey") * 1234567, 0), F.lit("</ix:nonFraction></p>"))
-    docs = table(spark, d, "part").select(F.col("p_partkey"), F.concat(F.lit(head), tag).alias("html"))
+    docs = lexical.spread(table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.concat(F.lit(head), tag).alias("html"))
     found = xbrl.facts(xbrl.read_tagged(docs, "p_partkey", "html"))
     return found.select(F.col("doc_id").cast("long").alias("p_partkey"), F.col("scale").cast("long").alias("scale"), F.col("value").cast("string").alias("value"))
 
@@ -683,7 +685,7 @@ def lexical_text(spark, d):
 def anchor_pages(spark, d):
     """Structural retrieval over a filing for every supplier, two questions each."""
     filed = supplier_filings(spark, d)
-    pages = html.page_table(html.parse_documents(filed, "doc_id", "html", 40))
+    pages = written(html.page_table(html.parse_documents(filed, "doc_id", "html", 40)), "pages")
     texts = F.array(F.struct(F.lit("a").alias("n"), F.lit("What were capital expenditures and cash flow?").alias("q")), F.struct(F.lit("b").alias("n"), F.lit("Why did organic growth slow, and what drove it?").alias("q")))
     each = filed.select("doc_id", F.explode(texts).alias("t")).select(F.concat("doc_id", F.lit("-"), "t.n").alias("qid"), "doc_id", F.col("t.q").alias("question"))
     found = anchors.anchor_search(each.select("qid", "question"), each.select("qid", "doc_id", F.lit(1).alias("position")), pages, sections.build_tree(pages))
