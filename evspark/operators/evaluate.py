@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evspark.functions.text import token_set
 
-from .lexical import small_enough, spread
+from .lexical import dealt, small_enough, spread
 from .spend import running_total
 
 JACCARD = 0.35
@@ -17,11 +17,12 @@ CONTAINMENT = 0.6
 def shared_tokens(passages: DataFrame, pages: DataFrame, passage: str, page: str) -> DataFrame:
     """passage, page, their token counts and shared ones, for pairs that share any.
 
-    Few passages' tokens go to every task, so that a page's matches are counted where the page is read and only counts
-    move; many are met over an inverted index.
+    Tokens that some passage has are dealt by page, in partitions of bounded size, and few passages' tokens go to every
+    task, so that a page's matches are counted in its partition; many are met over an inverted index.
     """
     a = passages.select(passage, token_set(F.col("text")).alias("t")).select(passage, F.size("t").alias("n_passage"), F.explode("t").alias("token"))
     b = spread(pages, page).select(page, token_set(F.col("text")).alias("t")).select(page, F.size("t").alias("n_page"), F.explode("t").alias("token"))
+    b = dealt(b.join(small_enough(a.select("token").distinct()), "token", "left_semi"), page, pages)
     return b.join(small_enough(a), "token").groupBy(passage, page, "n_passage", "n_page").agg(F.count(F.lit(1)).alias("shared"))
 
 

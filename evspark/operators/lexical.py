@@ -15,7 +15,7 @@ from evspark.functions.text import tokens
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Rows of questions' terms that are sent to every task (some tens of MB at most).
 MOST_SENT = 500_000
-#: Bytes of input a core under which an input counts as small.
+#: Bytes of input a core under which an input counts as small, and of those that a partition of dealt pages holds.
 SMALL_SPLIT = 16 << 20
 
 
@@ -51,11 +51,23 @@ def term_idf(paged: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     return raw.withColumn("mean_idf", mean).select("term", "df", idf.alias("idf"))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """What the planner takes for the size of ``df``; None if it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt to all cores if it is small, as a file of one row group would be one task's work; larger inputs have splits enough and stay in place."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size <= cores * SMALL_SPLIT else df
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, input_bytes(df)
+    return df.repartition(cores, key) if size is not None and size <= cores * SMALL_SPLIT else df
+
+
+def dealt(df: DataFrame, key: str, pages: DataFrame) -> DataFrame:
+    """``df``, made of ``pages``, by their key, in partitions of SMALL_SPLIT bytes of pages: with more pages there are more
+    partitions, so that what a task holds does not grow."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, input_bytes(pages)
+    return df.repartition(key) if size is None else df.repartition(max(cores, -(-size // SMALL_SPLIT)), key)
 
 
 def small_enough(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
@@ -75,7 +87,8 @@ def bm25_scores(paged: DataFrame, questions: DataFrame, key: str, qkey: str, que
     if counts is not None:
         weights, wanted = small_enough(weights), small_enough(wanted)
     kept = [key] + ([scope] if scope else [])
-    seen = paged.select(*kept, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").repartition(key)
+    seen = paged.select(*kept, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    seen = dealt(seen, key, paged)
     length = F.try_divide(F.col("total"), F.col("df"))
     tf = seen.groupBy(*kept, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("avgdl", stats.filter("term is null").select(length.alias("avgdl")).scalar())
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
