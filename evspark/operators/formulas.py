@@ -22,11 +22,17 @@ DEFINITION = r"(?i)\b(?:defined as|calculated as|computed as|using the formula|w
 AVERAGING = r"(?i)\baverage of (?:the )?(?:beginning|opening) and (?:ending|closing)\b"
 
 TOKEN = r"\*\*|[-+*/(),]|(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?|[A-Za-z_]\w*|\S"
-_NUMBER, _NAME = "'^[0-9.]'", "'^[A-Za-z_]'"
+_NAME = "'^[A-Za-z_]'"
 _HELPERS = ", ".join(f"'{h}'" for h in metrics.HELPERS)
 _BINARY = "('+', '-', '*', '/', '**')"
 
 
+def _begins(token: str) -> tuple[str, str]:
+    """Whether a token begins as a number and as a name, by its first character (tests of patterns cost more, for every token)."""
+    first = f"ascii({token})"
+    return f"({first} between 48 and 57 or {first} = 46)", f"({first} between 97 and 122 or {first} between 65 and 90 or {first} = 95)"
+
+
 def _binding(operator: str) -> str:
     return f"(case when {operator} in ('+', '-') then 1 when {operator} in ('*', '/') then 2 when {operator} = 'neg' then 3 when {operator} = '**' then 4 else 0 end)"
 
@@ -50,16 +56,19 @@ def _parse_token() -> str:
     """The state after one token: t.text, with the one ahead, and whether it opens the arguments of a call."""
     fail = {e: _parser(error=f"'{e}'") for e in ("not_allowed", "syntax")}
     bracket = _staying("o like '%('")
-    looser = _staying(f"not ({_binding('o')} > {_binding('t.text')} or ({_binding('o')} = {_binding('t.text')} and t.text <> '**'))")
+    first = "({o} > {t} or {o} = {t} and t.text <> '**')"
+    looser = _staying(f"not {first.format(o=_binding('o'), t=_binding('t.text'))}")
+    waits = first.format(o=_binding("get(s.waiting, size(s.waiting) - 1)"), t=_binding("t.text"))
     opened, before = f"element_at(s.waiting, {bracket})", f"slice(s.waiting, 1, {bracket} - 1)"
     one_more = "concat(slice(s.counts, 1, size(s.counts) - 1), array(element_at(s.counts, -1) + 1))"
     call = f"concat(substring_index({opened}, '(', 1), '#', element_at(s.counts, -1))"
+    number, name = _begins("t.text")
     return f"""case
         when s.error is not null or t.opens then s
-        when t.text rlike {_NAME} and t.ahead = '(' and t.text not in ({_HELPERS}) then {fail["not_allowed"]}
-        when t.text rlike {_NAME} or t.text rlike {_NUMBER} and try_cast(t.text as double) is not null then case
+        when t.ahead = '(' and {name} and t.text not in ({_HELPERS}) then {fail["not_allowed"]}
+        when {name} or {number} and try_cast(t.text as double) is not null then case
             when not s.due then {fail["syntax"]}
-            when t.ahead = '(' and t.text rlike {_NAME} then {_parser(waiting="concat(s.waiting, array(concat(t.text, '(')))", counts="concat(s.counts, array(1))")}
+            when t.ahead = '(' and {name} then {_parser(waiting="concat(s.waiting, array(concat(t.text, '(')))", counts="concat(s.counts, array(1))")}
             else {_parser(out="concat(s.out, array(t.text))", due="false")} end
         when t.text = '(' then if(s.due, {_parser(waiting="concat(s.waiting, array('('))")}, {fail["syntax"]})
         when t.text in (',', ')') and (s.due or {bracket} = 0) then {fail["syntax"]}
@@ -68,6 +77,7 @@ def _parse_token() -> str:
         when t.text = ')' and {opened} = '(' then {_parser(out=_drained(bracket), waiting=before)}
         when t.text = ')' then {_parser(out=f"concat({_drained(bracket)}, array({call}))", waiting=before, counts="slice(s.counts, 1, size(s.counts) - 1)")}
         when t.text in ('+', '-') and s.due then {_parser(waiting="if(t.text = '-', concat(s.waiting, array('neg')), s.waiting)")}
+        when t.text in {_BINARY} and not s.due and not coalesce({waits}, false) then {_parser(waiting="concat(s.waiting, array(t.text))", due="true")}
         when t.text in {_BINARY} then if(s.due, {fail["syntax"]}, {_parser(out=_drained(looser), waiting=f"concat(slice(s.waiting, 1, {looser}), array(t.text))", due="true")})
         else {fail["not_allowed"]} end"""
 
@@ -76,7 +86,7 @@ def postfix(formula: str) -> str:
     """SQL for a struct of tokens (postfix; a call shows how many arguments it has, as ``avg#3``) and error. ``formula`` is SQL for a text."""
     tokens = f"regexp_extract_all(coalesce({formula}, ''), '{TOKEN.replace(chr(92), chr(92) * 2)}', 0)"
     start = _parser("cast(array() as array<string>)", "cast(array() as array<string>)", "cast(array() as array<int>)", "true", "cast(null as string)")
-    placed = f"transform(tokens, (x, i) -> named_struct('text', x, 'ahead', get(tokens, i + 1), 'opens', x = '(' and coalesce(get(tokens, i - 1) rlike {_NAME}, false)))"
+    placed = f"transform(tokens, (x, i) -> named_struct('text', x, 'ahead', get(tokens, i + 1), 'opens', x = '(' and coalesce({_begins('get(tokens, i - 1)')[1]}, false)))"
     ends = "case when s.error is not null then s.error when size(s.out) = 0 and size(s.waiting) = 0 then 'empty' when s.due or exists(s.waiting, o -> o like '%(') then 'syntax' end"
     finish = f"named_struct('tokens', concat(s.out, reverse(s.waiting)), 'error', {ends})"
     return f"element_at(transform(array({tokens}), tokens -> aggregate({placed}, {start}, (s, t) -> {_parse_token()}, s -> {finish})), 1)"
@@ -120,7 +130,7 @@ def _run_token(operands: str) -> str:
             when {helper} = 'delta' then {_machine(n, f"{of_periods}[1] - {of_periods}[0]")}
             when {helper} = 'avg' then {_machine(n, f"{total} / size({periods})")}
             else {_machine(n, total)} end
-        when x rlike {_NUMBER} then {_machine("0", "cast(x as double)")}
+        when {_begins("x")[0]} then {_machine("0", "cast(x as double)")}
         else {_machine("0", f"{operands}[x]", "x")} end"""
 
 
@@ -133,9 +143,12 @@ def evaluated(parsed: str, operands: str) -> str:
     return f"aggregate(if({parsed}.error is null, {parsed}.tokens, array()), {start}, (m, x) -> {_run_token(operands)}, m -> {finish})"
 
 
-def with_values(rows: DataFrame, formula: str, operands: str, value: str = "value", error: str = "error") -> DataFrame:
-    """Adds the value and the error of each row's formula (a column's name) over its operands (name of a map<string, double> column)."""
-    made = rows.withColumn("_parsed", F.expr(postfix(f"`{formula}`"))).withColumn("_run", F.expr(evaluated("_parsed", f"`{operands}`")))
+def with_values(rows: DataFrame, formula: str, operands: str, value: str = "value", error: str = "error", parsed: str | None = None) -> DataFrame:
+    """Adds the value and the error of each row's formula (a column's name) over its operands (name of a map<string, double> column).
+
+    ``parsed`` names a column of what ``postfix`` gives of the formula, where that is known already.
+    """
+    made = rows.withColumn("_parsed", F.col(parsed) if parsed else F.expr(postfix(f"`{formula}`"))).withColumn("_run", F.expr(evaluated("_parsed", f"`{operands}`")))
     return made.withColumns({value: F.col("_run.value"), error: F.col("_run.error")}).drop("_parsed", "_run")
 
 
@@ -149,23 +162,29 @@ def with_operand_names(definition: Column) -> Column:
     """A definition in words as a formula: operands' phrases become their names, and a leading "the ratio of" or the like goes."""
     lowered = F.lower(definition)
     phrases = sorted((o for o in metrics.OPERANDS if "_" in o), key=lambda o: (-len(o), o))
-    named = reduce(lambda c, o: F.regexp_replace(c, rf"\b{o.replace('_', '[ -]')}\b", o), phrases, lowered)
+    # One look for all of them first: most definitions have none.
+    some = rf"\b(?:{'|'.join(o.replace('_', '[ -]') for o in phrases)})\b"
+    named = F.when(lowered.rlike(some), reduce(lambda c, o: F.regexp_replace(c, rf"\b{o.replace('_', '[ -]')}\b", o), phrases, lowered)).otherwise(lowered)
     signs = ((r"\bdivided by\b", "/"), (r"\bless\b|\bminus\b", "-"), (r"\bplus\b", "+"), (r"\btimes\b", "*"), (r"\bthe\b", ""))
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), signs, named))
 
 
 def choose_formula(questions: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
-    """qid, metric, source (``question`` or ``book``), definition, formula and period_rule; a definition in the question overrides the book.
+    """qid, metric, source (``question`` or ``book``), definition, formula, period_rule and parsed; a definition in the question overrides the book.
 
-    Where the definition is no formula, the book's formula of the metric named gives the shape.
+    Where the definition is no formula, the book's formula of the metric named gives the shape. ``parsed`` is what
+    ``postfix`` gives of the formula, or of the definition if there is no formula; each is parsed once.
     """
     book = F.create_map(*[F.lit(x) for name, (_, formula, *_rest) in metrics.METRICS.items() for x in (name, formula)])
     rows = questions.withColumn("metric", metrics.metric_named(F.col(question))).withColumn("definition", question_definition(F.col(question)))
     rows = rows.withColumn("own", with_operand_names(F.col("definition"))).withColumn("parsed", F.expr(postfix("own")))
-    formula = F.when(F.col("definition").isNotNull() & F.col("parsed.error").isNull(), F.col("own")).otherwise(F.try_element_at(book, F.col("metric")))
+    fits = F.col("definition").isNotNull() & F.col("parsed.error").isNull()
+    formula = F.when(fits, F.col("own")).otherwise(F.try_element_at(book, F.col("metric")))
     source = F.when(F.col("definition").isNotNull(), "question").when(F.col("metric").isNotNull(), "book")
     rule = F.when(F.col("definition").rlike(AVERAGING), "average_of(prev, current)")
-    return rows.select(qid, "metric", source.alias("source"), "definition", F.coalesce(formula, F.lit("")).alias("formula"), rule.alias("period_rule"))
+    rows = rows.select(qid, "metric", source.alias("source"), "definition", F.coalesce(formula, F.lit("")).alias("formula"), rule.alias("period_rule"), "parsed", fits.alias("fits"))
+    parsed = F.when(F.col("fits") | (F.col("formula") == ""), F.col("parsed")).otherwise(F.expr(postfix("formula")))
+    return rows.select(qid, "metric", "source", "definition", "formula", "period_rule", parsed.alias("parsed"))
 
 
 def required_names(formula: str) -> str:

@@ -8,6 +8,7 @@ zero and missing operands give null.
 from __future__ import annotations
 
 import ast
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -205,10 +206,17 @@ def units_compatible(units: Column) -> Column:
 
 def metric_named(question: Column) -> Column:
     """The metric of the longest alias that stands in the question as whole words, or null."""
-    text = F.concat(F.lit(" "), F.regexp_replace(F.lower(question), "[^a-z0-9& ]", " "), F.lit(" "))
+    lowered = F.lower(question)
+    text = F.concat(F.lit(" "), F.regexp_replace(lowered, "[^a-z0-9& ]", " "), F.lit(" "))
     options = [(alias, metric) for metric, (aliases, *_rest) in METRICS.items() for alias in aliases]
     options.sort(key=lambda o: (-len(o[0]), o[0]))
-    return F.coalesce(*[F.when(text.contains(f" {alias} "), F.lit(metric)) for alias, metric in options])
+    # One look for all of them first, with anything for a space, as most texts have none and putting in spaces takes longest.
+    # Then over an array: a branch for each makes code too long to be compiled.
+    some = f"(?s)(?<![a-z0-9&])(?:{'|'.join('.'.join(map(re.escape, alias.split(' '))) for alias, _ in options)})"
+    spaced = F.array(*[F.lit(f" {alias} ") for alias, _ in options])
+    metric = F.create_map(*[F.lit(x) for alias, named in options for x in (f" {alias} ", named)])
+    longest = F.get(F.filter(spaced, lambda alias: F.contains(text, alias)), F.lit(0))
+    return F.when(lowered.rlike(some), F.try_element_at(metric, longest))
 
 
 def choose_metric(questions: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:

@@ -85,7 +85,7 @@ def computed_values(asked: DataFrame, extractor: Callable[[], provider.Provider]
     required = decoded.select("qid", F.explode("required").alias("required"))
     operands = slots.slot_operands(slots.slot_rows(decoded), required)
     rows = chosen.join(decoded.select("qid", "said"), "qid").join(operands, "qid", "left").withColumn("operands", F.coalesce("operands", F.create_map().cast("map<string,double>")))
-    rows = formulas.with_values(rows, "formula", "operands")
+    rows = formulas.with_values(rows, "formula", "operands", parsed="parsed")
     shown = F.round("value", 6).cast("string")
     for name in metrics.METRICS:
         shown = F.when(F.col("metric") == name, metrics.render(F.col("value"), name)).otherwise(shown)

@@ -44,8 +44,9 @@ def question_formula(spark, d):
     asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("What is the measure, calculated as "), formula, F.lit(" ?")).alias("question"), values.alias("operands"))
     # The operands ride along as a column, so that nothing is joined.
     chosen = formulas.choose_formula(asked.withColumn("key", F.struct("qid", "operands")), "key")
-    rows = chosen.select(F.col("key.qid").alias("o_orderkey"), F.col("key.operands").alias("operands"), "source", F.when(F.col("formula") != "", F.col("formula")).otherwise(formulas.with_operand_names(F.col("definition"))).alias("formula"))
-    return formulas.with_values(rows, "formula", "operands").select("o_orderkey", "source", F.round("value", 2).alias("value"), "error")
+    # A definition that is no formula has its own error, as nothing stands in the book for it.
+    rows = chosen.select(F.col("key.qid").alias("o_orderkey"), F.col("key.operands").alias("operands"), "source", "formula", "parsed")
+    return formulas.with_values(rows, "formula", "operands", parsed="parsed").select("o_orderkey", "source", F.round("value", 2).alias("value"), "error")
 
 
 @query("""WITH r AS (SELECT doc_id, doc_id % 6 AS k, n_chars, length(coalesce(text, '')) AS chars FROM documents)

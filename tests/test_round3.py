@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from evspark.operators import formulas
+
 
 def test_references_that_are_cut_off_stay(spark):
     from evspark.sources import html
@@ -80,3 +82,23 @@ def test_dealt_partitions_hold_no_more_of_a_larger_input(spark, tmp_path, monkey
     plan = lexical.dealt(pages, "id", pages)._jdf.queryExecution().optimizedPlan()
     assert plan.numPartitions() >= lexical.input_bytes(pages) // (64 << 10) > 4
 
+
+
+def test_formulas_are_parsed_once(spark):
+    asked = [
+        (1, "What is FY2020 gross margin?"), (2, "What is the quick ratio, calculated as (cash + receivables) divided by current liabilities?"),
+        (3, "What is the ROA, defined as income over average of beginning and ending total assets?"), (4, "hello"), (5, None), (6, "What is it, calculated as (1 + é2 ** x?"),
+    ]
+    got = formulas.choose_formula(spark.createDataFrame(asked, "qid int, question string"))
+    shown = got.select("qid", "parsed", F.expr(formulas.postfix("if(formula = '', definition, formula)")).alias("again")).collect()
+    assert len(shown) == 6 and all(r.parsed == r.again for r in shown)
+    values = got.withColumn("o", F.expr("map('cash', 3D, 'receivables', 1D, 'current_liabilities', 2D)"))
+    assert {r.qid: r.value for r in formulas.with_values(values, "formula", "o", parsed="parsed").collect()}[2] == 2.0
+
+
+def test_metrics_are_found_between_any_signs(spark):
+    from evspark.operators import metrics
+
+    asked = {"The quick-ratio?": "quick_ratio", "_current\nratio_": "current_ratio", "éworking capitalé": "working_capital", "&quick ratio": None, "aquick ratio": None, "quick  ratio": None, "gross profit margin": "gross_margin", "": None}
+    got = spark.createDataFrame([(q,) for q in asked], "q string").select("q", metrics.metric_named(F.col("q")).alias("m")).collect()
+    assert {r.q: r.m for r in got} == asked
