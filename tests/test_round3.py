@@ -102,3 +102,22 @@ def test_metrics_are_found_between_any_signs(spark):
     asked = {"The quick-ratio?": "quick_ratio", "_current\nratio_": "current_ratio", "éworking capitalé": "working_capital", "&quick ratio": None, "aquick ratio": None, "quick  ratio": None, "gross profit margin": "gross_margin", "": None}
     got = spark.createDataFrame([(q,) for q in asked], "q string").select("q", metrics.metric_named(F.col("q")).alias("m")).collect()
     assert {r.q: r.m for r in got} == asked
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    from evspark.functions import vectors
+    from evspark.operators import dense
+
+    monkeypatch.setattr(dense, "ROWS", 7)
+    monkeypatch.setattr(dense, "ASKED", 3)
+    made = spark.range(120).selectExpr("id k", "if(id % 40 = 39, null, id % 3) s", "if(id % 4 = 0, array(1f, 2f, 3f), transform(array(1, 2, 3), i -> cast(pmod(xxhash64(id, i), 7) - 3 as float))) e")
+    odd = spark.sql("select 900L + id k, id % 3 s, case id when 0 then array(float('nan'), 1f, 1f) when 1 then null when 2 then array(1f) else array(1f, null, 2f) end e from range(5)")
+    v = made.union(odd)
+    q = v.filter("k % 5 = 0").selectExpr("k q", "s", "e query_vector")
+    index = dense.vector_index(v, "k", "e", "s")
+    found = dense.dense_topk(index, q, "k", "q", "e", "s", 4)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    pairs = index.join(q.filter(vectors.norm(F.col("query_vector")) > 0), "s").filter("size(e) = size(query_vector)").withColumn("score", F.round(vectors.dot(F.col("e"), F.col("query_vector")) / (F.col("norm") * vectors.norm(F.col("query_vector"))), 6))
+    pairs = pairs.selectExpr("q", "k", "s", "score", "row_number() over (partition by q order by score desc, k) rank").filter("rank <= 4")
+    rows = lambda d: sorted(map(str, d.select("q", "k", "s", "score", "rank").collect()))
+    assert len(rows(found)) > 60 and rows(found) == rows(pairs)
