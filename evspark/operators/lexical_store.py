@@ -1,6 +1,7 @@
 """A lexical index that stays: postings by term, kept up as pages change, read by the buckets of a question's terms only.
 
-``postings`` (term, key, scope, tf, dl, version) lie in folders by a hash of the term. ``pages`` says which version of a
+``postings`` (term, key, tf, version) lie in folders by a hash of the term, with one row for each page itself (term null)
+that has scope, content_hash and dl. Texts are dealt by key once and cut where they then are. ``pages`` says which version of a
 page counts, so postings of replaced and removed pages are passed over without being rewritten. ``terms`` has document
 frequencies; an update adds what new pages have and takes off what their old versions had. Each update writes new page
 and term tables under its own number; an index is as of the last number whose update ended.
@@ -16,7 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from evspark.functions.text import tokens
 
-from .lexical import B, FLOOR, K1
+from .lexical import B, FLOOR, K1, dealt, small_enough
 
 BUCKETS = 64
 
@@ -54,35 +55,40 @@ class LexicalStore:
     def update(self, pages: DataFrame, key: str, text: Column, scope: str, removed: DataFrame | None = None) -> int:
         """Takes in pages that are new or whose text has changed, and leaves out ``removed`` keys. Says how many were cut into terms."""
         old, number = self.version(), self.version() + 1
-        hashed = pages.select(F.col(key).alias("key"), F.col(scope).alias("scope"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_hash"), tokens(text).alias("tokens"))
         kept = self._read("pages", old) if old else None
-        fresh = hashed if kept is None else hashed.join(kept.select("key", "content_hash"), ["key", "content_hash"], "left_anti")
-        counted = fresh.withColumn("dl", F.size("tokens"))
-        rows = counted.select("key", "scope", "content_hash", "dl", F.explode_outer("tokens").alias("term"))
-        tf = rows.groupBy("key", "scope", "content_hash", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        # A page's terms are counted in the partition of its key, so that only texts and then narrow postings move.
+        texts = dealt(pages.select(F.col(key).alias("key"), F.col(scope).alias("scope"), text.alias("text")), "key", pages)
+        hashed = texts.withColumn("content_hash", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+        if kept is not None:
+            known = hashed.join(kept.select("key", F.col("content_hash").alias("_known")), "key", "left")
+            hashed = known.filter(F.col("_known").isNull() | (F.col("_known") != F.col("content_hash"))).drop("_known")
+        cut = hashed.withColumn("tokens", tokens(F.col("text"))).withColumn("page", F.struct("scope", "content_hash", F.size("tokens").alias("dl")))
+        # Every page has a row of its own (term null) too, so that pages without terms count.
+        rows = cut.select("key", "page", F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+        tf = rows.withColumn("page", F.when(F.col("term").isNull(), F.col("page"))).groupBy("key", "term", "page").agg(F.count(F.lit(1)).alias("tf"))
         part = f"{self.path}/postings/version={number}"
-        # Pages without terms are stored too (term null), so that they count among the pages.
         tf.withColumn("bucket", bucket("term", self.buckets)).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(part)
         added = self.spark.read.schema(f"{tf.schema.toDDL()}, bucket int").parquet(part)
-        new_pages = added.groupBy("key").agg(F.first("scope").alias("scope"), F.first("content_hash").alias("content_hash"), F.first("dl").alias("dl")).withColumn("version", F.lit(number))
+        new_pages = added.filter("term is null").groupBy("key").agg(F.first("page").alias("page")).select("key", "page.*").withColumn("version", F.lit(number))
         change = added.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         if kept is not None:
             gone = new_pages.select("key") if removed is None else new_pages.select("key").union(removed.select(F.col(key).alias("key"))).distinct()
-            stale = kept.join(gone, "key", "left_semi").select("key", "version")
+            stale = small_enough(kept.join(gone, "key", "left_semi").select("key", "version"))
             lost = self.postings().filter(F.col("version") <= old).filter("term is not null").join(stale, ["key", "version"], "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
             change = self._read("terms", old).unionByName(change).unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
             new_pages = kept.join(gone, "key", "left_anti").unionByName(new_pages if removed is None else new_pages.join(removed.select(F.col(key).alias("key")), "key", "left_anti"))
         new_pages.write.mode("overwrite").parquet(f"{self.path}/pages/version={number}")
         change.write.mode("overwrite").parquet(f"{self.path}/terms/version={number}")
-        cut = self._read("pages", number).filter(F.col("version") == number).count()
+        taken = self._read("pages", number).filter(F.col("version") == number).count()
         self.spark.createDataFrame([(number,)], "version int").write.mode("append").json(f"{self.path}/versions")
-        return cut
+        return taken
 
     def matches(self, asked: DataFrame) -> DataFrame:
         """Postings of the terms asked for (column term), of the pages that count. Only the terms' folders are read."""
         numbers = [r[0] for r in asked.select(bucket("term", self.buckets).alias("b")).distinct().collect()]  # at most ``buckets``
-        found = self.postings().filter(F.col("bucket").isin(numbers)).join(asked.select("term").distinct(), "term", "left_semi")
-        return found.select("term", "key", "tf", "version").join(self.pages().select("key", "scope", "dl", "version"), ["key", "version"])
+        found = self.postings().filter(F.col("bucket").isin(numbers)).join(small_enough(asked.select("term").distinct()), "term", "left_semi")
+        # Dealt by key before anything is made of them, so that a page's sums need no further move.
+        return found.select("term", "key", "tf", "version").repartition("key").join(self.pages().select("key", "scope", "dl", F.col("version").alias("_counts")), "key").filter("version = _counts").drop("_counts")
 
     def scores(self, questions: DataFrame, qkey: str, question: Column) -> DataFrame:
         """qkey, key, scope and score, as ``lexical.bm25_scores`` gives them over all pages that count."""
@@ -93,6 +99,7 @@ class LexicalStore:
         mean = terms.agg(F.avg("raw")).first()[0]
         idf = F.when(F.col("raw") < 0, F.lit(FLOOR) * F.lit(mean)).otherwise(F.col("raw"))
         weights = asked.join(terms.select("term", idf.alias("idf")), "term").select(qkey, "term", (F.col("times") * F.col("idf")).alias("weight"))
+        weights = small_enough(weights)
         share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
         hits = self.matches(asked).select("key", "scope", "term", share.alias("share")).join(weights, "term")
         return hits.groupBy(qkey, "key", "scope").agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("score"))
