@@ -139,3 +139,14 @@ def test_a_stored_index_keeps_narrow_postings(spark, tmp_path):
     asked = spark.createDataFrame([(7, "a d b")], "q int, t string")
     plan = store.scores(asked, "q", F.col("t"))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(key#\d+", plan) and not re.search(r"hashpartitioning\(q#\d+, key", plan)
+
+
+def test_turns_of_keys_are_bounded_for_short_lines():
+    from evspark.llm import line_dedup
+
+    every = [list(range(24)), list(range(40)), list(range(128))]
+    for prints in ({0: 100, 1: 60, 2: 80}, {2: 5}, {0: 7}, {}):
+        turns = line_dedup.dealt_turns(every, prints)
+        assert [sorted(k for t in turns for k in t[kind]) for kind in range(3)] == every
+        spare = sum(prints.values())  # the last key of each kind may make a turn longer than another
+        assert all(sum(len(t[kind]) * n for kind, n in prints.items()) <= (line_dedup.TURN + 1) * spare for t in turns)
