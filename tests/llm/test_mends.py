@@ -2,15 +2,16 @@
 
 import hashlib
 import random
+from itertools import combinations
 
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from evspark.llm import bpe, chat, exact_dedup, language_id, quality, simhash, spotsigs, tokens
+from evspark.llm import bpe, chat, exact_dedup, language_id, line_dedup, quality, simhash, spotsigs, tokens
 from evspark.llm.queries import token_pattern
 
-from .test_llm import DOCS, EDGES, plain_fold
+from .test_llm import DOCS, EDGES, plain_fold, plain_similar, union_find
 
 ANY = "doc_id long, text string, m map<string,int>, s struct<a:int,`b.c`:array<int>>, `odd name` binary"
 WORDS = "some words that stand here and make up a document of its own with the number"
@@ -145,3 +146,45 @@ def test_buckets_of_ids_follow_their_bounds(spark):
 
 def test_edges_include_long_lines():
     assert max(len(r[1] or "") for r in EDGES) > 3000
+
+
+def test_short_lines_lose_no_link(spark):
+    """Of lines of a few words exactly those stay that all pairs leave."""
+    rng, lines = random.Random(5), {"the.", "sthe.", "thhe.", "are.", "anre."}
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 27)))
+        for _ in range(3):
+            edited = list(base)
+            for _ in range(rng.randint(0, 5)):
+                at = rng.randrange(len(edited) + 1)
+                edited[at : at + rng.randint(0, 1)] = rng.choice(("", "x", "é", "q"))
+            lines.add(" ".join("".join(edited).split()))
+    lines = sorted(x for x in lines if 0 < len(x) <= line_dedup.SHORT)
+    find = union_find(len(lines), [(a, b) for a, b in combinations(range(len(lines)), 2) if plain_similar(lines[a], lines[b])])
+    got = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    expected = {i for i in range(len(lines)) if find(i) != i}
+    assert len(expected) > 40 and {r["doc_id"] for r in got if r["n_removed"]} == expected
+
+
+def test_variants_of_a_line_do_not_give_all_pairs(spark):
+    lines = ["page %d of %d" % (100 + k % 20, 300 + k // 20) for k in range(400)]
+    nodes = spark.createDataFrame([(k, line_dedup.WORDS, x, len(x)) for k, x in enumerate(lines)], "line_id long, kind int, short string, chars int")
+    links = [(r["a"], r["b"]) for r in line_dedup.short_links(nodes).collect()]
+    find = union_find(400, links)
+    assert {find(i) for i in range(400)} == {0} and len(links) < 20 * 400
+
+
+def test_lines_are_not_bundled_by_likeness_in_half_their_print(spark):
+    """Two lines of nearly one print that share a block with a line of quite another one."""
+    block = line_dedup.key_plan(3, line_dedup.WORDS)[0][0]
+    f0 = sum(1 << b for b in range(48) if not block[0] >> b & 1 and b % 5 == 0)
+    f1 = sum(1 << b for b in range(63) if not block[1] >> b & 1)
+    rows = [(0, line_dedup.WORDS, 200, 0, 0), (1, line_dedup.WORDS, 200, f0, f1), (2, line_dedup.WORDS, 200, f0, f1 ^ (f1 & -f1))]
+    nodes = spark.createDataFrame(rows, "line_id long, kind int, chars int, f0 long, f1 long")
+    assert (1, 2) in {(r["a"], r["b"]) for r in line_dedup.candidates(nodes).collect()}
+
+
+def test_lines_that_share_a_handle_meet(spark):
+    rows = [(5, line_dedup.WORDS, 200, 77, 9), (5 + (1 << 14), line_dedup.WORDS, 200, 77, 9)]
+    nodes = spark.createDataFrame(rows, "line_id long, kind int, chars int, f0 long, f1 long")
+    assert [(r["a"], r["b"]) for r in line_dedup.candidates(nodes).collect()] == [(5, 5 + (1 << 14))]
