@@ -15,7 +15,7 @@ from evspark.functions.text import tokens
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Rows of questions' terms that are sent to every task (some tens of MB at most).
 MOST_SENT = 500_000
-#: Bytes of input a core under which an input counts as small, and of those that a partition of dealt pages holds.
+#: Bytes of input a core under which an input counts as small; a partition of dealt pages holds half as many.
 SMALL_SPLIT = 16 << 20
 
 
@@ -64,10 +64,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, key: str, pages: DataFrame) -> DataFrame:
-    """``df``, made of ``pages``, by their key, in partitions of SMALL_SPLIT bytes of pages: with more pages there are more
+    """``df``, made of ``pages``, by their key, in partitions of half of SMALL_SPLIT bytes of pages: with more pages there are more
     partitions, so that what a task holds does not grow."""
     cores, size = df.sparkSession.sparkContext.defaultParallelism, input_bytes(pages)
-    return df.repartition(key) if size is None else df.repartition(max(cores, -(-size // SMALL_SPLIT)), key)
+    return df.repartition(key) if size is None else df.repartition(max(cores, -(-2 * size // SMALL_SPLIT)), key)
 
 
 def small_enough(df: DataFrame, most: int = MOST_SENT) -> DataFrame:

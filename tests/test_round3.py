@@ -85,6 +85,16 @@ def test_dealt_partitions_hold_no_more_of_a_larger_input(spark, tmp_path, monkey
     assert plan.numPartitions() >= lexical.input_bytes(pages) // (64 << 10) > 4
 
 
+def test_dealt_partitions_hold_half_a_split(spark, tmp_path, monkeypatch):
+    from evspark.operators import lexical
+
+    path = str(tmp_path / "pages")
+    spark.range(20000).selectExpr("id", "sha2(cast(id as string), 512) as text").coalesce(1).write.parquet(path)
+    pages = spark.read.parquet(path)
+    monkeypatch.setattr(lexical, "SMALL_SPLIT", 64 << 10)
+    plan = lexical.dealt(pages, "id", pages)._jdf.queryExecution().optimizedPlan()
+    assert plan.numPartitions() >= lexical.input_bytes(pages) // (32 << 10)
+
 
 def test_formulas_are_parsed_once(spark):
     asked = [
