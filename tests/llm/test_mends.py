@@ -174,6 +174,20 @@ def test_variants_of_a_line_do_not_give_all_pairs(spark):
     assert {find(i) for i in range(400)} == {0} and len(links) < 20 * 400
 
 
+def test_variants_of_a_long_line_are_not_verified_in_all_pairs(spark):
+    """Of 40 variants that all met, links connect what all pairs connect, and are about one for each; a line of other words stays apart."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40)]
+    lines = [" ".join("variant%d" % k if i == k else w for i, w in enumerate(words)) for k in range(40)] + [" ".join(w[::-1] for w in words)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    nodes = line_dedup.materialise(line_dedup.distinct_lines(line_dedup.simhash_lines(docs)), "lines")
+    ids = [r[0] for r in docs.orderBy("doc_id").selectExpr("xxhash64(text)").collect()]
+    pairs = spark.createDataFrame([(min(p), max(p), k % 20) for k, p in enumerate(combinations(ids, 2))], "a long, b long, bits int")
+    links = [(ids.index(r["a"]), ids.index(r["b"])) for r in line_dedup.verified(docs, nodes, pairs, "doc_id", "text").collect()]
+    find = union_find(41, links)
+    assert {find(i) for i in range(40)} == {find(0)} != {find(40)} and len(links) < 2 * 40
+
+
 def test_lines_are_not_bundled_by_likeness_in_half_their_print(spark):
     """Two lines of nearly one print that share a block with a line of quite another one."""
     block = line_dedup.key_plan(3, line_dedup.WORDS)[0][0]
